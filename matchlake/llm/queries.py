@@ -3,14 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchlake.llm.common import table
+from matchlake.llm.lines import drop_frequent_lines
+from matchlake.llm.media import read_media, to_media
 from matchlake.llm.simhash import simhash_classes
+from matchlake.llm.tokens import token_counts
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the vocabulary files of public tokenizers lie on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=4, most=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_pivots,)}
-SQL: dict[str, str] = {}
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+def op8_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_media(to_media(table(spark, sf_dir, "documents"))).drop("error")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op8_png_media)}
+
+SQL = {
+    "op4_line_runs": r"""
+        WITH cut AS (
+            SELECT doc_id, row_number() OVER () AS doc_row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), line AS (
+            SELECT doc_id, doc_row, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM cut
+        ), keyed AS (
+            SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
+        ), frequent AS (
+            SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_row) >= 10
+        ), marked AS (
+            SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_row""",
+}
