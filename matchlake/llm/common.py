@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Texts may be very long, so Arrow batches are bounded by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stretches(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `most` characters together; a longer text is a run of its own."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if total and total + size > most:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()

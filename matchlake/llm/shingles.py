@@ -12,6 +12,8 @@ from matchlake.llm.common import words
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 #: Lengths with fewer shingles than this are hashed one by one.
 FEW = 48
+#: Hashes whose bits are spread out at a time.
+ROWS = 1 << 16
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -103,9 +105,13 @@ def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
-        first = np.cumsum(count)[some] - count[some]
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        stop = np.cumsum(count)[some]
+        total = np.zeros((len(some), 64), np.int64)
+        for a in range(0, len(hashes), ROWS):
+            bits = np.unpackbits(hashes[a : a + ROWS].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            lo, hi = np.searchsorted(stop, [a, min(a + ROWS, len(hashes)) - 1], "right")
+            first = np.maximum(stop[lo : hi + 1] - count[some][lo : hi + 1] - a, 0)
+            total[lo : hi + 1] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         set_ = (2 * total > count[some, None]).astype(np.uint8)
         out[some] = np.packbits(set_, axis=1).view(">u8").ravel().astype(np.uint64)
     return out

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import cut, small_batches, stored
+from matchlake.llm.common import cut, small_batches, stored, stretches
 from matchlake.llm.components import components
 from matchlake.llm.shingles import majority_bits, shingle_hashes
 
@@ -41,8 +41,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, count = shingle_hashes(batch.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(majority_bits(hashes, count).view(np.int64))], names=["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            found = [majority_bits(*shingle_hashes(texts[a:b], shingle)) for a, b in stretches(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "doc_id long, fp long")
 
@@ -87,7 +88,7 @@ def bucket_links(values: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np
     for m in np.unique(size[size > 1]).tolist():
         base = offsets[:-1][size == m]
         i, j = np.triu_indices(m, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 200_000 // len(i))
         for s in range(0, len(base), step):
             a, b = (base[s : s + step, None] + i).ravel(), (base[s : s + step, None] + j).ravel()
             keep = _close(values, table, a, b, most)
