@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import table
+from matchlake.llm.decontaminate import contaminated
 from matchlake.llm.lines import drop_frequent_lines
 from matchlake.llm.media import read_media, to_media
+from matchlake.llm.quality import quality_scores
 from matchlake.llm.simhash import simhash_classes
 from matchlake.llm.tokens import token_counts
 
@@ -19,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=4, most=4)
 
@@ -36,7 +42,11 @@ def op8_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(to_media(table(spark, sf_dir, "documents"))).drop("error")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op8_png_media)}
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op8_png_media, op9_pu_quality)}
 
 SQL = {
     "op4_line_runs": r"""
