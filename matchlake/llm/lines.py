@@ -43,7 +43,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 1, batches: int = 1, id_col: s
             ids, found = [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 keys = {line_key(x) for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")}
-                keys = [_hash(k) for k in keys if len(k) >= min_chars and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars)]
+                keys = [_hash(k) for k in keys if _long_enough(k, min_chars)]
                 found += keys
                 ids += [doc_id] * len(keys)
             hashes = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
@@ -106,17 +106,23 @@ class LineRuns:
         return self._read(self.settled)
 
 
-def _cut_lines(text: str | None, drop) -> tuple[int, int, str]:
+def _long_enough(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
+
+
+def _cut_lines(text: str | None, drop, min_chars: int) -> tuple[int, int, str]:
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    kept = [x for x in lines if not ((k := line_key(x)) and _hash(k) in drop)]
+    kept = [x for x in lines if not (_long_enough(k := line_key(x), min_chars) and _hash(k) in drop)]
     return len(lines), len(lines) - len(kept), b"\n".join(kept).decode("utf-8", "surrogatepass")
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", few_settled: int = FEW_SETTLED) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", few_settled: int = FEW_SETTLED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept for every row of docs: its lines without those found in at least min_docs rows.
 
     Null texts are one empty line, as empty ones; empty lines (keys under min_chars code points) always stay. Every
-    row counts as a document, also a repeated one. An empty table gives no rows; further columns are not read.
+    row counts as a document, also a repeated one. An empty table gives no rows. The columns named in carry follow as
+    they are, whatever their names; others are not read. Up to few_settled lines to drop are given to each worker,
+    beyond that documents are joined with their own.
     """
     spark = docs.sparkSession
     found = stored(line_hashes(docs, min_chars, batches, id_col, text_col), "lines")
@@ -124,27 +130,25 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     for b in range(batches):
         runs.add(found.filter(F.col("batch") == b))
     settled = runs.finish()
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_lines long, n_dropped long, kept string"
-    n_settled = settled.count()
+    names = [f"carried_{i}" for i in range(len(carry))]
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)))
+    carried = "".join(f", {n} {read.schema[n].dataType.simpleString()}" for n in names)
     known = None
-    if n_settled <= few_settled:
+    if settled.count() <= few_settled:
         rows = settled.select(*KEY).toArrow()
         known = spark.sparkContext.broadcast(np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy()], axis=1).astype("<i8").tobytes())
     else:
         hits = found.join(settled, KEY, "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("drop"))
         hits = hits.select(F.col("doc_id").alias("of"), "drop")
-        read = read.join(hits, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "drop")
-
-    def packed(data: bytes) -> set[bytes]:
-        return {data[i : i + 16] for i in range(0, len(data), 16)}
+        read = read.join(hits, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = packed(known.value) if known else set()
+        every = {known.value[i : i + 16] for i in range(0, len(known.value), 16)} if known else set()
         for part in parts:
-            drops = [every] * part.num_rows if known else ({np.array([x["h"], x["g"]], "<i8").tobytes() for x in own or ()} for own in part.column(2).to_pylist())
-            rows = [_cut_lines(t, d) for t, d in zip(part.column(1).to_pylist(), drops)]
+            drops = [every] * part.num_rows if known else ({np.array([x["h"], x["g"]], "<i8").tobytes() for x in own or ()} for own in part.column(part.num_columns - 1).to_pylist())
+            rows = [_cut_lines(t, d, min_chars) for t, d in zip(part.column(1).to_pylist(), drops)]
             n, m, kept = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.string()), *(part.column(2 + i) for i in range(len(names)))], names=["doc_id", "n_lines", "n_dropped", "kept", *names])
 
-    return read.mapInArrow(work, schema)
+    out = read.mapInArrow(work, f"doc_id long, n_lines long, n_dropped long, kept string{carried}")
+    return out.toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)

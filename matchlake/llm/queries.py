@@ -9,6 +9,7 @@ from matchlake.llm.common import table
 from matchlake.llm.decontaminate import contaminated
 from matchlake.llm.lines import drop_frequent_lines
 from matchlake.llm.media import read_media, to_media
+from matchlake.llm.packing import pack, word_lengths
 from matchlake.llm.quality import quality_scores
 from matchlake.llm.simhash import simhash_classes
 from matchlake.llm.tokens import token_counts
@@ -46,7 +47,11 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op8_png_media, op9_pu_quality)}
+def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(word_lengths(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
 
 SQL = {
     "op4_line_runs": r"""

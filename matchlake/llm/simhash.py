@@ -170,3 +170,58 @@ def simhash_classes(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: st
     """
     fps = stored(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
     return fps.join(classes(fps, most), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Words of the wide fingerprint, and how many of a text's least shingle hashes are bucket keys.
+WIDE, LEAST = 4, 6
+#: Bits of 256 that two texts of similarity 0.8 differ in: their shingle sets' vectors have cosine 2 * 0.8 / 1.8, so
+#: acos(0.889) / pi * 256 = 38.7 in the mean; one standard deviation (5.7) more is allowed.
+WIDE_MOST = 44
+
+
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    x = hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number * 0x632BE59BD9B4E019 % (1 << 64))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp array<long>, least array<long>): 256 bits over the set of shingles, and its least hashes."""
+    small_batches(docs.sparkSession)
+
+    def rows(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        hashes, count = shingle_hashes(texts, shingle)
+        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])]
+        own = np.concatenate(sets)
+        size = np.array([len(x) for x in sets], np.int64)
+        with np.errstate(over="ignore"):
+            mixed = [_mixed(own, i) for i in range(WIDE)]
+        fp = np.stack([majority_bits(m, size) for m in mixed], axis=1).view(np.int64)
+        for f, m in zip(fp, np.split(mixed[0], np.cumsum(size)[:-1])):
+            yield f, np.sort(np.partition(m, LEAST - 1)[:LEAST] if len(m) > LEAST else m).view(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [row for a, b in stretches(texts) for row in rows(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[i] for r in found], lists) for i in (0, 1))], names=["doc_id", "fp", "least"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "doc_id long, fp array<long>, least array<long>")
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id) for every row of docs: texts whose sets of word shingles are about 0.8 similar or more.
+
+    Similarity is told by the Hamming distance of 256-bit fingerprints. Texts that share one of their least shingle
+    hashes meet in a bucket (of pairs of similarity 0.8, about one in ten thousand shares none of six); pivots and
+    distance decide. group_id is the smallest doc_id reachable over links. Null and empty texts, and those without
+    words, are one group. A null doc_id stays null and is never the smallest beside another; an empty table gives no rows.
+    """
+    fps = stored(wide_fingerprints(docs, shingle, id_col, text_col), "wide-fp").withColumn("node", F.xxhash64("fp"))
+    groups = cut(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("least").alias("least")))
+    keyed = groups.select(F.explode("least").alias("bucket"), "node", "fp")
+    roots = components(links_in_buckets(keyed, most, WIDE)).withColumnRenamed("node", "of")
+    placed = groups.join(roots, groups.node == roots.of, "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("group_id"))
+    return fps.select("doc_id", "node").join(placed.join(least, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
