@@ -13,6 +13,7 @@ from matchlake.llm.packing import pack, word_lengths
 from matchlake.llm.quality import quality_scores
 from matchlake.llm.simhash import simhash_classes
 from matchlake.llm.tokens import token_counts
+from matchlake.llm.warc import archived
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +40,10 @@ def op6_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op8_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(to_media(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -51,9 +56,19 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
 
 SQL = {
+    "op7_warc_salvage": """
+        WITH page AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), first AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM page WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, p.payload_digest,
+            CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first_id THEN first_id END AS refers_to
+        FROM page p LEFT JOIN first f ON p.payload_digest = f.payload_digest""",
     "op4_line_runs": r"""
         WITH cut AS (
             SELECT doc_id, row_number() OVER () AS doc_row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

@@ -175,8 +175,8 @@ def simhash_classes(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: st
 #: Words of the wide fingerprint, and how many of a text's least shingle hashes are bucket keys.
 WIDE, LEAST = 4, 6
 #: Bits of 256 that two texts of similarity 0.8 differ in: their shingle sets' vectors have cosine 2 * 0.8 / 1.8, so
-#: acos(0.889) / pi * 256 = 38.7 in the mean; one standard deviation (5.7) more is allowed.
-WIDE_MOST = 44
+#: acos(0.889) / pi * 256 = 38.7 in the mean; over two standard deviations (5.7) more are allowed, so that hardly any is missed.
+WIDE_MOST = 52
 
 
 def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
