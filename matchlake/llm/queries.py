@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlake.llm.brown import class_scores
 from matchlake.llm.common import table
 from matchlake.llm.decontaminate import contaminated
 from matchlake.llm.lines import drop_frequent_lines
@@ -36,6 +37,10 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -56,7 +61,7 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
 
 SQL = {
     "op7_warc_salvage": """
