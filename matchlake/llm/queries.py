@@ -11,6 +11,7 @@ from matchlake.llm.decontaminate import contaminated
 from matchlake.llm.lines import drop_frequent_lines
 from matchlake.llm.media import read_media, to_media
 from matchlake.llm.packing import pack, word_lengths
+from matchlake.llm.pii import digest, personal_data
 from matchlake.llm.quality import quality_scores
 from matchlake.llm.simhash import simhash_classes
 from matchlake.llm.tokens import token_counts
@@ -32,6 +33,10 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), shingle=4, most=4)
 
 
+def op3_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -61,7 +66,7 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
 
 SQL = {
     "op7_warc_salvage": """
