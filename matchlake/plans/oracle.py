@@ -407,6 +407,10 @@ SINGLE = {
     "sampled_frames": f"WITH {FRAMES} SELECT match_id, frame_seq, 'nth' AS sampler FROM fr WHERE (frame_seq + 1) % 5 = 0 UNION ALL SELECT match_id, frame_seq, 'time' FROM fr WHERE frame_seq % 2 = 0 AND frame_seq < 60",
     "even_seeks": f"SELECT match_id, i, {jr('duration / 7 * i', 6)} AS ts_s FROM (SELECT user_id AS match_id, count(*) * 5.0::DOUBLE AS duration FROM events GROUP BY user_id), range(1, 7) r(i)",
     "status_transitions": f"WITH {STATUSES} SELECT id, seq AS at, was FROM tr",
+    "stream_transitions": f"WITH {STATUSES} SELECT id, seq AS at, was FROM tr",
+    "live_status": f"WITH {STATUSES} SELECT id, max_by(status, seq) AS status, max(seq) AS at FROM sc GROUP BY id",
+    "upload_starts": f"""WITH {FILES}, {MATCHES} SELECT CAST(m.id AS VARCHAR) AS id, CAST(m.user_id AS VARCHAR) AS user_id, path AS video_url, 'processing' AS status FROM f JOIN m ON string_split(path, '/')[3] = CAST(m.id AS VARCHAR) AND string_split(path, '/')[2] = CAST(m.user_id AS VARCHAR)
+        WHERE m.status = 'uploading' AND path LIKE 'videos/%' AND len(string_split(path, '/')) >= 4 AND (content_type = 'video/mp4' OR path LIKE '%.mp4') AND size <= 524288000""",
     "notifications": f"WITH {STATUSES}, {USERS} SELECT tr.id AS user_id, seq AS at, fcm_token FROM tr JOIN u ON u.id = tr.id WHERE fcm_token IS NOT NULL",
     "last_n_crops": f"WITH {FRAMES} SELECT match_id, track_id, frame_seq * 100 + det_ord AS seq FROM det WHERE class_id IN (1, 2) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY seq DESC) <= 500",
     "str_hash": "WITH RECURSIVE h AS (SELECT c_custkey AS id, c_name AS s, 0 AS i, 5381::BIGINT AS v FROM customer UNION ALL SELECT id, s, i + 1, xor((v * 33) & 4294967295, ascii(s[i + 1])::BIGINT) FROM h WHERE i < length(s)) SELECT id, v AS seed FROM h WHERE i = length(s)",

@@ -12,6 +12,7 @@ from matchlake.functions.geometry import jround
 from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, teams
 from matchlake.plans.profiles import ELEVEN, FIVE, Profile
 from matchlake.sources import fixtures as fx, predictions as pr
+from matchlake.streaming import triggers
 
 HOME, AWAY = "Reds", "Blues"
 
@@ -359,12 +360,15 @@ def even_seeks(spark, sf_dir):
     return pr.even_seeks(durations(spark, sf_dir)).withColumn("ts_s", jround(F.col("ts_s"), 6))
 
 
-def _status_changes(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events")
+def _as_status(e):
     status = F.when(F.col("event_type") == "signup", "uploading").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "error").otherwise("processing")
     return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), status.alias("status"))
 
 
+def _status_changes(spark, sf_dir):
+    return _as_status(fx.table(spark, sf_dir, "events"))
+
+
 def status_transitions(spark, sf_dir):
     return docs.transitions(_status_changes(spark, sf_dir), "completed").select("id", "at", "was")
 
@@ -374,6 +378,22 @@ def notifications(spark, sf_dir):
     return docs.notified(done, fx.users(spark, sf_dir)).select("user_id", "at", "fcm_token")
 
 
+def stream_transitions(spark, sf_dir):
+    """The transitions, from a stream of the events' files with the last status as state."""
+    schema = fx.table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    return triggers.drained(triggers.transitions(_as_status(arriving), "completed"))
+
+
+def upload_starts(spark, sf_dir):
+    """Uploads that start the processing of a match: the stream's transformation on a table."""
+    return triggers.accepted_uploads(_files(spark, sf_dir), fx.matches(spark, sf_dir))
+
+
+def live_status(spark, sf_dir):
+    return triggers.live_documents(_status_changes(spark, sf_dir))
+
+
 def last_n_crops(spark, sf_dir):
     crops = fx.detections(spark, sf_dir).filter(F.col("class_id").isin(*fr.PLAYERS)).select("match_id", "track_id", (F.col("frame_seq") * 100 + F.col("det_ord")).alias("seq"))
     return teams.last_crops(crops)
@@ -405,7 +425,7 @@ SINGLE = (
     stats_table, report_table, scoreboard, charts_long, event_feed, report_key_events, narrative_a, narrative_b, narrative_c, narrative_d, match_cards,
     fmt_timestamp, fmt_filesize, fmt_eta, est_duration, percent_parse, report_dates, homography, half_split_teams, box_clip, top_matches, match_counts, team_docs,
     doc_upsert, doc_update, doc_insert_absent, doc_delete, reprocess_reset, upload_gate, prefix_listing, rule_check, immutable_fields, request_check, progress_stages,
-    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_scores,
+    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_scores,
 )
 PAIRED = (possession, ball_owner_frames, steps, events, events_capped, corners, pass_stats, shot_stats, score_discipline, pressure_index, xg_grid, momentum, pass_nodes, pass_edges, first_last_goal)
 QUERIES = {f.__name__: f for f in SINGLE}
