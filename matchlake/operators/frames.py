@@ -9,7 +9,6 @@ from matchlake.functions.geometry import distance, jround, to_pitch
 from matchlake.plans.profiles import Profile
 
 BALL, PLAYERS = (0,), (1, 2)
-TRUE_ORDER = Window.partitionBy("match_id").orderBy("frame_seq")
 
 
 def frame_table(detections: DataFrame, p: Profile, frame_w: float, frame_h: float, team: Column | None = None) -> DataFrame:
@@ -45,7 +44,8 @@ def with_owner(frames: DataFrame, p: Profile) -> DataFrame:
 def with_state(owned: DataFrame, p: Profile) -> DataFrame:
     """Adds the owner and the ball of the frame before, and the ball's step since then, under the profile's rule."""
     rows = owned.filter("ball IS NOT NULL") if p.state_over_ball_frames else owned
-    prev = lambda c: F.lag(c).over(TRUE_ORDER)
+    order = Window.partitionBy("match_id").orderBy("frame_seq")
+    prev = lambda c: F.lag(c).over(order)
     out = rows.withColumn("prev_owner", prev("owner")).withColumn("prev_ball", prev("ball"))
     return out.withColumn("step", distance(F.col("ball.x"), F.col("ball.y"), F.col("prev_ball.x"), F.col("prev_ball.y")))
 

@@ -128,7 +128,7 @@ def test_density(spark):
 
 
 def test_network_caps(spark):
-    people = [(5 + i * 0.5, 12.0, "home") for i in range(25)]
+    people = [(5 + i * 0.3, 12.0, "home") for i in range(25)]
     points = spatial.positions(fr.frame_table(detections(spark, FIVE, [(None, people)] * 3), FIVE, 640.0, 360.0))
     nodes = spatial.nodes(points, FIVE)
     edges = spatial.edges(nodes, FIVE)
