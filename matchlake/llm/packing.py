@@ -29,7 +29,7 @@ RANKED = 100_000
 class Plan:
     """Best fit of counts of lengths, longest first.
 
-    steps: (length, first rank, number, first bin, start in the bin); ranks follow one another, and so do bins.
+    steps: (length, first rank, number in each bin, first bin, start in the bin); ranks fill one bin after the other.
     bins: (first bin, number, content, capacity) after downsizing.
     """
 
@@ -72,13 +72,15 @@ class Plan:
             if not self.open[room]:
                 del self.open[room]
                 self.rooms.pop(at)
-            take = min(left, n)
-            if take < n:
-                self._keep(room, (first + take, n - take, content))
-            self.steps.append((length, rank, take, first, content))
-            self._keep(room - length, (first, take, content + length))
-            rank += take
-            left -= take
+            # what is left of a bin fits best again until it is too small, so each bin takes as many as it can
+            each = min(room // length, left)
+            bins = min(n, left // each)
+            if bins < n:
+                self._keep(room, (first + bins, n - bins, content))
+            self.steps.append((length, rank, each, first, content))
+            self._keep(room - each * length, (first, bins, content + each * length))
+            rank += bins * each
+            left -= bins * each
 
 
 def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,8 +130,9 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: i
         for batch in batches:
             length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
             step = steps[np.searchsorted(key, length * wide + rank, "right") - 1]
-            bin_id = step[:, 3] + rank - step[:, 1]
+            bin_id = step[:, 3] + (rank - step[:, 1]) // step[:, 2]
+            start = step[:, 4] + (rank - step[:, 1]) % step[:, 2] * length
             size = bins[np.searchsorted(bins[:, 0], bin_id, "right") - 1, 3]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(bin_id), pa.array(size), pa.array(step[:, 4])], names=["doc_id", "piece", "piece_length", "bin_id", "bin_size", "bin_start"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(bin_id), pa.array(size), pa.array(start)], names=["doc_id", "piece", "piece_length", "bin_id", "bin_size", "bin_start"])
 
     return ranked.select("doc_id", F.col("piece").cast("long"), "piece_length", "rank").mapInArrow(work, "doc_id long, piece long, piece_length long, bin_id long, bin_size long, bin_start long")
