@@ -110,8 +110,9 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(self.wide(x)).astype(np.float64), -40, 40)))
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.03, decay: float = 1e-4) -> Model:
-        """Adam on the logistic loss; without a prior positives are told from unlabelled texts."""
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.03) -> Model:
+        """Adam on the logistic loss, with weights held smaller the fewer rows there are; without a prior positives are told from unlabelled texts."""
+        decay = 1e-4 + 5 / len(positive)
         p, u = self.wide(positive), self.wide(unlabelled)
         theta = np.zeros(p.shape[1] + 1)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
