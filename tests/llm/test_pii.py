@@ -1,0 +1,72 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+from matchlake.llm import pii
+from tests.llm.conftest import prose
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(number))) % 10 == 0
+
+
+def holds(kind, value):
+    d = re.sub("[^0-9]", "", value)
+    return {"email": True, "ip": all(int(x) <= 255 for x in value.split(".")) if kind == "ip" else False, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, text or "") if holds(k, m.group())]
+
+
+TRICKY = [
+    "a@b.c_d@e.f x@y.z", "..@a.b@c.d", "1.2.3.4.5.6.7.8 999.1.1.1 001.002.0003.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111", "4111111111111112 12345678901234567890 1 2 3 4 5 6 7 8 9 0",
+    "+1 (555) 123-4567 +12 +1234567 ++49 30 1234567- +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "é漢🙂 mail ä@b.de b@ö.de x@b.de,y@c.d.", "9" * 5000 + " 1.1.1.1", "@.@..@", "a" * 30000 + "@", "1 " * 4000, "+" * 3000 + "1" * 3000,
+]
+
+
+def test_base_spans(spark, docs, corpus, empty):
+    rng = random.Random(5)
+    alphabet = "ab@.@-_%+ 0123456789().,  \n"
+    rows = list(corpus) + [(2000 + i, t) for i, t in enumerate(TRICKY)] + [(3000 + i, "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120)))) for i in range(500)]
+    df = spark.createDataFrame([(i, t, "s", "v") for i, t in rows], "doc_id long, text string, spans string, votes string")
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.digest(pii.personal_data(df, rounds=3)).collect())
+    want = Counter()
+    for i, t in rows:
+        spans = brute(t)
+        want[(i, *(sum(k == s[0] for s in spans) for k in BASE), hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in spans).encode()).hexdigest())] += 1
+    assert got == want
+    assert pii.personal_data(empty, rounds=1).collect() == []
+
+
+def test_reliable_labelers_win(spark):
+    rng = random.Random(8)
+    rows, truth = [], {}
+    for _ in range(4000):
+        real = rng.random() < 0.6
+        votes = [(1 if real else -1) if rng.random() < right else (-1 if real else 1) for right in (0.95, 0.9, 0.85, 0.6, 0.55)]
+        rows.append(tuple(votes))
+        truth.setdefault(tuple(votes), []).append(real)
+    patterns = spark.createDataFrame([("ip", list(v), n) for v, n in Counter(rows).items()], "kind string, votes array<int>, n long")
+    right = total = 0
+    for r in pii.reliabilities(patterns).collect():
+        seen = truth[tuple(r.votes)]
+        right += sum(x == (r.likely > 0.5) for x in seen)
+        total += len(seen)
+    assert right / total > 0.93
+
+
+def test_added_spans(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{prose(rng, 20)} call ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} or +1 (312) 555-{rng.randint(1000, 9999)} today {prose(rng, 5)}") for i in range(60)]
+    got = pii.digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    for r, (_, text) in zip(sorted(got, key=lambda r: r.doc_id), rows):
+        spans = [s.split(":") for s in r.spans.split(",")]
+        assert [s[0] for s in spans] == ["phone", "local_phone"] and r.n_phone == 1
+        assert re.fullmatch(r"\([0-9]{3}\) 555-[0-9]{4}", text[int(spans[1][1]) : int(spans[1][2])])
