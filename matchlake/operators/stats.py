@@ -30,7 +30,7 @@ def event_stats(events: DataFrame) -> DataFrame:
         count = lambda c, own=own: F.count_if(own & c)
         out += [
             count(kind.isin(*SHOTS)).alias(f"{side}_shots"), count(kind == "shot_on_target").alias(f"{side}_on_target"),
-            jround(F.sum(F.when(own & kind.isin(*SHOTS), F.coalesce("xg", F.lit(0.0))).otherwise(0.0)), 2).alias(f"{side}_xg"),
+            jround(jround(F.sum(F.when(own & kind.isin(*SHOTS), F.coalesce("xg", F.lit(0.0))).otherwise(0.0)), 6), 2).alias(f"{side}_xg"),
             count(kind == "goal").alias(f"{side}_goals"), count(kind == "foul").alias(f"{side}_fouls"), count(kind == "corner").alias(f"{side}_corners"),
         ]
     return events.groupBy("match_id").agg(*out)

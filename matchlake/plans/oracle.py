@@ -148,7 +148,7 @@ def counted() -> str:
     cols = []
     for s in ("home", "away"):
         own = f"team_side = '{s}'"
-        cols.append(f"count(*) FILTER (WHERE {own} AND {shots}) AS {s}_shots, count(*) FILTER (WHERE {own} AND type = 'shot_on_target') AS {s}_on_target, {jr(f'coalesce(sum(coalesce(xg, 0)) FILTER (WHERE {own} AND {shots}), 0)', 2)} AS {s}_xg")
+        cols.append(f"count(*) FILTER (WHERE {own} AND {shots}) AS {s}_shots, count(*) FILTER (WHERE {own} AND type = 'shot_on_target') AS {s}_on_target, {jr(jr(f'coalesce(sum(coalesce(xg, 0)) FILTER (WHERE {own} AND {shots}), 0)', 6), 2)} AS {s}_xg")
         cols += [f"count(*) FILTER (WHERE {own} AND type = '{t}') AS {s}_{n}" for t, n in (("goal", "goals"), ("foul", "fouls"), ("corner", "corners"))]
     return f"stat AS (SELECT match_id, {', '.join(cols)} FROM ev GROUP BY match_id)"
 
