@@ -422,4 +422,44 @@ SINGLE = {
     ) SELECT id, n, {jr("c / 4294967295.0::DOUBLE", 9)} AS value FROM d WHERE n >= 0""",
 }
 
+SINGLE["heat_viz"] = f"SELECT match_id, team, x, y, {jr('intensity * 20', 3)} AS radius, {jr('intensity * 0.35::DOUBLE', 4)} AS opacity FROM ({SINGLE['heatmap_hist']})"
+SINGLE["edge_viz"] = f"WITH {edges(ELEVEN)} SELECT match_id, edge_seq, greatest(1.0::DOUBLE, count / 5.0::DOUBLE) AS width, {jr('accuracy * 100', 0)} AS percent FROM edge"
+SINGLE["track_sides"] = f"WITH {FRAMES} SELECT match_id, CASE WHEN track_id % 3 <> 0 AND track_id % 2 = 1 THEN 'away' ELSE 'home' END AS team_side, count(*) AS n FROM det WHERE class_id IN (1, 2) GROUP BY ALL"
+SINGLE["file_order"] = f"WITH {FILES}, g AS (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, path FROM f) SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY path) AS place FROM g"
+
+
+def demo(side: str, s: int, done: float, target: float) -> list[str]:
+    """Steps of one side's totals; s: 0 home, 1 away; r: the draws, from 1 on."""
+    return [
+        f"floor(floor(mins * 4.2::DOUBLE + 0.5) * ({side}_pct / 100.0::DOUBLE) * (0.85::DOUBLE + r[{4 + s}] * 0.3::DOUBLE) + 0.5) AS {side}_total",
+        f"floor({side}_total * ({done}::DOUBLE + r[{6 + s}] * 0.2::DOUBLE) + 0.5) AS {side}_completed",
+        f"greatest(3, floor(mins / 8 + 0.5)) + floor(r[{8 + s}] * greatest(3, floor(mins / 8 + 0.5))) AS {side}_shots",
+        f"greatest({side}_goals, floor({side}_shots * ({target}::DOUBLE + r[{10 + s}] * 0.3::DOUBLE))) AS {side}_on_target",
+        f"floor(({side}_goals * 0.4::DOUBLE + {side}_on_target * 0.18::DOUBLE + r[{12 + s}] * 0.6::DOUBLE) * 100 + 0.5) / 100 AS {side}_xg",
+        f"greatest(3, floor(mins / 7 + 0.5)) + floor(r[{14 + s}] * greatest(3, floor(mins / 7 + 0.5))) AS {side}_fouls",
+        f"2 + floor(r[{16 + s}] * 7) AS {side}_corners",
+    ]
+
+
+_STEPS = [
+    f"greatest(5.0::DOUBLE, floor(greatest(60.0::DOUBLE, least(5400.0::DOUBLE, {jr('size / 1048576.0::DOUBLE * 60', 0)})) / 60 + 0.5)) AS mins",
+    "floor(r[1] * (greatest(1, floor(mins / 18)) + 1)) AS home_goals", "floor(r[2] * (greatest(1, floor(mins / 18)) + 1)) AS away_goals", "floor(38 + r[3] * 24 + 0.5) AS home_pct", "100 - home_pct AS away_pct",
+    *demo("home", 0, 0.72, 0.35), *demo("away", 1, 0.68, 0.3),
+]
+_INNER = "SELECT id, any_value(size) AS size, list(value ORDER BY n) AS r FROM drawn WHERE n >= 0 GROUP BY id"
+for _step in _STEPS:
+    _INNER = f"SELECT *, {_step} FROM ({_INNER})"
+_WHOLE = ["mins", *[f"{side}_{n}" for side in ("home", "away") for n in ("goals", "pct", "total", "completed", "shots", "on_target", "fouls", "corners")]]
+SINGLE["demo_totals"] = f"""WITH RECURSIVE h AS (
+    SELECT c_custkey AS id, c_custkey * 7919003 % 500000000 AS size, c_name || '.mp4' || CAST(c_custkey * 7919003 % 500000000 AS VARCHAR) AS s, 0 AS i, 5381::BIGINT AS v FROM customer
+    UNION ALL SELECT id, size, s, i + 1, xor((v * 33) & 4294967295, ascii(s[i + 1])::BIGINT) FROM h WHERE i < length(s)
+), d AS (
+    SELECT id, size, -1::BIGINT AS n, xor(v, 3735928559) & 4294967295 AS c FROM h WHERE i = length(s)
+    UNION ALL SELECT id, size, n + 1, xor(b, (b << 5) & 4294967295) AS c FROM (
+        SELECT id, size, n, xor(a, ((CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END) >> 17) & 4294967295) AS b FROM (
+            SELECT id, size, n, xor(c, (c << 13) & 4294967295) AS a FROM d WHERE n < 16))
+), drawn AS (
+    SELECT id, size, n, c / 4294967295.0::DOUBLE AS value FROM d
+) SELECT id, {', '.join(f'{big(c)} AS {c}' for c in _WHOLE)}, home_xg, away_xg FROM ({_INNER})"""
+
 SQL = {**SINGLE, **paired()}

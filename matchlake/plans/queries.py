@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import formats, geometry, rng
 from matchlake.functions.geometry import jround
-from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, teams
+from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, synthetic, teams
 from matchlake.plans.profiles import ELEVEN, FIVE, Profile
 from matchlake.sources import fixtures as fx, predictions as pr
 from matchlake.streaming import triggers
@@ -420,12 +420,41 @@ def demo_scores(spark, sf_dir):
     return seeded.select("id", F.floor(F.col("r")[0] * 4).alias("home_goals"), F.floor(F.col("r")[1] * 4).alias("away_goals"), jround(F.col("r")[2], 6).alias("r2"), jround(F.col("r")[3], 6).alias("r3"))
 
 
+def demo_totals(spark, sf_dir):
+    k = F.col("c_custkey")
+    files = fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.concat("c_name", F.lit(".mp4")).alias("name"), (k * 7_919_003 % 500_000_000).alias("size"))
+    return synthetic.demo_totals(files)
+
+
+def file_order(spark, sf_dir):
+    """Files of each folder in the order of their names."""
+    files = _files(spark, sf_dir).withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))
+    return files.select("folder", "path", F.row_number().over(Window.partitionBy("folder").orderBy("path")).cast("long").alias("place"))
+
+
+def track_sides(spark, sf_dir):
+    """Players with the side that their track was given; tracks without one are home."""
+    players = fx.detections(spark, sf_dir).filter(F.col("class_id").isin(*fr.PLAYERS)).select("match_id", "track_id")
+    labels = players.filter("track_id % 3 <> 0").select("track_id").distinct().withColumn("label", F.when(F.col("track_id") % 2 == 0, "home").otherwise("away"))
+    return teams.side_of(players, labels).groupBy("match_id", "team_side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edge_viz(spark, sf_dir):
+    """Edges as they are drawn: the more passes, the wider."""
+    return pass_edges(spark, sf_dir, ELEVEN).select("match_id", "edge_seq", F.greatest(F.lit(1.0), F.col("count") / 5).alias("width"), jround(F.col("accuracy") * 100, 0).alias("percent"))
+
+
+def heat_viz(spark, sf_dir):
+    """Heat points as they are drawn."""
+    return heatmap_hist(spark, sf_dir).select("match_id", "team", "x", "y", jround(F.col("intensity") * 20, 3).alias("radius"), jround(F.col("intensity") * F.lit(0.35), 4).alias("opacity"))
+
+
 SINGLE = (
     match_summary, match_summary_five, possession_half, ball_presence, half_split_owners, heatmap_hist, heatmap_kde, raw_heat_points, voronoi_zones, edge_resolve, network_viz,
     stats_table, report_table, scoreboard, charts_long, event_feed, report_key_events, narrative_a, narrative_b, narrative_c, narrative_d, match_cards,
     fmt_timestamp, fmt_filesize, fmt_eta, est_duration, percent_parse, report_dates, homography, half_split_teams, box_clip, top_matches, match_counts, team_docs,
     doc_upsert, doc_update, doc_insert_absent, doc_delete, reprocess_reset, upload_gate, prefix_listing, rule_check, immutable_fields, request_check, progress_stages,
-    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_scores,
+    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_scores, demo_totals, file_order, track_sides, edge_viz, heat_viz,
 )
 PAIRED = (possession, ball_owner_frames, steps, events, events_capped, corners, pass_stats, shot_stats, score_discipline, pressure_index, xg_grid, momentum, pass_nodes, pass_edges, first_last_goal)
 QUERIES = {f.__name__: f for f in SINGLE}
