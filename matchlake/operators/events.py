@@ -20,13 +20,8 @@ def _event(rank: int, kind: Column | str, side: Column, when: Column, xg_: Colum
     return F.when(when, made)
 
 
-def passes(state: DataFrame, p: Profile) -> DataFrame:
-    """Completed passes of each side: the owner stays and the ball moves far enough."""
-    done = (F.col("owner") == F.col("prev_owner")) & (F.col("step") > p.pass_step)
-    return state.groupBy("match_id").agg(*[F.count_if(done & (F.col("owner") == side)).alias(f"{side}_completed") for side in ("home", "away")])
-
-
-def _frame_events(state: DataFrame, p: Profile) -> DataFrame:
+def detected(state: DataFrame, p: Profile) -> DataFrame:
+    """Adds found, the events of each frame but for corners, and near, whether the ball is near a corner."""
     x, y, owner = F.col("ball.x"), F.col("ball.y"), F.col("owner")
     changed = owner != F.col("prev_owner")
     other = F.when(owner == "home", "away").otherwise("home")
@@ -52,17 +47,22 @@ def corner_islands(frames: DataFrame) -> DataFrame:
     return marked.withColumn("corner", F.col("near") & (F.col("others") > 0) & (F.count_if("near").over(island) == 1))
 
 
+def taken_corners(gap: int) -> Column:
+    """For a match: its owned near frames (frame_seq, owner) that are more than gap frames after the last one taken."""
+    near = F.array_sort(F.collect_list(F.when(F.col("near") & F.col("owner").isNotNull(), F.struct("frame_seq", "owner"))))
+    start = F.struct(F.lit(-10).cast("long").alias("last"), F.expr("cast(array() AS array<struct<frame_seq: bigint, owner: string>>)").alias("out"))
+    take = lambda acc, s: F.when(s["frame_seq"] - acc["last"] > gap, F.struct(s["frame_seq"].alias("last"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc)
+    return F.aggregate(near, start, take, lambda acc: acc["out"])
+
+
 def corner_cooldown(frames: DataFrame, gap: int) -> DataFrame:
-    """Adds corner: owned near frames more than gap frames after the last one that was taken, from the first on."""
-    seqs = F.array_sort(F.collect_list(F.when(F.col("near") & F.col("owner").isNotNull(), F.col("frame_seq"))))
-    start = F.struct(F.lit(-10).cast("long").alias("last"), F.expr("cast(array() AS array<bigint>)").alias("out"))
-    take = lambda acc, s: F.when(s - acc["last"] > gap, F.struct(s.alias("last"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc)
-    taken = frames.groupBy("match_id").agg(F.explode(F.aggregate(seqs, start, take, lambda acc: acc["out"])).alias("frame_seq")).withColumn("corner", F.lit(True))
+    """Adds corner: whether the frame is one of the corners taken."""
+    taken = frames.groupBy("match_id").agg(taken_corners(gap).alias("taken")).select("match_id", F.explode("taken.frame_seq").alias("frame_seq")).withColumn("corner", F.lit(True))
     return frames.join(taken, ["match_id", "frame_seq"], "left").withColumn("corner", F.coalesce("corner", F.lit(False)))
 
 
 def with_corners(state: DataFrame, p: Profile) -> DataFrame:
-    frames = _frame_events(state, p)
+    frames = detected(state, p)
     return corner_islands(frames) if p.corner_rule == "islands" else corner_cooldown(frames, p.corner_gap)
 
 

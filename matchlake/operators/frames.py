@@ -42,20 +42,32 @@ def with_owner(frames: DataFrame, p: Profile) -> DataFrame:
 
 
 def with_state(owned: DataFrame, p: Profile) -> DataFrame:
-    """Adds the owner and the ball of the frame before, and the ball's step since then, under the profile's rule."""
-    rows = owned.filter("ball IS NOT NULL") if p.state_over_ball_frames else owned
+    """Adds the owner and the ball of the frame before, and the ball's step since then, under the profile's rule.
+
+    The frame before is the one before in the match, or the last one with a ball. All frames stay.
+    """
     order = Window.partitionBy("match_id").orderBy("frame_seq")
-    prev = lambda c: F.lag(c).over(order)
-    out = rows.withColumn("prev_owner", prev("owner")).withColumn("prev_ball", prev("ball"))
+    now = F.struct("owner", "ball")
+    if p.state_over_ball_frames:
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        before = F.last(F.when(F.col("ball").isNotNull(), now), ignorenulls=True).over(earlier)
+    else:
+        before = F.lag(now).over(order)
+    out = owned.withColumn("before", before).withColumn("prev_owner", F.col("before.owner")).withColumn("prev_ball", F.col("before.ball")).drop("before")
     return out.withColumn("step", distance(F.col("ball.x"), F.col("ball.y"), F.col("prev_ball.x"), F.col("prev_ball.y")))
 
 
+def shares(counts: DataFrame, p: Profile) -> DataFrame:
+    """Adds the shares of owned frames to counts with home_frames and away_frames."""
+    total = F.col("home_frames") + F.col("away_frames")
+    home = F.when(total > 0, jround(F.col("home_frames") / F.greatest(total, F.lit(1)) * 100, 1)).otherwise(p.empty_possession)
+    return counts.withColumn("home_pct", home).withColumn("away_pct", jround(100 - F.col("home_pct"), 1))
+
+
 def possession(owned: DataFrame, p: Profile) -> DataFrame:
     """Frames owned by each side and by none, and the shares of owned frames."""
     n = owned.groupBy("match_id").agg(*[F.count_if(F.coalesce("owner", F.lit("none")) == side).alias(f"{side}_frames") for side in ("home", "away", "none")], F.count(F.lit(1)).alias("frames"))
-    total = F.col("home_frames") + F.col("away_frames")
-    home = F.when(total > 0, jround(F.col("home_frames") / F.greatest(total, F.lit(1)) * 100, 1)).otherwise(p.empty_possession)
-    return n.withColumn("home_pct", home).withColumn("away_pct", jround(100 - F.col("home_pct"), 1))
+    return shares(n, p)
 
 
 def half_possession(detections: DataFrame, frame_w: float) -> DataFrame:

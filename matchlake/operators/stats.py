@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.functions.geometry import jround
+from matchlake.operators.events import corner_islands, detected, taken_corners
+from matchlake.operators.frames import shares
 from matchlake.plans.profiles import Profile
 
 SHOTS = ("shot", "shot_on_target", "goal")
 
 
-def pass_stats(done: DataFrame, share: DataFrame, p: Profile) -> DataFrame:
-    """Completed and total passes and accuracy of each side; the total has a floor that follows possession."""
-    out = share.select("match_id", "home_pct", "away_pct").join(done, "match_id", "left")
+def _of(side: str):
+    return lambda e: e["team_side"] == side
+
+
+def _owned(side: str):
+    return lambda c: c["owner"] == side
+
+
+def pass_rates(out: DataFrame, p: Profile) -> DataFrame:
+    """Adds total passes and accuracy of each side; the total has a floor that follows possession."""
     for side in ("home", "away"):
-        own = F.coalesce(f"{side}_completed", F.lit(0))
-        total = F.greatest(own, F.floor(F.col(f"{side}_pct") * F.lit(p.pass_floor) + F.lit(0.5)).cast("long"))
-        out = out.withColumn(f"{side}_completed", own).withColumn(f"{side}_total", total)
+        total = F.greatest(F.col(f"{side}_completed"), F.floor(F.col(f"{side}_pct") * F.lit(p.pass_floor) + F.lit(0.5)).cast("long"))
+        out = out.withColumn(f"{side}_total", total)
         out = out.withColumn(f"{side}_accuracy", F.when(F.col(f"{side}_total") > 0, jround(F.col(f"{side}_completed") / F.greatest(f"{side}_total", F.lit(1)) * 100, 1)).otherwise(0.0))
-    return out.drop("home_pct", "away_pct")
+    return out
+
+
+def pass_stats(state: DataFrame, p: Profile) -> DataFrame:
+    """Completed and total passes and accuracy of each side."""
+    passed = (F.col("owner") == F.col("prev_owner")) & (F.col("step") > p.pass_step)
+    counts = [F.count_if(passed & (F.col("owner") == side)).alias(f"{side}_completed") for side in ("home", "away")]
+    owned = [F.count_if(F.col("owner") == side).alias(f"{side}_frames") for side in ("home", "away")]
+    out = pass_rates(shares(state.groupBy("match_id").agg(*counts, *owned), p), p)
+    return out.select("match_id", *[f"{side}_{n}" for side in ("home", "away") for n in ("completed", "total", "accuracy")])
 
 
 def event_stats(events: DataFrame) -> DataFrame:
@@ -40,11 +57,31 @@ def pressure(share: DataFrame) -> DataFrame:
     return share.select("match_id", *[jround(F.col(f"{side}_pct") / 20, 1).alias(f"{side}_pressure") for side in ("home", "away")])
 
 
-def summary(share: DataFrame, done: DataFrame, events: DataFrame, p: Profile) -> DataFrame:
-    """One flat row for each match. All inputs are hashed by match, so that the joins move nothing."""
-    stats = event_stats(events)
-    out = share.join(pass_stats(done, share, p), "match_id").join(pressure(share), "match_id").join(stats, "match_id", "left")
-    return out.na.fill(0, [c for c in stats.columns if c != "match_id"])
+def summary(state: DataFrame, p: Profile) -> DataFrame:
+    """One flat row for each match, in one pass: events stay in their frames, so that all is one aggregation by match."""
+    frames, owner, sides = detected(state, p), F.col("owner"), ("home", "away")
+    passed = (owner == F.col("prev_owner")) & (F.col("step") > p.pass_step)
+    if p.corner_rule == "islands":
+        frames = corner_islands(frames)
+        corners = [F.count_if(F.col("corner") & (F.coalesce("owner", F.lit("home")) == side)).alias(f"{side}_corners") for side in sides]
+    else:
+        corners = [taken_corners(p.corner_gap).alias("taken")]
+    out = [F.count_if(F.coalesce("owner", F.lit("none")) == side).alias(f"{side}_frames") for side in (*sides, "none")] + [F.count(F.lit(1)).alias("frames")]
+    for side in sides:
+        own = F.filter("found", _of(side))
+        many = lambda *kinds, own=own: F.sum(F.size(F.filter(own, lambda e: e["type"].isin(*kinds)))).cast("long")
+        worth = F.aggregate(F.filter(own, lambda e: e["type"].isin(*SHOTS)), F.lit(0.0), lambda total, e: total + F.coalesce(e["xg"], F.lit(0.0)))
+        out += [
+            F.count_if(passed & (owner == side)).alias(f"{side}_completed"), many(*SHOTS).alias(f"{side}_shots"), many("shot_on_target").alias(f"{side}_on_target"),
+            jround(jround(F.sum(worth), 6), 2).alias(f"{side}_xg"), many("goal").alias(f"{side}_goals"), many("foul").alias(f"{side}_fouls"),
+        ]
+    flat = frames.groupBy("match_id").agg(*out, *corners)
+    if p.corner_rule != "islands":
+        for side in sides:
+            flat = flat.withColumn(f"{side}_corners", F.size(F.filter("taken", _owned(side))).cast("long"))
+        flat = flat.drop("taken")
+    flat = pass_rates(shares(flat, p), p)
+    return flat.withColumns({f"{side}_pressure": jround(F.col(f"{side}_pct") / 20, 1) for side in sides})
 
 
 def nested(flat: DataFrame) -> DataFrame:

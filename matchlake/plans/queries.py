@@ -26,9 +26,7 @@ def event_stream(spark: SparkSession, sf_dir: str, p: Profile) -> DataFrame:
 
 
 def flat_summary(spark: SparkSession, sf_dir: str, p: Profile) -> DataFrame:
-    frames = owned(spark, sf_dir, p)
-    state = fr.with_state(frames, p)
-    return stats.summary(fr.possession(frames, p), ev.passes(state, p), ev.events(state, p), p)
+    return stats.summary(fr.with_state(owned(spark, sf_dir, p), p), p)
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +85,7 @@ def corners(spark, sf_dir, p):
 
 
 def pass_stats(spark, sf_dir, p):
-    frames = owned(spark, sf_dir, p)
-    return stats.pass_stats(ev.passes(fr.with_state(frames, p), p), fr.possession(frames, p), p)
+    return stats.pass_stats(fr.with_state(owned(spark, sf_dir, p), p), p)
 
 
 def shot_stats(spark, sf_dir, p):

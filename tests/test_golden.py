@@ -56,7 +56,7 @@ def test_no_detections(spark, p, empty):
 def test_gap_in_ball_frames(spark):
     me = lambda x, y: [(x, y, "home")]
     frames = lambda far: [((20, 12), me(20, 12)), (None, me(20, 12)), ((20 + far, 12), me(20 + far, 12))]
-    five, eleven = (ev.passes(fr.with_state(owned(spark, p, frames(5)), p), p).first() for p in (FIVE, ELEVEN))
+    five, eleven = (stats.pass_stats(fr.with_state(owned(spark, p, frames(5)), p), p).first() for p in (FIVE, ELEVEN))
     assert five.home_completed == 0 and eleven.home_completed == 1
 
 
