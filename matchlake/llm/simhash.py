@@ -174,9 +174,14 @@ def simhash_classes(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: st
 
 #: Words of the wide fingerprint, and how many of a text's least shingle hashes are bucket keys.
 WIDE, LEAST = 4, 6
-#: Bits of 256 that two texts of similarity 0.8 differ in: their shingle sets' vectors have cosine 2 * 0.8 / 1.8, so
-#: acos(0.889) / pi * 256 = 38.7 in the mean; over two standard deviations (5.7) more are allowed, so that hardly any is missed.
+#: Least exact Jaccard similarity of the shingle sets of two texts that link.
+SIMILAR = 0.8
+#: Bits of 256 that a pair may differ in to be compared exactly: two texts of similarity 0.8 have vectors of cosine
+#: 2 * 0.8 / 1.8, so acos(0.889) / pi * 256 = 38.7 in the mean; over two standard deviations (5.7) more are allowed, so
+#: that hardly any is missed.
 WIDE_MOST = 52
+#: A bucket whose texts have more shingles is split into blocks of about this many; bits of the filter of texts to read again.
+SHINGLES, FILTER_BITS = 1 << 20, 1 << 25
 
 
 def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -185,43 +190,179 @@ def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sets(texts: list, shingle: int) -> list[np.ndarray]:
+    hashes, count = shingle_hashes(texts, shingle)
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])]
+
+
+def _keyed_texts(docs: DataFrame, text_col: str) -> tuple[F.Column, F.Column]:
+    text = F.col(text_col)
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.alias("text")
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp array<long>, least array<long>): 256 bits over the set of shingles, and its least hashes."""
+    """(doc_id, node, fp array<long>, least array<long>, size): 256 bits over the set of shingles, its least hashes, its size.
+
+    node is the hash of the text, 0 where it has no words. A set of fewer hashes than LEAST repeats its first.
+    """
     small_batches(docs.sparkSession)
 
-    def rows(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashes, count = shingle_hashes(texts, shingle)
-        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])]
+    def rows(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        sets = _sets(texts, shingle)
         own = np.concatenate(sets)
         size = np.array([len(x) for x in sets], np.int64)
         with np.errstate(over="ignore"):
             mixed = [_mixed(own, i) for i in range(WIDE)]
         fp = np.stack([majority_bits(m, size) for m in mixed], axis=1).view(np.int64)
         for f, m in zip(fp, np.split(mixed[0], np.cumsum(size)[:-1])):
-            yield f, np.sort(np.partition(m, LEAST - 1)[:LEAST] if len(m) > LEAST else m).view(np.int64)
+            least = np.sort(np.partition(m, LEAST - 1)[:LEAST] if len(m) > LEAST else m).view(np.int64)
+            yield f, np.append(least, np.repeat(least[:1], LEAST - len(least))), len(m)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.list_(pa.int64())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             found = [row for a, b in stretches(texts) for row in rows(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[i] for r in found], lists) for i in (0, 1))], names=["doc_id", "fp", "least"])
+            size = np.array([r[2] for r in found], np.int64)
+            node = np.where(size > 0, batch.column(1).to_numpy(), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node), *(pa.array([r[i] for r in found], lists) for i in (0, 1)), pa.array(size)], names=["doc_id", "node", "fp", "least", "size"])
+
+    return docs.select(F.col(id_col).cast("long"), *_keyed_texts(docs, text_col)).mapInArrow(work, "doc_id long, node long, fp array<long>, least array<long>, size long")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(node, shingles array<long>) for the texts of docs whose node is in wanted(node), once each, and for a few others.
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "doc_id long, fp array<long>, least array<long>")
+    The workers skip nearly all other texts by a bit map of bounded size; a join with the nodes has to follow.
+    """
+    bits = 1 << 16
+    while bits < min(8 * wanted.count(), FILTER_BITS):
+        bits *= 2
+    slot = wanted.select(F.col("node").bitwiseAND(F.lit(bits - 1).cast("long")).alias("slot"))
+    rows = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
+    own = np.zeros(bits // 64, np.int64)
+    own[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(own)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            at = node & (bits - 1)
+            pick = np.flatnonzero((held.value[at >> 6] >> (at & 63)) & 1)
+            pick = pick[np.sort(np.unique(node[pick], return_index=True)[1])]
+            texts = batch.column(1).take(pa.array(pick)).to_pylist()
+            for a, b in stretches(texts):
+                sets = [x.view(np.int64) for x in _sets(texts[a:b], shingle)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[pick[a:b]]), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    found = docs.select(*_keyed_texts(docs, text_col)).mapInArrow(work, "node long, shingles array<long>")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+class Meetings:
+    """A batch of (bucket, i, j, members array<struct<node, own, fp, least, ...>>): blocks i and j of a bucket."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        members = batch.column(3)
+        self.keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+        self.flat = members.flatten()
+        count = pa.compute.list_value_length(members).to_numpy(zero_copy_only=False)
+        self.offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.of = np.repeat(np.arange(len(count)), count)
+        self.node, self.own = (self.flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "own"))
+        self.fp = self.flat.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
+        self.least = self.flat.field("least").flatten().to_numpy(zero_copy_only=False).reshape(-1, LEAST)
+
+    def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members at most `most` bits apart, the nearest first in each part; of all meetings of two nodes in one.
+
+        That is the bucket of the least hash that they share, and there the meeting of their blocks, or of their block with itself.
+        """
+        table = np.stack([np.bitwise_count(self.fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots(WIDE)], axis=1)
+        size = np.diff(self.offsets)
+        for m in np.unique(size[size > 1]).tolist():
+            base = self.offsets[:-1][size == m]
+            i, j = np.triu_indices(m, 1)
+            step = max(1, 200_000 // len(i))
+            for s in range(0, len(base), step):
+                a, b = (base[s : s + step, None] + i).ravel(), (base[s : s + step, None] + j).ravel()
+                keep = _close(self.fp, table, a, b, most)
+                a, b = a[keep], b[keep]
+                keys = self.keys[self.of[a]]
+                shared = (self.least[a][:, :, None] == self.least[b][:, None, :]).any(axis=2)
+                first = np.where(shared, self.least[a], np.iinfo(np.int64).max).min(axis=1)
+                here = (first == keys[:, 0]) & ((self.own[a] != self.own[b]) | (keys[:, 1] == keys[:, 2]))
+                a, b = a[here], b[here]
+                order = np.argsort(np.bitwise_count(self.fp[a] ^ self.fp[b]).sum(axis=1, dtype=np.int32), kind="stable")
+                yield a[order], b[order]
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sets, as arrays of distinct values, have a Jaccard similarity of `least` or more."""
+    if min(len(x), len(y)) < int(least * max(len(x), len(y))):
+        return False
+    union = len(np.unique(np.concatenate([x, y])))
+    return (len(x) + len(y) - union) / union >= least
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, most: int, shingle: int, text_col: str) -> DataFrame:
+    """Links (u, v) between nodes of groups(node, fp, least, size) that share a bucket, differ in at most `most` bits and are similar.
+
+    Only texts that have a close one are read again for their sets. Each pair that no link joins yet in its meeting is
+    compared, so that the links join what all similar pairs would.
+    """
+    keyed = groups.select(F.explode(F.array_distinct("least")).alias("bucket"), "node", "fp", "least", "size")
+    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).filter("n > 1")
+    dealt = keyed.join(size, "bucket").withColumn("blocks", F.least(F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / SHINGLES)), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("node", "own", "fp", "least").alias("member"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            meet = Meetings(batch)
+            row = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for pair in meet.pairs(most) for x in pair)]))
+            kinds = [pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(meet.keys[meet.of[row], k], t) for k, t in enumerate(kinds)), meet.flat.take(pa.array(row))], names=["bucket", "i", "j", "member"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            meet, links = Meetings(batch), []
+            sets = meet.flat.field("shingles")
+            above = list(range(len(meet.node)))
+
+            def root(x: int) -> int:
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
+
+            own = lambda x: sets[x].values.to_numpy(zero_copy_only=False)
+            for a, b in meet.pairs(most):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if (u := root(x)) != (v := root(y)) and similar(own(x), own(y)):
+                        above[max(u, v)] = min(u, v)
+                        links.append((x, y))
+            row = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(meet.node[row].min(axis=1)), pa.array(meet.node[row].max(axis=1))], names=["u", "v"])
+
+    member = "struct<node: long, own: int, fp: array<long>, least: array<long>>"
+    members = lambda df: df.groupBy("bucket", "i", "j").agg(F.collect_list("member").alias("members"))
+    met = stored(members(dealt).mapInArrow(close, f"bucket long, i int, j int, member {member}"), "near-met").withColumn("node", F.col("member.node"))
+    sets = shingle_sets(docs, met.select("node").distinct(), shingle, text_col)
+    with_sets = met.join(sets, "node").select("bucket", "i", "j", F.struct("member.*", "shingles").alias("member"))
+    return members(with_sets).mapInArrow(compared, "u long, v long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id) for every row of docs: texts whose sets of word shingles are about 0.8 similar or more.
+    """(doc_id, group_id) for every row of docs: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-    Similarity is told by the Hamming distance of 256-bit fingerprints. Texts that share one of their least shingle
-    hashes meet in a bucket (of pairs of similarity 0.8, about one in ten thousand shares none of six); pivots and
-    distance decide. group_id is the smallest doc_id reachable over links. Null and empty texts, and those without
+    Texts that share one of their least shingle hashes meet in a bucket (of pairs of similarity 0.8, about one in ten
+    thousand shares none of six). Pivots and the Hamming distance of 256-bit fingerprints tell which of them are compared;
+    the sets themselves decide. group_id is the smallest doc_id reachable over links. Null and empty texts, and those without
     words, are one group. A null doc_id stays null and is never the smallest beside another; an empty table gives no rows.
     """
-    fps = stored(wide_fingerprints(docs, shingle, id_col, text_col), "wide-fp").withColumn("node", F.xxhash64("fp"))
-    groups = cut(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("least").alias("least")))
-    keyed = groups.select(F.explode("least").alias("bucket"), "node", "fp")
-    roots = components(links_in_buckets(keyed, most, WIDE)).withColumnRenamed("node", "of")
+    fps = stored(wide_fingerprints(docs, shingle, id_col, text_col), "wide-fp")
+    groups = cut(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "least", "size"))))
+    roots = components(similar_links(docs, groups, most, shingle, text_col)).withColumnRenamed("node", "of")
     placed = groups.join(roots, groups.node == roots.of, "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("group_id"))
     return fps.select("doc_id", "node").join(placed.join(least, "root").select("node", "group_id"), "node").select("doc_id", "group_id")

@@ -95,6 +95,34 @@ def test_near_groups(spark, docs, corpus):
             assert group[i] == i
 
 
+def test_near_groups_are_similar(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(12):  # versions of a text at similarities from 0.6 to 0.95, beside a chain
+        base = [f"g{g}w{i}" for i in range(400)]
+        for k in range(12):
+            own = list(base)
+            for at in rng.choice(80, rng.integers(1, 20), replace=False).tolist():
+                own[5 * at] = f"g{g}v{k}x{at}"
+            texts.append(" ".join(own))
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(hashes(t, 5)) for t in texts]
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                of = [of[j] if x == of[i] else x for x in of]
+    least = {c: of.index(c) for c in of}
+    assert got == {i: least[c] for i, c in enumerate(of)}
+    assert 12 < len(set(of)) < len(texts)
+
+
+def test_similar_at_the_threshold():
+    for n in range(1, 300):
+        assert simhash.similar(np.arange(5 * n), np.arange(n, 5 * n)) and not simhash.similar(np.arange(5 * n), np.arange(n + 1, 5 * n))
+
+
 def test_empty(spark, empty):
     assert simhash.simhash_classes(empty).collect() == []
     assert simhash.near_duplicate_groups(empty).collect() == []
