@@ -19,7 +19,7 @@ LEAST_REVISIT = 100
 #: An archive is closed when it is this large.
 ARCHIVE_BYTES = 64 << 20
 READ = 1 << 18
-#: A header block may take this many bytes.
+#: First bytes of a plain record to look for its headers in; twice as many each time that they don't end there.
 HEADER = 1 << 16
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -124,12 +124,19 @@ class Salvage:
 
     @staticmethod
     def _headers(data: bytes) -> tuple[dict[str, str], int] | None:
-        end = data.find(b"\r\n\r\n", 0, HEADER)
+        end = data.find(b"\r\n\r\n")
         if end < 0 or not data.startswith(VERSION):
             return None
         pairs = [line.partition(b":") for line in data[:end].split(b"\r\n")[1:]]
         return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "surrogatepass").strip() for k, _, v in pairs}, end + 4
 
+    def _plain_headers(self, pos: int) -> tuple[dict[str, str], int] | None:
+        """Headers of the plain record at pos, however long; a next version line before their end ends the search."""
+        data, n = self._at(pos, HEADER), HEADER
+        while b"\r\n\r\n" not in data and b"\n" + VERSION not in data and len(data) == n:
+            data, n = data + self._at(pos + n, n), 2 * n
+        return self._headers(data.partition(b"\n" + VERSION)[0])
+
     def _record(self, pos: int) -> tuple[dict[str, str], bytes, int] | None:
         """Headers, block and end of the record at pos, if all of its checks hold."""
         start = self._at(pos, len(VERSION))
@@ -143,7 +150,7 @@ class Salvage:
                 n = int(head.get("content-length", -1))
                 block, rest = data[at : at + n], data[at + max(n, 0) :]
             elif start == VERSION:
-                found = self._headers(self._at(pos, HEADER))
+                found = self._plain_headers(pos)
                 if not found:
                     return None
                 head, at = found
@@ -247,9 +254,18 @@ def archived(pages: DataFrame, to: str | None = None) -> DataFrame:
     """Write pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Repeated rows are archived each; of rows that share the smallest id of equal payloads all are responses. An empty
-    table gives no rows; further columns are not read.
+    table gives no rows; further columns are not read. Reading fails if an archive gives back fewer or more records than
+    were written to it.
     """
     spark = pages.sparkSession
-    written = write_archives(pages, to or scratch(spark, "warc"))
-    found = read_archives(spark, written)
-    return found.filter("NOT gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_back(read_archives(spark, written := write_archives(pages, to or scratch(spark, "warc"))), written)
+
+
+def read_back(found: DataFrame, written: DataFrame) -> DataFrame:
+    """The records of found, checked against the numbers of records in written(path, records)."""
+    found = stored(found.select("path", "gap", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-found")
+    read = found.filter("NOT gap").groupBy("path").agg(F.count(F.lit(1)).alias("read"))
+    wrong = written.join(read, "path", "left").filter("records <> coalesce(read, 0)").agg(F.count(F.lit(1)), F.sum("records"), F.sum(F.coalesce("read", F.lit(0)))).first()
+    if wrong[0]:
+        raise ValueError(f"{wrong[0]} archives gave back {wrong[2]} of {wrong[1]} records")
+    return found.filter("NOT gap").drop("path", "gap")

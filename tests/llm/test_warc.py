@@ -2,6 +2,8 @@ import gzip
 import hashlib
 from collections import Counter
 
+import pytest
+
 from matchlake.llm import warc
 
 
@@ -57,3 +59,25 @@ def test_plain_records_and_gaps_in_the_table(spark, tmp_path):
     rows = warc.read_archives(spark, spark.createDataFrame([(str(path),)], "path string")).orderBy("start").collect()
     assert [(r.gap, r.page_id, bytes(r.payload or b"")) for r in rows] == [(False, 7, b"hello"), (True, None, b""), (False, 7, b"hello")]
     assert rows[1].end - rows[1].start == len(plain) + len(b"garbage\n")
+
+
+def test_long_urls(spark, tmp_path):
+    url, html = "http://a/?q=" + "x" * 200_000, "y" * 300
+    df = spark.createDataFrame([(1, url, html), (2, url + "2", html), (3, "http://a/3", "z")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.archived(df).collect()) == [(1, 300, "response"), (2, 300, "revisit"), (3, 1, "response")]
+    plain = gzip.decompress(warc.record(7, url, b"hello", hashlib.sha256(b"hello").hexdigest(), None))
+    cut_short = b"WARC/1.1\r\nWARC-Target-URI: " + b"x" * 200_000
+    path = tmp_path / "c.warc"
+    path.write_bytes(plain + cut_short + b"\n" + plain)
+    found = parsed(path)
+    assert [x[2] and x[2]["warc-target-uri"] for x in found] == [url, None, url]
+    assert found[1][:2] == (len(plain), len(plain) + len(cut_short) + 1)
+
+
+def test_lost_records_raise(spark, tmp_path):
+    _, df = pages(spark)
+    written = warc.write_archives(df, str(tmp_path))
+    found = warc.read_archives(spark, written)
+    assert warc.read_back(found, written).count() == df.count()
+    with pytest.raises(ValueError, match="of"):
+        warc.read_back(found.filter("page_id <> 4 OR page_id IS NULL"), written)
