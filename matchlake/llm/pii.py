@@ -32,6 +32,8 @@ MORE = {
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "secret": r"(?:AKIA[A-Z0-9]{12,20}|gh[pousr]_[A-Za-z0-9]{20,}|(?:password|passwd|secret|token|api_?key)[=:][A-Za-z0-9+/_.-]{6,})",
 }
+#: What a text must hold for any of MORE to match.
+MIGHT = r"[0-9]{3}|[=:]|AKIA|gh[pousr]_|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"
 KINDS = [*BASE, *MORE]
 #: Words near a span that speak for its kind, words that speak against any, and gazetteers.
 CUES = {
@@ -138,7 +140,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         spans = found(F.col("text"), pattern)
         read = read.withColumn(kind, F.when(might[kind], spans).otherwise(none) if kind in might else spans)
     more = "|".join(f"(?<![A-Za-z0-9+]){p}" for p in MORE.values())
-    read = read.withColumn("more", F.when(F.col("text").rlike("[0-9]{3}|[=:]"), found(F.col("text"), more)).otherwise(none))
+    read = read.withColumn("more", F.when(F.col("text").rlike(MIGHT), found(F.col("text"), more)).otherwise(none))
 
     def tag(kind: str):
         return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), holds(kind, s["value"]).alias("base"))
