@@ -12,21 +12,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import scratch, small_batches, stored
+from matchlake.llm.common import qualified, scratch, small_batches, stored
 
 #: A payload of fewer bytes is never a revisit.
 LEAST_REVISIT = 100
 #: An archive is closed when it is this large.
 ARCHIVE_BYTES = 64 << 20
 READ = 1 << 18
+#: Repeated payloads up to this number (64 hex digits and an id each) are given to each worker; more are joined.
+FEW_REPEATED = 100_000
 #: First bytes of a plain record to look for its headers in; twice as many each time that they don't end there.
 HEADER = 1 << 16
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
 
-def place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+def place(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a location with its scheme (see qualified)."""
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
 def record_id(page_id) -> str:
@@ -61,14 +64,21 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
 
     Of pages with equal payloads of at least LEAST_REVISIT bytes the one with the smallest page_id is the response and
     the others revisit it. Null html is an empty payload, a null url is left out, a page without id is a response and
-    never revisited. Archives of attempts that were lost stay unlisted.
+    never revisited. Archives of attempts that were lost stay unlisted. Pages are written where they are read: only
+    digests and ids are shuffled, and payloads only if more of them repeat than FEW_REPEATED.
     """
     spark = pages.sparkSession
     small_batches(spark)
+    to = qualified(spark, to)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     read = read.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = read.filter((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    read = read.join(first.filter("n > 1").drop("n"), "digest", "left")
+    first = stored(first.filter("n > 1").select("digest", "first"), "warc-repeated")
+    if first.count() <= FEW_REPEATED:
+        read = read.join(F.broadcast(first), "digest", "left")
+    else:  # small payloads repeat most and are never revisits, so that they stay where they are
+        small = F.octet_length("html") < LEAST_REVISIT
+        read = read.filter(~small).join(first, "digest", "left").unionByName(read.filter(small).withColumn("first", F.lit(None).cast("long")))
     read = read.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +213,15 @@ class Salvage:
 FOUND = "path string, start long, end long, gap boolean, page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, sound boolean"
 
 
-def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Every record and every quarantined gap of the archives in paths(path).
+def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record and every quarantined gap of the archives in paths(path), four tasks an archive at hand for balance.
 
     For a revisit payload is null and its size and digest are those that it states of the payload it refers to. sound
     tells whether the payload's digest is the stated one (null: not stated or not there). A gap has nothing but its place.
+    Without payloads they are checked all the same, but not returned.
     """
     small_batches(spark)
+    base = qualified(spark, "/")
 
     def number(text: str | None) -> int | None:
         return int(text) if text and text.lstrip("-").isdigit() else None
@@ -225,7 +237,7 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
         own = None if revisit else hashlib.sha256(payload).hexdigest()
         size = number(stated.get(b"content-length", b"").decode("ascii", "replace")) if revisit else len(payload)
         sound = None if revisit or digest is None else own == digest
-        return path, start, end, False, number(head.get("x-page-id")), head.get("warc-target-uri"), head.get("warc-type"), number(head.get("x-refers-to-page-id")), None if revisit else payload, size, digest if revisit else own, sound
+        return path, start, end, False, number(head.get("x-page-id")), head.get("warc-target-uri"), head.get("warc-type"), number(head.get("x-refers-to-page-id")), payload if payloads and not revisit else None, size, digest if revisit else own, sound
 
     names = [f.split()[0] for f in FOUND.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -235,7 +247,7 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, own = place(path)
+                store, own = place(path if path.startswith("file:") or "://" in path else base.rstrip("/") + path)
                 with store.open_input_file(own) as file:
                     rows, size = [], 0
                     for item in Salvage(file, file.size()):
@@ -247,25 +259,37 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
                     if rows:
                         yield pack(rows)
 
-    return paths.select("path").repartition(F.col("path")).mapInArrow(work, FOUND)
+    # a number of partitions that is asked for is kept, so that small lists of large archives aren't read by one task
+    return paths.select("path").repartition(max(1, 4 * paths.count()), "path").mapInArrow(work, FOUND)
 
 
 def archived(pages: DataFrame, to: str | None = None) -> DataFrame:
-    """Write pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Write pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, gap_bytes.
 
-    Repeated rows are archived each; of rows that share the smallest id of equal payloads all are responses. An empty
-    table gives no rows; further columns are not read. Reading fails if an archive gives back fewer or more records than
-    were written to it.
+    gap_bytes: the bytes quarantined in the record's archive (0: the archive is whole); the gaps themselves are logged
+    beside the archives, in the folder gaps. Repeated rows are archived each; of rows that share the smallest id of
+    equal payloads all are responses. Payloads of any length are streamed into the archive and read back one at a time.
+    An empty table gives no rows; further columns are not read. Reading fails if an archive gives back fewer or more
+    records than were written to it.
     """
     spark = pages.sparkSession
-    return read_back(read_archives(spark, written := write_archives(pages, to or scratch(spark, "warc"))), written)
+    to = to or scratch(spark, "warc")
+    written = write_archives(pages, to)
+    return read_back(read_archives(spark, written, payloads=False), written, f"{to}/gaps")
 
 
-def read_back(found: DataFrame, written: DataFrame) -> DataFrame:
-    """The records of found, checked against the numbers of records in written(path, records)."""
-    found = stored(found.select("path", "gap", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-found")
+def read_back(found: DataFrame, written: DataFrame, log: str) -> DataFrame:
+    """The records of found, checked against the numbers of records in written(path, records); gaps are written to log."""
+    found = stored(found.select("path", "start", "end", "gap", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-found")
+    found.filter("gap").select("path", "start", "end").write.mode("overwrite").parquet(log)
+    gaps = found.sparkSession.read.schema("path string, start long, end long").parquet(log)
+    lost = gaps.groupBy("path").agg(F.sum(F.col("end") - F.col("start")).alias("gap_bytes"))
     read = found.filter("NOT gap").groupBy("path").agg(F.count(F.lit(1)).alias("read"))
-    wrong = written.join(read, "path", "left").filter("records <> coalesce(read, 0)").agg(F.count(F.lit(1)), F.sum("records"), F.sum(F.coalesce("read", F.lit(0)))).first()
-    if wrong[0]:
-        raise ValueError(f"{wrong[0]} archives gave back {wrong[2]} of {wrong[1]} records")
-    return found.filter("NOT gap").drop("path", "gap")
+    wrong = written.join(read, "path", "left").filter("records <> coalesce(read, 0)").agg(F.count(F.lit(1)).alias("archives"), F.sum("records").alias("wrote"), F.sum(F.coalesce("read", F.lit(0))).alias("read")).first()
+    if wrong["archives"]:
+        where = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("gap_bytes"), F.lit(0))).first()
+        raise ValueError(f"{wrong['archives']} archives gave back {wrong['read']} of {wrong['wrote']} records; {where[1]} bytes of {where[0]} archives are quarantined, see {log}")
+    whole = found.filter("NOT gap").drop("gap", "start", "end")
+    if lost.isEmpty():
+        return whole.drop("path").withColumn("gap_bytes", F.lit(0).cast("long"))
+    return whole.join(lost, "path", "left").drop("path").withColumn("gap_bytes", F.coalesce("gap_bytes", F.lit(0).cast("long")))

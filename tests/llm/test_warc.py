@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from matchlake.llm import warc
+from matchlake.llm.common import qualified
 
 
 def pages(spark):
@@ -13,7 +14,7 @@ def pages(spark):
     return rows, spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, monkeypatch):
     rows, df = pages(spark)
     first = {}
     for i, _, h in rows:
@@ -24,8 +25,11 @@ def test_round_trip(spark):
         data = (h or "").encode()
         ref = first.get(h)
         ref = ref if ref is not None and i is not None and i > ref else None
-        want[i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if ref else "response", ref] += 1
-    assert Counter(tuple(r) for r in warc.archived(df).collect()) == want
+        want[i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if ref else "response", ref, 0] += 1
+    for few in (warc.FEW_REPEATED, 0):  # repeated payloads at hand, and joined
+        monkeypatch.setattr(warc, "FEW_REPEATED", few)
+        columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "gap_bytes")
+        assert Counter(tuple(r[c] for c in columns) for r in warc.archived(df).collect()) == want
     assert warc.archived(df.limit(0)).collect() == []
 
 
@@ -76,8 +80,46 @@ def test_long_urls(spark, tmp_path):
 
 def test_lost_records_raise(spark, tmp_path):
     _, df = pages(spark)
-    written = warc.write_archives(df, str(tmp_path))
+    written = warc.write_archives(df, str(tmp_path / "a"))
     found = warc.read_archives(spark, written)
-    assert warc.read_back(found, written).count() == df.count()
+    assert warc.read_back(found, written, str(tmp_path / "g")).count() == df.count()
     with pytest.raises(ValueError, match="of"):
-        warc.read_back(found.filter("page_id <> 4 OR page_id IS NULL"), written)
+        warc.read_back(found.filter("page_id <> 4 OR page_id IS NULL"), written, str(tmp_path / "g"))
+
+
+def test_damaged_archives_through_spark(spark, tmp_path):
+    """Archives of 300 pages; one has junk between members, so that all records are read and the gap is logged; then one loses a member."""
+    html = [f"<p>{i}</p>" * 50 for i in range(300)]
+    df = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(5)
+    written = warc.write_archives(df, str(tmp_path / "a"))
+    assert written.count() == 5 and warc.read_archives(spark, written).rdd.getNumPartitions() == 20
+    path = written.first()["path"].removeprefix("file:").replace("//", "/")
+    with open(path, "rb") as f:
+        data = f.read()
+    at = data.index(warc.GZIP, len(data) // 2)
+    with open(path, "wb") as f:
+        f.write(data[:at] + b"junk" * 25 + data[at:])
+    rows = warc.read_back(warc.read_archives(spark, written), written, str(tmp_path / "g")).collect()
+    assert len(rows) == 300 and {r.gap_bytes for r in rows} == {0, 100}
+    logged = spark.read.parquet(str(tmp_path / "g")).collect()
+    assert [(r.start, r.end) for r in logged] == [(at, at + 100)]
+    with open(path, "wb") as f:
+        f.write(data[:at] + data[at + 40 :])
+    with pytest.raises(ValueError, match="299 of 300|59 of 60"):
+        warc.read_back(warc.read_archives(spark, written), written, str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 1
+
+
+def test_paths_without_a_scheme_are_sparks(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)).startswith("file:/")
+    _, df = pages(spark)
+    written = warc.write_archives(df, str(tmp_path / "b"))
+    assert written.first()["path"].startswith("file:/")
+    assert spark.read.format("binaryFile").load([r.path for r in written.collect()]).count() == written.count()
+
+
+def test_very_long_payload(spark):
+    html = "漢字 " * 3_000_000
+    r = warc.archived(spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [(x.payload_bytes, x.record_type) for x in r] == [(len(html.encode()), "response"), (len(html.encode()), "revisit")]
+    assert r[0].payload_digest == r[1].payload_digest == hashlib.sha256(html.encode()).hexdigest()
