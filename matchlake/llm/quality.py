@@ -76,16 +76,17 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f array<float>) for every row of docs; null texts are empty."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, f array<float>) for every row of docs, and row, where row_col names it; null texts are empty."""
     small_batches(docs.sparkSession)
+    schema = "doc_id long, f array<float>" + (f", row {docs.schema[row_col].dataType.simpleString()}" if row_col else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.array(describe(x), np.float32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.float32())), *batch.columns[2:]], names=["doc_id", "f", "row"][: batch.num_columns])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "doc_id long, f array<float>")
+    return docs.select(F.col(id_col).cast("long"), text_col, *([row_col] if row_col else [])).mapInArrow(work, schema)
 
 
 class Model:
@@ -117,76 +118,97 @@ class Model:
         theta = np.zeros(p.shape[1] + 1)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
 
-        def gradient(wide: np.ndarray, each: np.ndarray) -> np.ndarray:
-            return np.append(wide.T @ each.astype(np.float32), each.sum()) / len(wide)
-
         for t in range(1, rounds + 1):
-            self.weight, self.bias = theta[:-1], theta[-1]
-            sp, su = (1 / (1 + np.exp(-np.clip(self.raw(x), -40, 40))) for x in (p, u))
-            good, bad_p, bad_u = gradient(p, sp - 1), gradient(p, sp), gradient(u, su)
-            if prior is None:
-                g = good + bad_u
-            else:
-                negative = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
-                g = prior * good + (bad_u - prior * bad_p) if negative >= 0 else prior * bad_p - bad_u
+            g = self.gradient(theta, p, u, prior)
             g[:-1] += decay * theta[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weight, self.bias = theta[:-1], float(theta[-1])
         return self
 
+    def gradient(self, theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
+        """Of the risk on wide positives and unlabelled rows; where its negative part is under 0, the step that raises that part."""
+        self.weight, self.bias = theta[:-1], theta[-1]
+        sp, su = (1 / (1 + np.exp(-np.clip(self.raw(x), -40, 40))) for x in (p, u))
+        mean = lambda wide, each: np.append(wide.T @ each.astype(np.float32), each.sum()) / len(wide)
+        good, bad_p, bad_u = mean(p, sp - 1), mean(p, sp), mean(u, su)
+        if prior is None:
+            return good + bad_u
+        negative = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
+        return prior * good + (bad_u - prior * bad_p) if negative >= 0 else prior * bad_p - bad_u
+
+
+def thresholds(positive: np.ndarray) -> np.ndarray:
+    """Scores that all to a fifth of the positives reach."""
+    return np.quantile(positive, np.linspace(0, 0.8, 81))
+
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of good texts among the unlabelled ones, from the scores of a model that tells the two sets apart.
+    """Share of good texts among the unlabelled ones, from how many of each set reach 0, 1, 2 ... of the thresholds.
 
     For any t the share of unlabelled scores of at least t is at least prior * that of positives; the least ratio over
-    all t that at least a fifth of the positives reach, with a margin for chance, is the estimate.
+    all thresholds, with a margin for chance, is the estimate.
     """
-    at = np.quantile(positive, np.linspace(0, 0.8, 81))
-    p = np.array([(positive >= t).mean() for t in at])
-    u = np.array([(unlabelled >= t).mean() for t in at])
-    margin = np.sqrt(p * (1 - p) / len(positive)) + np.sqrt(u * (1 - u) / len(unlabelled))
-    return float(np.clip(np.min((u + margin) / np.maximum(p, 1e-9)), 0.05, 0.99))
+    reach = lambda n: (n.sum() - np.cumsum(n)[:-1]) / n.sum()
+    p, u = reach(positive), reach(unlabelled)
+    some = p > 0
+    margin = np.sqrt(p * (1 - p) / positive.sum()) + np.sqrt(u * (1 - u) / unlabelled.sum())
+    return float(np.clip(np.min((u + margin)[some] / p[some], initial=0.99), 0.05, 0.99))
 
 
 def fit_model(found: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", label_col: str = "quality") -> tuple[Model, float] | None:
     """The model and the prior, from features of rows outside the held-out fold; None if there are no positives.
 
-    A document with labels that disagree, or null, is no positive.
+    Gradients are those of at most fit_rows positives and as many unlabelled rows; the prior comes from the scores of
+    all rows, counted between thresholds. A document with labels that disagree, or null, is no positive.
     """
-    train = found.filter(F.col("doc_id").isNotNull() & (fold_of_doc(F.col("doc_id"), FOLDS) != 0))
+    train = found.filter(F.col("doc_id").isNotNull() & (fold_of_doc(F.col("doc_id"), FOLDS) != 0)).select("doc_id", "f")
     good = labels.select(F.col(id_col).cast("long").alias("of"), F.col(label_col).alias("label")).filter("of IS NOT NULL")
     good = good.groupBy("of").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least = 1 AND most = 1").select("of")
+    known = lambda df: df.join(good, df.doc_id == good.of, "left_semi")
     pick = lambda df: df.select(F.xxhash64("doc_id").alias("r"), "doc_id", "f").orderBy("r", "doc_id").limit(fit_rows).toArrow().column("f").combine_chunks()
     matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)
-    positive = matrix(pick(train.join(good, train.doc_id == good.of, "left_semi")))
+    positive = matrix(pick(known(train)))
     unlabelled = matrix(pick(train))
     if not len(positive):
         return None
-    model = Model(np.vstack([positive, unlabelled]))
-    model.fit(positive, unlabelled, None, rounds=200)
-    prior = class_prior(model.score(positive), model.score(unlabelled))
+    model = Model(np.vstack([positive, unlabelled])).fit(positive, unlabelled, None, rounds=200)
+    at = thresholds(model.score(positive))
+    first = found.sparkSession.sparkContext.broadcast(model)
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(at, first.value.score(matrix(batch.column(1))), "right"))], names=["doc_id", "n"])
+
+    scored = train.mapInArrow(reached, "doc_id long, n long")
+    counts = np.zeros((2, len(at) + 1))
+    for i, rows in enumerate((known(scored), scored)):
+        for r in rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect():
+            counts[i, r["n"]] = r["rows"]
+    prior = class_prior(*counts)
     return model.fit(positive, unlabelled, prior), prior
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
     held_out: crc32 of the id as text is divisible by 5; labels of such rows are not learned from. The model is fitted
-    on at most fit_rows positives and as many unlabelled rows; counts and scores cover all rows. Null texts are empty
-    ones. Without any positive label every score is 0.5. Repeated rows give equal results, an empty table none;
-    further columns are not read.
+    on at most fit_rows positives and as many unlabelled rows; the prior, counts and scores cover all rows. Null texts
+    are empty ones. Without any positive label every score is 0.5. Repeated rows give equal results, an empty table
+    none; further columns are not read. A column named by row_col, which tells rows apart where ids don't, is returned
+    as row.
     """
     spark = docs.sparkSession
-    found = stored(features(docs, id_col, text_col), "quality-features")
+    found = stored(features(docs, id_col, text_col, row_col), "quality-features")
     fitted = fit_model(found, labels, fit_rows, id_col)
     model = spark.sparkContext.broadcast(fitted[0] if fitted else None)
+    row = ["row"] if row_col else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)
             score = model.value.score(x) if model.value else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], names=["doc_id", "score", *row])
 
-    scored = found.mapInArrow(work, "doc_id long, score double")
-    return scored.select("doc_id", (fold_of_doc(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    scored = found.mapInArrow(work, "doc_id long, score double" + "".join(f", row {found.schema['row'].dataType.simpleString()}" for _ in row))
+    return scored.select("doc_id", (fold_of_doc(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"), *row)

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from matchlake.llm import quality as ql
 from tests.llm.conftest import prose
@@ -40,7 +42,49 @@ def test_prior_estimate():
     good, bad = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     for prior in (0.3, 0.6, 0.9):
         mixed = np.concatenate([good[: int(2000 * prior)], bad[: 2000 - int(2000 * prior)]])
-        assert abs(ql.class_prior(good[2000:], mixed) - prior) < 0.08
+        at = ql.thresholds(good[2000:])
+        reached = [np.bincount(np.searchsorted(at, x, "right"), minlength=len(at) + 1) for x in (good[2000:], mixed)]
+        assert abs(ql.class_prior(*reached) - prior) < 0.08
+
+
+def risk(theta, p, u, prior):
+    """The non-negative risk, written out."""
+    loss = lambda rows, sign: sum(math.log1p(math.exp(-sign * (sum(a * b for a, b in zip(x, theta)) + theta[-1]))) for x in rows) / len(rows)
+    return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+
+def test_gradient_is_that_of_the_risk():
+    rng = np.random.default_rng(3)
+    signs = set()
+    for prior, shift in ((0.3, 1.0), (0.9, 4.0)):
+        x = rng.normal(0, 1, (60, len(ql.FEATURES)))
+        model = ql.Model(x)
+        p, u = model.wide(x[:25] + shift).astype(np.float64), model.wide(x[25:]).astype(np.float64)
+        theta = rng.normal(0, 0.05, p.shape[1] + 1)
+        theta[-1] = shift - 2
+        got = model.gradient(theta, p.astype(np.float32), u.astype(np.float32), prior)
+        positive, negative = risk(theta, p.tolist(), u.tolist(), prior)
+        signs.add(negative >= 0)
+        for i in (0, 7, 50, len(theta) - 1):
+            step = np.zeros_like(theta)
+            step[i] = 1e-5
+            up, down = (risk(theta + s, p.tolist(), u.tolist(), prior) for s in (step, -step))
+            slope = [(a - b) / 2e-5 for a, b in zip(up, down)]
+            want = slope[0] + slope[1] if negative >= 0 else -slope[1]
+            assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), (i, got[i], want)
+    assert signs == {True, False}
+
+
+def test_ties_and_rows(spark):
+    """Equal texts have equal scores whatever their ids; row_col is returned as it is."""
+    rows, docs, labels, table = labelled(spark)
+    twice = docs.unionByName(docs).withColumn("mine", F.struct(F.monotonically_increasing_id().alias("a"), F.lit(1).alias("b")))
+    got = ql.quality_scores(twice, table, row_col="mine").collect()
+    assert len({r.row for r in got}) == len(got) == 2 * len(rows)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(dict((i, t) for i, t, _ in rows)[r.doc_id] if r.doc_id < 40 else r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for v in by_text.values())
 
 
 def test_edges(spark, docs, empty, corpus):
