@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import cut
+from matchlake.llm.common import cut, join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
     while True:
         near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("root").alias("near"))
-        hooked = label.join(near, label.node == near.u).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        hooked = cut(label.join(near, label.node == near.u).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        moved = cut(hooked.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root")))
+        moved = cut(join_hot(hooked, up, "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root")))
         if moved.filter("was <> root").isEmpty():
             return moved.select("node", "root")
         label = moved.select("node", "root")

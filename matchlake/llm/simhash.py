@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import cut, small_batches, stored, stretches
+from matchlake.llm.common import cut, join_hot, small_batches, stored, stretches
 from matchlake.llm.components import components
 from matchlake.llm.shingles import majority_bits, shingle_hashes
 
@@ -156,9 +156,9 @@ def classes(fps: DataFrame, most: int = 4) -> DataFrame:
 
     keyed = groups.select(F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("bucket"), F.col("fp").alias("node"), F.array("fp").alias("fp"))
     roots = components(links_in_buckets(keyed, most, 1))
-    placed = groups.join(roots, groups.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    placed = cut(groups.join(roots, groups.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    return join_hot(placed, least, "root").select("fp", "component_id")
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,9 +177,9 @@ WIDE, LEAST = 4, 6
 #: Least exact Jaccard similarity of the shingle sets of two texts that link.
 SIMILAR = 0.8
 #: Bits of 256 that a pair may differ in to be compared exactly: two texts of similarity 0.8 have vectors of cosine
-#: 2 * 0.8 / 1.8, so acos(0.889) / pi * 256 = 38.7 in the mean; over two standard deviations (5.7) more are allowed, so
-#: that hardly any is missed.
-WIDE_MOST = 52
+#: 2 * 0.8 / 1.8, so acos(0.889) / pi * 256 = 38.7 in the mean; over three standard deviations (5.7) more are allowed, so
+#: that one pair in a thousand is missed at 0.8, and none to speak of above.
+WIDE_MOST = 57
 #: A bucket whose texts have more shingles is split into blocks of about this many; bits of the filter of texts to read again.
 SHINGLES, FILTER_BITS = 1 << 20, 1 << 25
 
@@ -200,12 +200,14 @@ def _keyed_texts(docs: DataFrame, text_col: str) -> tuple[F.Column, F.Column]:
     return F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.alias("text")
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, node, fp array<long>, least array<long>, size): 256 bits over the set of shingles, its least hashes, its size.
 
     node is the hash of the text, 0 where it has no words. A set of fewer hashes than LEAST repeats its first.
     """
     small_batches(docs.sparkSession)
+    schema = "doc_id long, node long, fp array<long>, least array<long>, size long" + (f", row {docs.schema[row_col].dataType.simpleString()}" if row_col else "")
+    names = ["doc_id", "node", "fp", "least", "size", *(["row"] if row_col else [])]
 
     def rows(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         sets = _sets(texts, shingle)
@@ -225,9 +227,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
             found = [row for a, b in stretches(texts) for row in rows(texts[a:b])]
             size = np.array([r[2] for r in found], np.int64)
             node = np.where(size > 0, batch.column(1).to_numpy(), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node), *(pa.array([r[i] for r in found], lists) for i in (0, 1)), pa.array(size)], names=["doc_id", "node", "fp", "least", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node), *(pa.array([r[i] for r in found], lists) for i in (0, 1)), pa.array(size), *batch.columns[3:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), *_keyed_texts(docs, text_col)).mapInArrow(work, "doc_id long, node long, fp array<long>, least array<long>, size long")
+    return docs.select(F.col(id_col).cast("long"), *_keyed_texts(docs, text_col), *([row_col] if row_col else [])).mapInArrow(work, schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
@@ -352,17 +354,22 @@ def similar_links(docs: DataFrame, groups: DataFrame, most: int, shingle: int, t
     return members(with_sets).mapInArrow(compared, "u long, v long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, group_id) for every row of docs: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
     Texts that share one of their least shingle hashes meet in a bucket (of pairs of similarity 0.8, about one in ten
     thousand shares none of six). Pivots and the Hamming distance of 256-bit fingerprints tell which of them are compared;
     the sets themselves decide. group_id is the smallest doc_id reachable over links. Null and empty texts, and those without
     words, are one group. A null doc_id stays null and is never the smallest beside another; an empty table gives no rows.
+    With row_col, a column that tells rows apart where ids don't, row and stays are returned as well: of each group one
+    row stays, that of the smallest doc_id, and of equal ones that of the smallest row.
     """
-    fps = stored(wide_fingerprints(docs, shingle, id_col, text_col), "wide-fp")
-    groups = cut(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "least", "size"))))
+    fps = stored(wide_fingerprints(docs, shingle, id_col, text_col, row_col), "wide-fp")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *([F.col("row")] if row_col else []))
+    # texts of one hash are equal, so that any of their fingerprints is all of theirs; the least is the same in every run
+    groups = cut(fps.groupBy("node").agg(F.min(own).alias("rep"), F.min(F.struct("fp", "least", "size")).alias("f")).select("node", "rep", "f.*"))
     roots = components(similar_links(docs, groups, most, shingle, text_col)).withColumnRenamed("node", "of")
-    placed = groups.join(roots, groups.node == roots.of, "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("group_id"))
-    return fps.select("doc_id", "node").join(placed.join(least, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
+    placed = cut(groups.join(roots, groups.node == roots.of, "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
+    least = placed.groupBy("root").agg(F.min("rep").alias("first"))
+    found = fps.select("doc_id", "node", *(["row"] if row_col else []), own.alias("own")).join(join_hot(placed.select("node", "root"), least, "root").select("node", "first"), "node")
+    return found.select("doc_id", F.col("first.doc_id").alias("group_id"), *(["row", (F.col("own") == F.col("first")).alias("stays")] if row_col else []))
