@@ -1,8 +1,11 @@
 """Corpus preparation: quality, lines, near-duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
-columns of docs, whatever they are. A document is known by its doc_id: rows that repeat an id share its fate, and rows
-without an id can't be told apart, so that no stage drops them.
+columns of docs, whatever they are. Rows are told apart by their place in the files that docs is read from, so that
+null and repeated ids are treated like any other: each row stays or goes by its own text. Null and empty texts are
+texts without words: quality scores them, line dedup leaves them as one empty line (null becomes empty), near_dedup
+keeps one of them, no benchmark item is found in them, and packing gives them the room of an end. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import stored, table
+from matchlake.llm.common import clear, keyed, made, scratch, table
 from matchlake.llm.decontaminate import contaminated
 from matchlake.llm.lines import drop_frequent_lines
 from matchlake.llm.packing import pack, word_lengths
@@ -18,13 +21,18 @@ from matchlake.llm.quality import quality_scores
 from matchlake.llm.simhash import near_duplicate_groups
 
 
+KEY = "row_key_of_stage"
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs, with KEY, without the rows named in gone(row)."""
+    return docs.join(gone.select(F.col("row").alias(KEY)).distinct(), KEY, "left_anti").drop(KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return _without(docs, quality_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    own = keyed(docs, KEY)
+    return _without(own, quality_scores(own, table(spark, sf_dir, "labels"), row_col=KEY).filter("predicted = 0")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,18 +46,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays, once."""
-    groups = stored(near_duplicate_groups(docs), "near-groups")
-    kept = _without(docs, groups.filter("doc_id <> group_id"))
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates one document stays, that of the smallest id."""
+    own = keyed(docs, KEY)
+    return _without(own, near_duplicate_groups(own, row_col=KEY).filter("NOT stays")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    own = keyed(docs, KEY)
+    return _without(own, contaminated(own, table(spark, sf_dir, "benchmark"), row_col=KEY)).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; each one's table is the next one's docs, and what was written besides is deleted once that is there."""
+    docs, start = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        found, path = stage(spark, docs, sf_dir), scratch(spark, f"stage-{name}")
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        clear(spark, since=start, keep=(path,))
     return docs
