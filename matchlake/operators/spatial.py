@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.geometry import distance, inside, jround
+from matchlake.functions.geometry import distance, inside, jround, to_pitch
 from matchlake.plans.profiles import Profile
 
 #: Cells of the histogram, and points of the density grid, across and down.
@@ -30,30 +30,31 @@ def heat_histogram(points: DataFrame, p: Profile) -> DataFrame:
     return share.filter("share > 0.05").select("match_id", "team", (F.col("cx") / nx * F.lit(p.width)).alias("x"), (F.col("cy") / ny * F.lit(p.height)).alias("y"), jround(F.col("share"), 3).alias("intensity"))
 
 
+def player_points(detections: DataFrame, p: Profile, frame_w: float, frame_h: float) -> DataFrame:
+    """(match_id, track_id, x, y) of player detections in pitch coordinates, straight from the scan."""
+    sure = F.lit(True) if p.player_confidence is None else F.col("confidence") > p.player_confidence
+    return detections.filter(F.col("class_id").isin(1, 2) & sure).select("match_id", "track_id", to_pitch(F.col("x"), frame_w, p.width).alias("x"), to_pitch(F.col("y"), frame_h, p.height).alias("y"))
+
+
 def heat_density(points: DataFrame, p: Profile, least: int = 5) -> DataFrame:
     """Gaussian kernel density of each track on the grid, as a share of its largest value, where that is over a tenth.
 
     Tracks of under `least` points, or whose points lie on a line, have none. The kernel has the points' covariance
-    times the squared bandwidth, written out; the grid is a fixed 252 points and goes to every position in its row.
+    times the squared bandwidth, written out. Each point meets the 252 literals of the grid in its own row and the
+    kernels are summed in part before they are shuffled, so that neither a track nor a match has to fit into a task.
     """
-    spread = points.groupBy("match_id", "track_id").agg(
-        F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy"), F.collect_list(F.struct("x", "y")).alias("at")
-    )
+    spread = points.groupBy("match_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy"))
     b = BANDWIDTH * BANDWIDTH
     det = F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")
-    spread = spread.filter(F.col("n") >= max(3, least)).withColumn("det", det).filter("det > 1e-9 * greatest(vx * vy, 1e-12)")
+    spread = spread.filter(F.col("n") >= max(3, least)).withColumn("det", det).filter("det > 1e-9 * greatest(vx * vy, 1e-12)").drop("n")
     nx, ny = POINTS
-    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda i: F.struct(i.alias("i"), j.alias("j")))))
-    each = spread.withColumn("g", F.explode(grid)).withColumn("gx", F.col("g.i") * F.lit(p.width) / (nx - 1)).withColumn("gy", F.col("g.j") * F.lit(p.height) / (ny - 1))
-
-    def kernel(s):
-        dx, dy = F.col("gx") - s["x"], F.col("gy") - s["y"]
-        q = (F.col("vy") * dx * dx - 2 * F.col("cxy") * dx * dy + F.col("vx") * dy * dy) / (F.col("det") * F.lit(b))
-        return F.exp(-q / 2)
-
-    dense = each.withColumn("density", F.aggregate("at", F.lit(0.0), lambda total, s: total + kernel(s)))
+    gx, gy = (lambda g: (g % nx) * F.lit(p.width) / (nx - 1)), (lambda g: F.floor(g / nx) * F.lit(p.height) / (ny - 1))
+    each = points.join(spread, ["match_id", "track_id"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))))
+    dx, dy = gx(F.col("g")) - F.col("x"), gy(F.col("g")) - F.col("y")
+    q = (F.col("vy") * dx * dx - 2 * F.col("cxy") * dx * dy + F.col("vx") * dy * dy) / (F.col("det") * F.lit(b))
+    dense = each.groupBy("match_id", "track_id", "g").agg(F.sum(F.exp(-q / 2)).alias("density"))
     share = dense.withColumn("share", F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy("match_id", "track_id"))))
-    return share.filter("share > 0.1").select("match_id", "track_id", jround(F.col("gx"), 3).alias("x"), jround(F.col("gy"), 3).alias("y"), jround(F.col("share"), 3).alias("intensity"))
+    return share.filter("share > 0.1").select("match_id", "track_id", jround(gx(F.col("g")), 3).alias("x"), jround(gy(F.col("g")), 3).alias("y"), jround(F.col("share"), 3).alias("intensity"))
 
 
 def voronoi(frames: DataFrame, p: Profile) -> DataFrame:
@@ -61,7 +62,7 @@ def voronoi(frames: DataFrame, p: Profile) -> DataFrame:
 
     Triples of sites whose circle is empty give the cells' corners; around a site they are ordered by angle and the
     area is that of the polygon. A site whose corners don't surround it has an unbounded cell, and area 0. Areas are
-    no larger than the pitch. All triples stay inside their frame.
+    no larger than the pitch. Triples are made from their frame's row, and all later steps find a match in place.
     """
     sites = frames.withColumn("own", F.filter("players", lambda s: inside(s["x"], s["y"], p))).filter("size(players) >= 4 AND size(own) >= 4")
     sites = sites.select("match_id", "frame_seq", "own")
@@ -76,8 +77,12 @@ def voronoi(frames: DataFrame, p: Profile) -> DataFrame:
     three = three.withColumn("under", under).filter("abs(under) > 1e-6")
     ux = (sq(ax, ay) * (by - cy) + sq(bx, by) * (cy - ay) + sq(cx, cy) * (ay - by)) / F.col("under")
     uy = (sq(ax, ay) * (cx - bx) + sq(bx, by) * (ax - cx) + sq(cx, cy) * (bx - ax)) / F.col("under")
-    three = three.withColumn("ux", ux).withColumn("uy", uy).withColumn("r2", sq(F.col("a.x") - F.col("ux"), F.col("a.y") - F.col("uy")))
-    empty = three.filter(~F.exists("own", lambda s: sq(s["x"] - F.col("ux"), s["y"] - F.col("uy")) < F.col("r2") * (1 - 1e-9) - 1e-9))
+    r2 = lambda u, v: sq(ax - u, ay - v)
+    # exploding an array of one holds the circle in its row; otherwise it would be worked out again for each site
+    place = ("match_id", "frame_seq", "a", "b", "c")
+    circle = three.select(*place, "own", F.explode(F.array(F.struct(ux.alias("ux"), uy.alias("uy")))).alias("u")).select(*place, F.col("u.ux").alias("ux"), F.col("u.uy").alias("uy"), F.explode("own").alias("o"))
+    inner = sq(F.col("o.x") - F.col("ux"), F.col("o.y") - F.col("uy")) < r2(F.col("ux"), F.col("uy")) * (1 - 1e-9) - 1e-9
+    empty = circle.groupBy(*place, "ux", "uy").agg(F.max(inner).alias("met")).filter("NOT met")
     corner = empty.select("match_id", "frame_seq", "ux", "uy", F.explode(F.array("a", "b", "c")).alias("s"))
     around = corner.select("match_id", "frame_seq", "s.det_ord", (F.floor(F.col("ux") * 1e6 + 0.5) / 1e6).alias("ux"), (F.floor(F.col("uy") * 1e6 + 0.5) / 1e6).alias("uy"), F.col("s.x").alias("sx"), F.col("s.y").alias("sy")).distinct()
     site = Window.partitionBy("match_id", "frame_seq", "det_ord")

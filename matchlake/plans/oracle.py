@@ -235,16 +235,18 @@ def voronoi(p: Profile) -> str:
     SELECT *, count(*) OVER (PARTITION BY match_id, frame_seq) AS n FROM pl WHERE x BETWEEN 0 AND {p.width} AND y BETWEEN 0 AND {p.height}
 ), keyframe AS (
     SELECT match_id, frame_seq FROM (SELECT DISTINCT match_id, frame_seq FROM inside WHERE n >= 4 AND (frame_seq + 1) % 5 = 0) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY frame_seq) <= {p.zone_cap}
-), s AS (
+), s AS MATERIALIZED (
     SELECT inside.* FROM inside JOIN keyframe USING (match_id, frame_seq)
-), tri AS (
+), every AS MATERIALIZED (
+    SELECT match_id, frame_seq, list({{'x': x, 'y': y}}) AS own FROM s GROUP BY ALL
+), tri AS MATERIALIZED (
     SELECT a.match_id, a.frame_seq, a.det_ord AS ao, b.det_ord AS bo, c.det_ord AS co, a.x AS ax, a.y AS ay,
         ({sq("a")}*(b.y-c.y)+{sq("b")}*(c.y-a.y)+{sq("c")}*(a.y-b.y))/{under} AS ux, ({sq("a")}*(c.x-b.x)+{sq("b")}*(a.x-c.x)+{sq("c")}*(b.x-a.x))/{under} AS uy
     FROM s a JOIN s b ON a.match_id = b.match_id AND a.frame_seq = b.frame_seq AND a.det_ord < b.det_ord
     JOIN s c ON b.match_id = c.match_id AND b.frame_seq = c.frame_seq AND b.det_ord < c.det_ord WHERE abs({under}) > 1e-6
 ), clear AS (
-    SELECT t.* FROM tri t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.match_id = t.match_id AND s.frame_seq = t.frame_seq
-        AND (s.x-t.ux)*(s.x-t.ux)+(s.y-t.uy)*(s.y-t.uy) < ((t.ax-t.ux)*(t.ax-t.ux)+(t.ay-t.uy)*(t.ay-t.uy)) * (1 - 1e-9::DOUBLE) - 1e-9::DOUBLE)
+    SELECT t.* FROM (SELECT *, (ax-ux)*(ax-ux)+(ay-uy)*(ay-uy) AS r2 FROM tri) t JOIN every USING (match_id, frame_seq)
+    WHERE len(list_filter(own, lambda o: (o.x-ux)*(o.x-ux)+(o.y-uy)*(o.y-uy) < r2 * (1 - 1e-9::DOUBLE) - 1e-9::DOUBLE)) = 0
 ), corner AS (
     SELECT DISTINCT match_id, frame_seq, unnest([ao, bo, co]) AS det_ord, floor(ux*1e6+0.5)/1e6 AS ux, floor(uy*1e6+0.5)/1e6 AS uy FROM clear
 ), turn AS (

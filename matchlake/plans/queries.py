@@ -117,7 +117,7 @@ def heatmap_hist(spark, sf_dir):
 
 
 def heatmap_kde(spark, sf_dir):
-    return spatial.heat_density(spatial.positions(fr.frame_table(fx.detections(spark, sf_dir), FIVE, fx.FRAME_W, fx.FRAME_H)), FIVE)
+    return spatial.heat_density(spatial.player_points(fx.detections(spark, sf_dir), FIVE, fx.FRAME_W, fx.FRAME_H), FIVE)
 
 
 def raw_heat_points(spark, sf_dir):
