@@ -20,6 +20,8 @@ WIDTH = 64
 #: Bytes of compressed data in an IDAT chunk.
 CHUNK = 1 << 16
 SIDE, LOW = 32, 8
+#: Most samples of an image that is read; its header says how many there are, and no more are unpacked.
+MOST_SAMPLES = 1 << 30
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -83,7 +85,11 @@ def decode_png(data: bytes) -> np.ndarray:
         kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
         if len(body) != size or struct.unpack_from(">I", data.ljust(at + 12 + size, b"\0"), at + 8 + size)[0] != zlib.crc32(kind + body):
             raise ValueError(f"bad checksum in {kind!r}")
+        if (kind == b"IHDR") != (at == 8):
+            raise ValueError("the header is missing, or stands twice")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("a header of the wrong size")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -91,12 +97,17 @@ def decode_png(data: bytes) -> np.ndarray:
         at += 12 + size
     if not header or not ended or header[2:] != (8, 0, 0, 0, 0):
         raise ValueError("cut off, or not 8-bit greyscale")
+    width, height = header[:2]
+    if not width or not height or width * height > MOST_SAMPLES:
+        raise ValueError("no samples, or too many")
+    if not packed:
+        raise ValueError("no data")
+    unpack = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(packed))
+        raw = unpack.decompress(b"".join(packed), height * (width + 1) + 1)
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    width, height = header[:2]
-    if len(raw) != height * (width + 1):
+    if len(raw) != height * (width + 1) or not unpack.eof:
         raise ValueError("wrong number of samples")
     rows = np.frombuffer(raw, np.uint8).reshape(height, width + 1)
     return unfilter(rows[:, 0], rows[:, 1:])
@@ -116,7 +127,7 @@ def _means(image: np.ndarray) -> np.ndarray:
     if n < SIDE:
         return image[np.arange(SIDE) * n // SIDE].astype(np.float64)
     edge = np.arange(SIDE) * n // SIDE
-    return np.add.reduceat(image, edge, axis=0, dtype=np.int64) / np.diff([*edge, n])[:, None]
+    return np.add.reduceat(image, edge, axis=0, dtype=np.float64) / np.diff([*edge, n])[:, None]
 
 
 def cosine_hash(image: np.ndarray) -> str:
@@ -129,7 +140,9 @@ def cosine_hash(image: np.ndarray) -> str:
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the text's UTF-8, padded with zero bytes to a positive multiple of 64, as a PNG.
 
-    Null texts are empty. Equal texts give equal media.
+    Null texts are empty, and an empty text is one row of zeros. Equal texts give equal media, repeated rows repeated
+    ones; a text of any length is one image, and its memory a few times its size. An empty table gives no rows; further
+    columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
 
@@ -145,7 +158,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def read_media(stored: DataFrame) -> DataFrame:
     """Decode a media column: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error.
 
-    A medium that fails a check gives its error and nulls for what can't be known; a null one gives nulls.
+    A medium that fails a check (signature, order, checksum, size, filter) gives its error and nulls for what can't be
+    known; a null one gives nulls.
     """
     small_batches(stored.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
