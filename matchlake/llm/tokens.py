@@ -3,7 +3,9 @@
 The text is split as the vocabulary's pre-tokenizer does. Inside a piece, last[i] is the last token of the encoding of
 the piece's first i bytes and count[i] its number of tokens: last[i] is the one token t that ends there and may follow
 last[i - len(t)], and count[i] = count[i - len(t)] + 1. The counts at all prefixes are then known without encoding any
-of them, and sums over pieces give the count at every piece's end.
+of them. A text's table holds, for each code point, by how much the count of the prefix that ends with it differs from
+that of the prefix before, in one signed byte: sums over it give the exact token count of every prefix, and so answer
+any truncation or budget.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import small_batches
+from matchlake.llm.common import small_batches, stored
 
 #: Fixed value: how byte-level BPE splits text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a worker remembers in each of two generations; the older one goes when the younger is full.
-REMEMBER = 500_000
+#: Fixed value: the contractions that the split takes before anything else.
+SHORT = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Pieces that a worker remembers in each of two generations; the older one goes when the younger is full. Longer ones aren't.
+REMEMBER, LENGTH = 500_000, 100
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,7 +37,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """Token count of each piece, worked out when it is first asked for."""
+    """Steps of each piece, worked out when they are first asked for: one signed byte for each code point."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,13 +53,13 @@ class Pieces(dict):
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in special}
         self.longest = max(map(len, self.vocab))
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.split = regex.compile(SPLIT)
+        self.split, self.space = regex.compile(SPLIT), regex.compile(r"\s\s+(?=\S)")
         #: For each token: the rank of the merge that makes it and the length of that merge's left part.
         self.made = {bytes([b]): (-1, 0) for b in range(256)} | {a + b: (r, len(a)) for (a, b), r in self.rank.items()}
         if len(self.made) != len(self.rank) + 256:
             raise ValueError(f"{path} makes a token by more than one merge")
         self.alone: dict[bytes, bool] = {}
-        self.older: dict[str, int] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain BPE: join the pair of the lowest rank until none is left."""
@@ -105,15 +109,25 @@ class Pieces(dict):
                     break
         return count
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) > REMEMBER:
             self.older = dict(self)
             self.clear()
-        n = self.older.get(piece)
-        if n is None:
-            n = self.prefixes(piece.encode("utf-8", "surrogatepass"))[-1]
-        self[piece] = n
-        return n
+        found = self.older.get(piece)
+        if found is None:
+            found = self.worked_out(piece)
+        if len(piece) <= LENGTH:
+            self[piece] = found
+        return found
+
+    def worked_out(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "surrogatepass")
+        counts = np.array(self.prefixes(data), np.int64)
+        if len(data) > len(piece):  # a prefix of the text ends with a code point
+            counts = counts[[0, *(i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80), len(data)]]
+        if piece in SHORT:  # cut short it is a sign and a letter
+            counts[1:-1] = range(1, len(piece))
+        return packed(np.diff(counts))
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of ordinary text, and the special strings between them (True)."""
@@ -127,28 +141,54 @@ class Pieces(dict):
             at = m.end()
         yield text[at:], False
 
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the pieces in code points, and the text's token count up to each."""
-        sizes, counts = [], []
+    def total(self, text: str) -> int:
+        """Token count of a text that ends there, by its pieces; no special strings."""
+        return int(sum(np.frombuffer(self[p], np.int8).sum(dtype=np.int64) for p in self.split.findall(text)))
+
+    def steps(self, text: str) -> bytes:
+        """The table of a text: sums over its first i bytes give the token count of the text's first i code points."""
+        out: list[bytes] = []
+        before = ""
         for part, special in self.parts(text):
             if special:
-                sizes.append(len(part))
-                counts.append(1)
-            else:
-                pieces = self.split.findall(part)
-                sizes += map(len, pieces)
-                counts += map(self.__getitem__, pieces)
-        return np.cumsum(np.array(sizes, np.int64)), np.cumsum(np.array(counts, np.int64))
-
-    def at(self, text: str, chars: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Token count of the first `chars` code points, from the table and the piece that is cut."""
-        ends, counts = table or self.table(text)
-        k = int(np.searchsorted(ends, chars, "right"))
-        while k and text[int(ends[k - 1]) : chars].isspace() | text[int(ends[k - 1]) - 1].isspace():
-            k -= 1  # a cut leaves its spaces together
-        start = int(ends[k - 1]) if k else 0
-        tail = sum(1 if special else sum(map(self.__getitem__, self.split.findall(part))) for part, special in self.parts(text[start:chars]))
-        return (int(counts[k - 1]) if k else 0) + tail
+                # cut short, a special string is ordinary text that may join what stands before it
+                at = [self.total(before + part[:i]) for i in range(len(part))]
+                out.append(packed(np.diff([*at, at[0] + 1])))
+                before = ""
+                continue
+            before = part
+            own = b"".join(map(self.__getitem__, self.split.findall(part)))
+            if self.space.search(part):
+                own = self.with_spaces(part, own)
+            out.append(own)
+        return b"".join(out)
+
+    def with_spaces(self, part: str, own: bytes) -> bytes:
+        """Steps where a prefix may end with several blanks: there they stay together, of which the last joins the next word in the whole text."""
+        steps = np.frombuffer(own, np.int8).astype(np.int64)
+        for m in self.space.finditer(part):
+            a, b = m.span()
+            more = int(np.frombuffer(self[part[a:b]], np.int8).sum(dtype=np.int64) - steps[a:b].sum())
+            steps[b - 1] += more
+            steps[b] -= more
+        return packed(steps)
+
+
+def packed(steps: np.ndarray) -> bytes:
+    small = np.asarray(steps).astype(np.int8)
+    if not np.array_equal(small, steps):
+        raise ValueError("the count changes by more than a byte holds from one prefix to the next")
+    return small.tobytes()
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """Token counts of all prefixes, from the empty one to the whole text."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
+
+
+def longest_within(steps: bytes, limit: int) -> int:
+    """Code points of the longest prefix of at most `limit` tokens."""
+    return int(np.flatnonzero(counts_of(steps) <= limit)[-1])
 
 
 _loaded: dict[str, Pieces] = {}
@@ -161,29 +201,40 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, cut_chars (code points that fit into limit tokens, at the end of a piece).
+def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, steps for every row of docs: the token counts of all prefixes of its text (see counts_of).
 
-    With prefixes=True also piece_ends and piece_tokens: the table from which any truncation or budget is answered.
     Counts are those of the library for the vocabulary at path, without added tokens. Null texts are empty; an empty
-    text has 0 tokens. Repeated rows give repeated results, an empty table none; further columns are not read.
+    text has 0 tokens and no steps. Repeated rows give repeated results, an empty table none; further columns are not
+    read.
     """
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, n_tokens long, cut_chars long" + ", piece_ends array<long>, piece_tokens array<long>" * prefixes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path)
         for batch in batches:
-            out: list[list] = [[] for _ in range(3 + 2 * prefixes)]
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ends, counts = known.table(text)
-                k = int(np.searchsorted(counts, limit, "right"))
-                row = [len(text.encode("utf-8", "surrogatepass")), int(counts[-1]) if len(counts) else 0, int(ends[k - 1]) if k else 0]
-                for column, value in zip(out, row + [ends, counts] * prefixes):
-                    column.append(value)
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64() if i < 3 else lists) for i, c in enumerate(out))], names=[f.split()[0] for f in schema.split(", ")])
-
-    found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, schema)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            steps = [known.steps(t) for t in texts]
+            n = [int(np.frombuffer(x, np.int8).sum(dtype=np.int64)) for x in steps]
+            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(steps, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "steps"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, steps binary")
+
+
+def within_limit(table: DataFrame, limit: int = 1024) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, cut_chars from a token table: cut_chars is the longest prefix, in code points, of at most limit tokens."""
+    small_batches(table.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [longest_within(steps, limit) if n > limit else len(steps) for n, steps in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
+
+    found = table.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, cut_chars long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The token table of docs, written, and the answers to a budget of limit tokens from it."""
+    return within_limit(stored(token_table(docs, path, id_col, text_col), "token-table"), limit)

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from matchlake.llm.tokens import Pieces, token_counts
+from matchlake.llm.tokens import Pieces, counts_of, token_counts, token_table, within_limit
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,19 +21,23 @@ def test_counts_are_the_librarys(docs, corpus, library, empty):
     assert token_counts(empty, PATH).collect() == []
 
 
-def test_prefixes_and_specials(library):
+def test_every_prefix_is_exact(library):
     rng, known = random.Random(1), Pieces(PATH)
-    for _ in range(400):
-        text = "".join(rng.choice([rng.choice("abcdeé ß'sl\n\t 1234.!?漢字🙂  "), "the", " and", "'ll", "  ", "<|endoftext|>"]) for _ in range(rng.randint(1, 25)))
-        ends, counts = known.table(text)
-        assert (counts[-1] if len(counts) else 0) == len(library.encode(text, add_special_tokens=False).ids)
-        if "<|" not in text:
-            cut = rng.randint(0, len(text))
-            assert known.at(text, cut) == len(library.encode(text[:cut], add_special_tokens=False).ids)
-
-
-def test_cut_fits(spark, library):
-    text = "the quick brown fox jumps over a lazy dog " * 50
-    r = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, limit=64, prefixes=True).first()
-    assert len(library.encode(text[: r.cut_chars], add_special_tokens=False).ids) == 64 and r.over_limit
-    assert r.piece_tokens[-1] == r.n_tokens and r.piece_ends[-1] == len(text)
+    texts = ["a" * 300, " " * 90 + "x", "it's I'll we've they're 'llama 'x", "end  \n\n\t next  ", "漢字かな" * 40, "<|endoftext|>", "a <|endoftext|><|endoftext|> b !<|endoftext|>", "-" * 130]
+    texts += ["".join(rng.choice([rng.choice("abcdeé ß'sl\n\t 1234.!?漢字🙂  "), "the", " and", "'ll", "'re", "  ", "\n\n", "<|endoftext|>", "<|end"]) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    for text in texts:
+        got = counts_of(known.steps(text)).tolist()
+        assert got == [len(e.ids) for e in library.encode_batch([text[:i] for i in range(len(text) + 1)], add_special_tokens=False)], text
+
+
+def test_budgets_from_the_table(spark, library):
+    """The longest prefix within a budget, also inside one piece of thousands of letters."""
+    texts = ["the quick brown fox jumps over a lazy dog " * 50, "字" * 5000, "ab" * 7500, "short", "", None]
+    table = token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).cache()
+    for limit in (0, 1, 64, 1024):
+        for r in within_limit(table, limit).collect():
+            text = texts[r.doc_id] or ""
+            n = lambda i, text=text: len(library.encode(text[:i], add_special_tokens=False).ids)
+            assert r.over_limit == (n(len(text)) > limit) and n(r.cut_chars) <= limit
+            assert r.cut_chars == len(text) or all(n(i) > limit for i in range(r.cut_chars + 1, min(len(text), r.cut_chars + 40) + 1))
+            assert limit < 64 or len(text) < 20 or r.cut_chars >= 32
