@@ -53,6 +53,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def made() -> int:
     """How many scratch folders there are, for clear()."""
     return len(_made)
@@ -62,8 +67,7 @@ def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> No
     """Delete the scratch folders made since then, once nothing that is still to be read comes from them."""
     for path in [p for p in _made[since:] if p not in keep]:
         _made.remove(path)
-        own = spark._jvm.org.apache.hadoop.fs.Path(path)
-        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+        delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
+import random
 from collections import Counter
 
-from matchlake.llm.lines import drop_frequent_lines
+from matchlake.llm.lines import LineRuns, drop_frequent_lines
 
 BLANK = " \t\n\r\x0b\x0c"
 
@@ -39,3 +40,25 @@ def test_carried_columns_and_empty(docs, empty):
     got = drop_frequent_lines(docs, 10, carry=("score", "row", "lang"))
     assert got.columns[-3:] == ["score", "row", "lang"] and {tuple(r)[-3:] for r in got.collect()} == {(2.0, 1, "en")}
     assert drop_frequent_lines(empty, 10).collect() == []
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """Batch, anti-join and compaction: one shuffle of the new lines, and no sort of what is a run already."""
+    rng = random.Random(2)
+    lines = spark.createDataFrame([(rng.randrange(500), rng.randrange(3)) for _ in range(4000)], "h long, g long").cache()
+    runs = LineRuns(spark, 4)
+    total = Counter()
+    for b in range(8):
+        part = lines.filter(f"abs(xxhash64(h, g, {b})) % 8 < 2")
+        total.update((r.h, r.g) for r in part.collect())
+        runs.add(part)
+    again = runs.batch(lines)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert runs.settled and plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert plan.index("SortMergeJoin") < plan.index("Exchange") < plan.index("partial_count")
+    plan = runs._merge(runs.levels[-1][0], runs.settled[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    settled = {(r.h, r.g): r.n for r in runs.finish().collect()}
+    assert settled.keys() == {k for k, n in total.items() if n >= 4}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "settled_", "merged_")) and t.name.endswith(runs.dir.rpartition("-")[2])]
