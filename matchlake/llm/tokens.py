@@ -51,7 +51,11 @@ class Pieces(dict):
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in special}
-        self.longest = max(map(len, self.vocab))
+        #: The length of the longest token that ends with two bytes.
+        self.ends: dict[bytes, int] = {}
+        for token in sorted(self.vocab, key=len):
+            if len(token) > 1:
+                self.ends[token[-2:]] = len(token)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split, self.space = regex.compile(SPLIT), regex.compile(r"\s\s+(?=\S)")
         #: For each token: the rank of the merge that makes it and the length of that merge's left part.
@@ -99,9 +103,10 @@ class Pieces(dict):
 
     def prefixes(self, data: bytes) -> list[int]:
         """Token count of each prefix of a piece, from the empty one to the whole."""
-        vocab, last, count = self.vocab, [b""], [0]
+        vocab, last, count, ends = self.vocab, [b""], [0], self.ends
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
+            # no token that ends with these two bytes is longer
+            for start in range(max(0, end - ends.get(data[end - 2 : end], 1)) if end > 1 else 0, end):
                 token = data[start:end]
                 if token in vocab and (self.may_follow(last[start], token) if start else self.whole(token)):
                     last.append(token)
@@ -122,12 +127,15 @@ class Pieces(dict):
 
     def worked_out(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
-        counts = np.array(self.prefixes(data), np.int64)
+        counts = self.prefixes(data)
         if len(data) > len(piece):  # a prefix of the text ends with a code point
-            counts = counts[[0, *(i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80), len(data)]]
+            counts = [c for i, c in enumerate(counts) if i == len(data) or data[i] & 0xC0 != 0x80]
         if piece in SHORT:  # cut short it is a sign and a letter
             counts[1:-1] = range(1, len(piece))
-        return packed(np.diff(counts))
+        steps = [b - a for a, b in zip(counts, counts[1:])]
+        if max(steps) > 127 or min(steps) < -128:
+            raise ValueError("the count changes by more than a byte holds from one prefix to the next")
+        return bytes([x & 255 for x in steps])
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of ordinary text, and the special strings between them (True)."""
