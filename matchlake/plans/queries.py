@@ -411,12 +411,6 @@ def jersey_kmeans(spark, sf_dir):
     return teams.jersey_clusters(crops)
 
 
-def demo_scores(spark, sf_dir):
-    """Scores and shares of seeded demo statistics: the order of draws is part of what they mean."""
-    seeded = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), rng.draws(rng.string_seed(F.col("c_name")), 4).alias("r"))
-    return seeded.select("id", F.floor(F.col("r")[0] * 4).alias("home_goals"), F.floor(F.col("r")[1] * 4).alias("away_goals"), jround(F.col("r")[2], 6).alias("r2"), jround(F.col("r")[3], 6).alias("r3"))
-
-
 def demo_totals(spark, sf_dir):
     k = F.col("c_custkey")
     files = fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.concat("c_name", F.lit(".mp4")).alias("name"), (k * 7_919_003 % 500_000_000).alias("size"))
@@ -451,7 +445,7 @@ SINGLE = (
     stats_table, report_table, scoreboard, charts_long, event_feed, report_key_events, narrative_a, narrative_b, narrative_c, narrative_d, match_cards,
     fmt_timestamp, fmt_filesize, fmt_eta, est_duration, percent_parse, report_dates, homography, half_split_teams, box_clip, top_matches, match_counts, team_docs,
     doc_upsert, doc_update, doc_insert_absent, doc_delete, reprocess_reset, upload_gate, prefix_listing, rule_check, immutable_fields, request_check, progress_stages,
-    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_scores, demo_totals, file_order, track_sides, edge_viz, heat_viz,
+    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_totals, file_order, track_sides, edge_viz, heat_viz,
 )
 PAIRED = (possession, ball_owner_frames, steps, events, events_capped, corners, pass_stats, shot_stats, score_discipline, pressure_index, xg_grid, momentum, pass_nodes, pass_edges, first_last_goal)
 QUERIES = {f.__name__: f for f in SINGLE}

@@ -31,7 +31,7 @@ def test_transitions_over_batches(spark, tmp_path):
     whole = spark.createDataFrame([r for b in batches for r in b], schema)
     want = sorted((r.id, r.at, r.was) for r in docs.transitions(whole, "completed").collect())
     assert want == [(1, 2, "processing"), (1, 4, "error")]
-    assert len(got) == len(want)
+    assert got == want
 
 
 def test_append_and_create(spark, tmp_path):
