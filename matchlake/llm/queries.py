@@ -77,7 +77,7 @@ SQL = {
         )
         SELECT page_id, payload_bytes, p.payload_digest,
             CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN page_id > first_id THEN first_id END AS refers_to, 0 AS gap_bytes
+            CASE WHEN page_id > first_id THEN first_id END AS refers_to, 0::BIGINT AS gap_bytes
         FROM page p LEFT JOIN first f ON p.payload_digest = f.payload_digest""",
     "op4_line_runs": r"""
         WITH cut AS (
