@@ -61,7 +61,7 @@ def voronoi(frames: DataFrame, p: Profile) -> DataFrame:
     """(match_id, frame_seq, track_id, team, area): areas of the cells of players on the pitch, of frames with 4 or more.
 
     Triples of sites whose circle is empty give the cells' corners; around a site they are ordered by angle and the
-    area is that of the polygon. A site whose corners don't surround it has an unbounded cell, and area 0. Areas are
+    area is that of the polygon. A site that the others don't surround has an unbounded cell, and area 0. Areas are
     no larger than the pitch. Triples are made from their frame's row, and all later steps find a match in place.
     """
     sites = frames.withColumn("own", F.filter("players", lambda s: inside(s["x"], s["y"], p))).filter("size(players) >= 4 AND size(own) >= 4")
@@ -89,11 +89,18 @@ def voronoi(frames: DataFrame, p: Profile) -> DataFrame:
     turn = around.withColumn("angle", F.atan2(F.col("uy") - F.col("sy"), F.col("ux") - F.col("sx")))
     order = site.orderBy("angle", "ux", "uy")
     nxt = lambda name: F.coalesce(F.lead(name).over(order), F.first(name).over(order))
-    turn = turn.withColumn("nx", nxt("ux")).withColumn("ny", nxt("uy")).withColumn("gap", F.coalesce(F.lead("angle").over(order), F.first("angle").over(order) + F.lit(2 * math.pi)) - F.col("angle"))
-    cells = turn.groupBy("match_id", "frame_seq", "det_ord").agg(F.max("gap").alias("gap"), F.sum(F.col("ux") * F.col("ny") - F.col("nx") * F.col("uy")).alias("twice"))
+    turn = turn.withColumn("nx", nxt("ux")).withColumn("ny", nxt("uy"))
+    cells = turn.groupBy("match_id", "frame_seq", "det_ord").agg(F.sum(F.col("ux") * F.col("ny") - F.col("nx") * F.col("uy")).alias("twice"))
+    # a cell is bounded if the other sites surround its site: no two of their directions in turn are half a turn apart
+    aim = sites.select("match_id", "frame_seq", "own", F.explode("own").alias("s")).select("match_id", "frame_seq", "s", F.explode("own").alias("o")).filter("o.x <> s.x OR o.y <> s.y")
+    aim = aim.select("match_id", "frame_seq", "s.det_ord", F.atan2(F.col("o.y") - F.col("s.y"), F.col("o.x") - F.col("s.x")).alias("angle"))
+    by = site.orderBy("angle")
+    gap = F.coalesce(F.lead("angle").over(by), F.first("angle").over(by) + F.lit(2 * math.pi)) - F.col("angle")
+    gaps = aim.withColumn("gap", gap).groupBy("match_id", "frame_seq", "det_ord").agg(F.max("gap").alias("gap"))
     every = sites.select("match_id", "frame_seq", F.explode("own").alias("s")).select("match_id", "frame_seq", "s.det_ord", "s.track_id", "s.team")
     area = F.when(F.col("gap") < math.pi - 1e-7, F.least(F.abs("twice") / 2, F.lit(p.width * p.height))).otherwise(0.0)
-    return every.join(cells, ["match_id", "frame_seq", "det_ord"], "left").select("match_id", "frame_seq", "track_id", "team", jround(F.coalesce(area, F.lit(0.0)), 2).alias("area"))
+    place = ["match_id", "frame_seq", "det_ord"]
+    return every.join(cells, place, "left").join(gaps, place, "left").select("match_id", "frame_seq", "track_id", "team", jround(F.coalesce(area, F.lit(0.0)), 2).alias("area"))
 
 
 def keyframes(frames: DataFrame, p: Profile, every: int = 5) -> DataFrame:

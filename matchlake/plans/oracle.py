@@ -252,13 +252,19 @@ def voronoi(p: Profile) -> str:
 ), turn AS (
     SELECT c.*, atan2(c.uy-s.y, c.ux-s.x) AS angle FROM corner c JOIN s USING (match_id, frame_seq, det_ord)
 ), ring AS (
-    SELECT *, coalesce(lead(ux) OVER w, first_value(ux) OVER w) AS nx, coalesce(lead(uy) OVER w, first_value(uy) OVER w) AS ny, coalesce(lead(angle) OVER w, first_value(angle) OVER w + 2*pi()) - angle AS gap
+    SELECT *, coalesce(lead(ux) OVER w, first_value(ux) OVER w) AS nx, coalesce(lead(uy) OVER w, first_value(uy) OVER w) AS ny
     FROM turn WINDOW w AS (PARTITION BY match_id, frame_seq, det_ord ORDER BY angle, ux, uy)
 ), cell AS (
-    SELECT match_id, frame_seq, det_ord, max(gap) AS gap, sum(ux*ny-nx*uy) AS twice FROM ring GROUP BY ALL
+    SELECT match_id, frame_seq, det_ord, sum(ux*ny-nx*uy) AS twice FROM ring GROUP BY ALL
+), aim AS (
+    SELECT a.match_id, a.frame_seq, a.det_ord, atan2(o.y-a.y, o.x-a.x) AS angle FROM s a JOIN s o ON a.match_id = o.match_id AND a.frame_seq = o.frame_seq WHERE o.x <> a.x OR o.y <> a.y
+), wide AS (
+    SELECT match_id, frame_seq, det_ord, max(gap) AS gap FROM (
+        SELECT *, coalesce(lead(angle) OVER w, first_value(angle) OVER w + 2*pi()) - angle AS gap FROM aim WINDOW w AS (PARTITION BY match_id, frame_seq, det_ord ORDER BY angle)
+    ) GROUP BY ALL
 )
 SELECT s.match_id, s.frame_seq, s.track_id, s.team, {jr(f"coalesce(CASE WHEN gap < pi() - 1e-7 THEN least(abs(twice)/2, {p.width * p.height}::DOUBLE) ELSE 0 END, 0)", 2)} AS area
-FROM s LEFT JOIN cell USING (match_id, frame_seq, det_ord)"""
+FROM s LEFT JOIN cell USING (match_id, frame_seq, det_ord) LEFT JOIN wide USING (match_id, frame_seq, det_ord)"""
 
 
 def kde(p: Profile) -> str:
