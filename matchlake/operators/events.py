@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from matchlake.functions.geometry import distance, fixed, goal_x, jround, near_corner, xg
 from matchlake.plans.profiles import Profile
 
-FIELDS = "array<struct<rank: int, type: string, team_side: string, xg: double, x: double, y: double, description: string>>"
-
 
 def _event(rank: int, kind: Column | str, side: Column, when: Column, xg_: Column | None = None, description: Column | None = None) -> Column:
     none, at = F.lit(None).cast("double"), xg_ is not None
@@ -39,29 +37,39 @@ def detected(state: DataFrame, p: Profile) -> DataFrame:
     return state.withColumn("found", F.filter(F.array(*found), lambda e: e.isNotNull())).withColumn("near", F.coalesce(near, F.lit(False)))
 
 
+TAKEN = "array<struct<frame_seq: bigint, ts_s: double, owner: string>>"
+
+
 def corner_islands(frames: DataFrame) -> DataFrame:
-    """Adds corner: the first near frame after each run of other events; none before the first event of a match."""
+    """Adds taken: the frame itself, if it is the first near frame after a run of other events; empty before the first event of a match."""
     upto = Window.partitionBy("match_id").orderBy("frame_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = frames.withColumn("others", F.sum(F.size("found")).over(upto))
     island = Window.partitionBy("match_id", "others").orderBy("frame_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("corner", F.col("near") & (F.col("others") > 0) & (F.count_if("near").over(island) == 1))
-
-
-def taken_corners(gap: int) -> Column:
-    """For a match: its owned near frames (frame_seq, owner) that are more than gap frames after the last one taken."""
-    near = F.array_sort(F.collect_list(F.when(F.col("near") & F.col("owner").isNotNull(), F.struct("frame_seq", "owner"))))
-    start = F.struct(F.lit(-10).cast("long").alias("last"), F.expr("cast(array() AS array<struct<frame_seq: bigint, owner: string>>)").alias("out"))
-    take = lambda acc, s: F.when(s["frame_seq"] - acc["last"] > gap, F.struct(s["frame_seq"].alias("last"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc)
-    return F.aggregate(near, start, take, lambda acc: acc["out"])
+    here = F.struct("frame_seq", "ts_s", F.coalesce("owner", F.lit("home")).alias("owner"))
+    first = F.col("near") & (F.col("others") > 0) & (F.count_if("near").over(island) == 1)
+    return marked.withColumn("taken", F.when(first, F.array(here)).otherwise(F.array()).cast(TAKEN))
 
 
 def corner_cooldown(frames: DataFrame, gap: int) -> DataFrame:
-    """Adds corner: whether the frame is one of the corners taken."""
-    taken = frames.groupBy("match_id").agg(taken_corners(gap).alias("taken")).select("match_id", F.explode("taken.frame_seq").alias("frame_seq")).withColumn("corner", F.lit(True))
-    return frames.join(taken, ["match_id", "frame_seq"], "left").withColumn("corner", F.coalesce("corner", F.lit(False)))
+    """Adds taken: the owned near frames that are more than gap frames after the last one taken.
+
+    A near frame that is that far from the near frame before it is taken whatever came earlier. So near frames are dealt
+    to runs that begin with such a frame, and only the frames of one run are walked through, in the row that begins it:
+    no match has to fit into a row, and the frames are read once.
+    """
+    order = Window.partitionBy("match_id").orderBy("frame_seq")
+    spot = F.when(F.col("near") & F.col("owner").isNotNull(), F.struct("frame_seq", "ts_s", "owner"))
+    out = frames.withColumn("spot", spot).withColumn("earlier", F.last("spot.frame_seq", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    out = out.withColumn("begins", F.col("spot").isNotNull() & F.coalesce(F.col("frame_seq") - F.col("earlier") > gap, F.lit(True)))
+    out = out.withColumn("run", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.withColumn("spots", F.collect_list("spot").over(Window.partitionBy("match_id", "run")))
+    far = lambda acc, s: s["frame_seq"] - F.get(acc, F.size(acc) - 1)["frame_seq"] > gap
+    walked = F.aggregate(F.array_sort("spots"), F.array().cast(TAKEN), lambda acc, s: F.when((F.size(acc) == 0) | far(acc, s), F.array_append(acc, s)).otherwise(acc))
+    return out.withColumn("taken", F.when(F.col("begins"), walked).otherwise(F.array().cast(TAKEN))).drop("spot", "earlier", "begins", "run", "spots")
 
 
 def with_corners(state: DataFrame, p: Profile) -> DataFrame:
+    """Frames with found, their events, and taken, the corners told in their row; each corner of a match is told once."""
     frames = detected(state, p)
     return corner_islands(frames) if p.corner_rule == "islands" else corner_cooldown(frames, p.corner_gap)
 
@@ -69,9 +77,13 @@ def with_corners(state: DataFrame, p: Profile) -> DataFrame:
 def events(state: DataFrame, p: Profile) -> DataFrame:
     """(match_id, event_seq, frame_seq, ts_s, type, team_side, xg, x, y, description), in the order of emission from 1 on."""
     frames = with_corners(state, p)
-    corner = _event(5, "corner", F.coalesce("owner", F.lit("home")), F.col("corner"))
-    every = F.concat("found", F.filter(F.array(corner), lambda e: e.isNotNull()))
-    rows = frames.select("match_id", "frame_seq", "ts_s", F.explode(every).alias("e")).select("match_id", "frame_seq", "ts_s", "e.*")
+    names = ("rank", "type", "team_side", "xg", "x", "y", "description")
+    own = F.transform("found", lambda e: F.struct(F.col("frame_seq").alias("frame_seq"), F.col("ts_s").alias("ts_s"), *[e[n].alias(n) for n in names]))
+    none = F.lit(None).cast("double")
+    corner = F.transform("taken", lambda c: F.struct(
+        c["frame_seq"].alias("frame_seq"), c["ts_s"].alias("ts_s"), F.lit(5).alias("rank"), F.lit("corner").alias("type"), c["owner"].alias("team_side"), none.alias("xg"), none.alias("x"), none.alias("y"), F.lit(None).cast("string").alias("description"),
+    ))
+    rows = frames.select("match_id", F.explode(F.concat(own, corner)).alias("e")).select("match_id", "e.*")
     seq = F.row_number().over(Window.partitionBy("match_id").orderBy("frame_seq", "rank")).cast("long")
     return rows.withColumn("event_seq", seq).drop("rank")
 

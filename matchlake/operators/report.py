@@ -91,15 +91,11 @@ def _named(side: Column, home: Column, away: Column) -> Column:
     return F.when(side == "home", home).otherwise(away)
 
 
-def _first_goal(flat: DataFrame, goals: DataFrame) -> DataFrame:
-    return flat.join(goals, "match_id", "left")
-
-
 def _score() -> Column:
     return F.concat(F.col("home_goals").cast("string"), F.lit("–"), F.col("away_goals").cast("string"))
 
 
-def narrative_five(flat: DataFrame, goals: DataFrame) -> DataFrame:
+def narrative_five(flat: DataFrame) -> DataFrame:
     h, a = F.lit("Home"), F.lit("Away")
     gap, margin = F.col("home_xg") - F.col("away_xg"), F.abs(F.col("home_goals") - F.col("away_goals"))
     goal = F.concat(F.lit(" The game's fulcrum tilted at "), clock(F.col("first_ts")), F.lit(" when "), _named(F.col("first_side"), h, a), F.lit(" broke the deadlock"), F.when(F.col("first_xg") != 0, F.concat(F.lit(" (xG: "), fixed(F.col("first_xg"), 2), F.lit(")"))).otherwise(""), F.lit("."))
@@ -108,10 +104,10 @@ def narrative_five(flat: DataFrame, goals: DataFrame) -> DataFrame:
         F.greatest("home_completed", "away_completed").cast("string"), F.lit(" passes across a compact five-a-side canvas. "), F.when(gap > 0, h).otherwise(a), F.lit("'s xG advantage of "), fixed(F.abs(gap), 2), F.lit(" "),
         F.when(margin > 0, "translated into").otherwise("belied"), F.lit(" a "), F.when(margin > 1, "commanding ").otherwise(""), _score(), F.lit(" result."), F.coalesce(goal, F.lit("")),
     )
-    return _first_goal(flat, goals).select("match_id", text.alias("narrative"))
+    return flat.select("match_id", text.alias("narrative"))
 
 
-def narrative_eleven(flat: DataFrame, goals: DataFrame, home: Column, away: Column) -> DataFrame:
+def narrative_eleven(flat: DataFrame, home: Column, away: Column) -> DataFrame:
     gap = F.col("home_xg") - F.col("away_xg")
     goal = F.concat(F.lit(" "), _named(F.col("first_side"), home, away), F.lit(" broke the deadlock at "), clock(F.col("first_ts")), F.lit("."))
     text = F.concat(
@@ -119,25 +115,25 @@ def narrative_eleven(flat: DataFrame, goals: DataFrame, home: Column, away: Colu
         F.greatest("home_shots", "away_shots").cast("string"), F.lit(" shot attempts. "), F.when(gap > 0, home).otherwise(away), F.lit(" created the better chances (xG advantage: "), fixed(F.abs(gap), 2), F.lit("), resulting in a "),
         _score(), F.lit(" final scoreline."), F.coalesce(goal, F.lit("")),
     )
-    return _first_goal(flat, goals).select("match_id", text.alias("narrative"))
+    return flat.select("match_id", text.alias("narrative"))
 
 
-def narrative_browser(flat: DataFrame, goals: DataFrame, home: Column, away: Column, minutes: Column) -> DataFrame:
+def narrative_browser(flat: DataFrame, home: Column, away: Column, minutes: Column) -> DataFrame:
     goal = F.concat(_named(F.col("first_side"), home, away), F.lit(" broke the deadlock in the "), F.floor(F.col("first_ts") / 60).cast("string"), F.lit("th minute. "))
     text = F.concat(
         F.when(F.col("home_pct") >= F.col("away_pct"), home).otherwise(away), F.lit(" controlled possession with "), plain_number(F.greatest("home_pct", "away_pct")), F.lit("% of the ball across the "), minutes.cast("string"), F.lit("-minute match. "),
         F.when(F.col("home_xg") >= F.col("away_xg"), home).otherwise(away), F.lit(" generated the better chances with "), fixed(F.greatest("home_xg", "away_xg"), 2), F.lit(" xG. "), F.coalesce(goal, F.lit("")), F.lit("Final score: "), _score(), F.lit("."),
     )
-    return _first_goal(flat, goals).select("match_id", text.alias("narrative"))
+    return flat.select("match_id", text.alias("narrative"))
 
 
-def narrative_long(flat: DataFrame, goals: DataFrame) -> DataFrame:
+def narrative_long(flat: DataFrame) -> DataFrame:
     h, a = F.lit("Home"), F.lit("Away")
     home_leads = F.col("home_pct") > F.col("away_pct")
     gap = F.col("home_xg") - F.col("away_xg")
     delta = F.concat(F.when((gap < 0) & (jround(F.abs(gap), 2) > 0), "-").otherwise(""), fixed(F.abs(gap), 2))
     opening = F.concat(F.lit("The game's fulcrum tilted at "), clock(F.col("first_ts")), F.lit(" when "), _named(F.col("first_side"), h, a), F.lit(" broke the deadlock"), F.when(F.col("first_xg") != 0, F.concat(F.lit(" (xG: "), fixed(F.col("first_xg"), 2), F.lit(")"))).otherwise(""))
-    ending = F.when(F.col("goals") > 1, F.concat(F.lit(", with the decisive blow landing at "), clock(F.col("last_ts")), F.lit("."))).otherwise(", a lead they would not relinquish.")
+    ending = F.when(F.col("home_goals") + F.col("away_goals") > 1, F.concat(F.lit(", with the decisive blow landing at "), clock(F.col("last_ts")), F.lit("."))).otherwise(", a lead they would not relinquish.")
     text = F.concat(
         F.when(home_leads, h).otherwise(a), F.lit(" Team controlled the tempo with "), plain_number(F.greatest("home_pct", "away_pct")), F.lit("% possession, weaving "), F.when(home_leads, F.col("home_completed")).otherwise(F.col("away_completed")).cast("string"),
         F.lit(" completed passes across a compact five-a-side canvas. Yet possession yielded uneven opportunity: Home's xG stood at "), fixed(F.col("home_xg"), 2), F.lit(" against Away's "), fixed(F.col("away_xg"), 2), F.lit(", a delta of "), delta, F.lit(" reflecting "),
@@ -145,4 +141,4 @@ def narrative_long(flat: DataFrame, goals: DataFrame) -> DataFrame:
         F.when(F.abs(F.col("home_goals") - F.col("away_goals")) <= 1, "belies the razor-thin margins separating these sides").otherwise("tells a story of decisive moments"), F.lit(". "),
         F.coalesce(F.concat(opening, ending), F.lit("Both sides fought fiercely, but the net remained silent.")),
     )
-    return _first_goal(flat, goals).select("match_id", text.alias("narrative"))
+    return flat.select("match_id", text.alias("narrative"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.functions.geometry import jround
-from matchlake.operators.events import corner_islands, detected, taken_corners
+from matchlake.operators.events import with_corners
 from matchlake.operators.frames import shares
 from matchlake.plans.profiles import Profile
 
@@ -57,15 +57,13 @@ def pressure(share: DataFrame) -> DataFrame:
     return share.select("match_id", *[jround(F.col(f"{side}_pct") / 20, 1).alias(f"{side}_pressure") for side in ("home", "away")])
 
 
-def summary(state: DataFrame, p: Profile) -> DataFrame:
-    """One flat row for each match, in one pass: events stay in their frames, so that all is one aggregation by match."""
-    frames, owner, sides = detected(state, p), F.col("owner"), ("home", "away")
+def summary(state: DataFrame, p: Profile, goals: bool = False) -> DataFrame:
+    """One flat row for each match, in one pass: events stay in their frames, so that all is one aggregation by match.
+
+    goals adds first_ts, first_side, first_xg, last_ts and last_side of the match's goals, null where there are none.
+    """
+    frames, owner, sides = with_corners(state, p), F.col("owner"), ("home", "away")
     passed = (owner == F.col("prev_owner")) & (F.col("step") > p.pass_step)
-    if p.corner_rule == "islands":
-        frames = corner_islands(frames)
-        corners = [F.count_if(F.col("corner") & (F.coalesce("owner", F.lit("home")) == side)).alias(f"{side}_corners") for side in sides]
-    else:
-        corners = [taken_corners(p.corner_gap).alias("taken")]
     out = [F.count_if(F.coalesce("owner", F.lit("none")) == side).alias(f"{side}_frames") for side in (*sides, "none")] + [F.count(F.lit(1)).alias("frames")]
     for side in sides:
         own = F.filter("found", _of(side))
@@ -74,12 +72,16 @@ def summary(state: DataFrame, p: Profile) -> DataFrame:
         out += [
             F.count_if(passed & (owner == side)).alias(f"{side}_completed"), many(*SHOTS).alias(f"{side}_shots"), many("shot_on_target").alias(f"{side}_on_target"),
             jround(jround(F.sum(worth), 6), 2).alias(f"{side}_xg"), many("goal").alias(f"{side}_goals"), many("foul").alias(f"{side}_fouls"),
+            F.sum(F.size(F.filter("taken", _owned(side)))).cast("long").alias(f"{side}_corners"),
         ]
-    flat = frames.groupBy("match_id").agg(*out, *corners)
-    if p.corner_rule != "islands":
-        for side in sides:
-            flat = flat.withColumn(f"{side}_corners", F.size(F.filter("taken", _owned(side))).cast("long"))
-        flat = flat.drop("taken")
+    if goals:
+        goal = F.get(F.filter("found", lambda e: e["type"] == "goal"), F.lit(0))
+        frames = frames.withColumn("goal", F.when(goal.isNotNull(), F.struct("frame_seq", "ts_s", goal["team_side"].alias("side"), goal["xg"].alias("xg"))))
+        out += [F.min("goal").alias("first_goal"), F.max("goal").alias("last_goal")]
+    flat = frames.groupBy("match_id").agg(*out)
+    if goals:
+        told = {f"{at}_{n}": F.col(f"{at}_goal.{c}") for at in ("first", "last") for n, c in (("ts", "ts_s"), ("side", "side"), ("xg", "xg")) if (at, n) != ("last", "xg")}
+        flat = flat.withColumns(told).drop("first_goal", "last_goal")
     flat = pass_rates(shares(flat, p), p)
     return flat.withColumns({f"{side}_pressure": jround(F.col(f"{side}_pct") / 20, 1) for side in sides})
 

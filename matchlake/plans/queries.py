@@ -182,23 +182,23 @@ def report_key_events(spark, sf_dir):
 
 
 def _told(spark, sf_dir, p):
-    return flat_summary(spark, sf_dir, p), stats.first_last_goal(event_stream(spark, sf_dir, p))
+    return stats.summary(fr.with_state(owned(spark, sf_dir, p), p), p, goals=True)
 
 
 def narrative_a(spark, sf_dir):
-    return report.narrative_five(*_told(spark, sf_dir, FIVE))
+    return report.narrative_five(_told(spark, sf_dir, FIVE))
 
 
 def narrative_b(spark, sf_dir):
-    return report.narrative_eleven(*_told(spark, sf_dir, ELEVEN), F.lit(HOME), F.lit(AWAY))
+    return report.narrative_eleven(_told(spark, sf_dir, ELEVEN), F.lit(HOME), F.lit(AWAY))
 
 
 def narrative_c(spark, sf_dir):
-    return report.narrative_browser(*_told(spark, sf_dir, ELEVEN), F.lit(HOME), F.lit(AWAY), F.greatest(F.lit(5), F.floor(F.col("frames") * 5 / 60 + F.lit(0.5))).cast("long"))
+    return report.narrative_browser(_told(spark, sf_dir, ELEVEN), F.lit(HOME), F.lit(AWAY), F.greatest(F.lit(5), F.floor(F.col("frames") * 5 / 60 + F.lit(0.5))).cast("long"))
 
 
 def narrative_d(spark, sf_dir):
-    return report.narrative_long(*_told(spark, sf_dir, FIVE))
+    return report.narrative_long(_told(spark, sf_dir, FIVE))
 
 
 def match_cards(spark, sf_dir):
