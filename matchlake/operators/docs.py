@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("uploading", "processing", "completed", "error")
-ROLES = ("user", "coach", "admin")
+#: Roles that a new user may have, and what a user document must hold.
+ROLES = ("player", "coach", "club-owner")
+USER_KEYS = ("email", "teams", "preferences", "role")
 MOST_PLAYERS, MOST_BYTES = 20, 500 * 1024 * 1024
 
 
@@ -64,11 +66,15 @@ def delete(docs: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 
 
 def reset(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Matches asked for by their owner start anew, if they have a video; others stay."""
+    """Matches asked for by their owner start anew, if they have a video; others stay.
+
+    Status and progress are set, and stats and error_message emptied where docs has them.
+    """
     want = asked.select(F.col("id").alias("want_id"), F.col("user_id").alias("want_user")).distinct()
     may = F.col("want_id").isNotNull() & F.col("video_url").isNotNull()
     joined = docs.join(want, (F.col("id") == F.col("want_id")) & (F.col("user_id") == F.col("want_user")), "left")
-    return joined.withColumn("status", F.when(may, "processing").otherwise(F.col("status"))).withColumn("progress", F.when(may, F.lit(0).cast("long")).otherwise(F.col("progress"))).drop("want_id", "want_user")
+    anew = {"status": F.lit("processing"), "progress": F.lit(0).cast("long"), "stats": F.lit(None), "error_message": F.lit(None)}
+    return joined.withColumns({c: F.when(may, v).otherwise(F.col(c)) for c, v in anew.items() if c in docs.columns}).drop("want_id", "want_user")
 
 
 def upload_gate(files: DataFrame) -> DataFrame:
@@ -96,6 +102,28 @@ def unchanged(before: DataFrame, after: DataFrame, columns: list[str], key: str
     return after.join(b, key).select(key, *[F.col(c).eqNullSafe(F.col(f"was_{c}")).alias(f"{c}_kept") for c in columns])
 
 
+def user_checks(users: DataFrame) -> DataFrame:
+    """Whether user documents hold all required keys and an allowed role; a missing column is a missing key."""
+    there = [F.col(c).isNotNull() if c in users.columns else F.lit(False) for c in USER_KEYS]
+    whole = there[0]
+    for one in there[1:]:
+        whole = whole & one
+    return users.select("id", whole.alias("complete"), F.coalesce(F.col("role").isin(*ROLES), F.lit(False)).alias("role_allowed"))
+
+
+def write_checks(docs: DataFrame, writes: DataFrame) -> DataFrame:
+    """For each write(id, asker, op, user_id, status) of a client to match documents, whether the rules allow it.
+
+    A client creates matches of its own that are uploading, changes its own without touching owner or status, and
+    deletes its own. Creating what is there, or changing what isn't, counts as the other kind of write.
+    """
+    old = docs.select(F.col("id").alias("old_id"), F.col("user_id").alias("old_user"), F.col("status").alias("old_status"))
+    mine, kept = F.col("user_id") == F.col("asker"), F.col("old_user") == F.col("asker")
+    there = F.col("old_id").isNotNull()
+    allowed = F.when(F.col("op") == "delete", there & kept).when(there, kept & mine & F.col("status").eqNullSafe(F.col("old_status"))).otherwise(mine & (F.col("status") == "uploading"))
+    return writes.join(old, F.col("id") == F.col("old_id"), "left").select("id", "asker", "op", F.coalesce(allowed, F.lit(False)).alias("allowed"))
+
+
 def valid_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("error", F.when(F.length(F.trim(F.coalesce("match_id", F.lit("")))) == 0, "matchId must not be empty"))
 
@@ -110,6 +138,23 @@ def member_removed(users: DataFrame, team: Column) -> DataFrame:
     return users.withColumn("team_ids", F.array_remove("team_ids", team))
 
 
+def urls_added(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """Match documents(id, video_urls) with the paths of files(id, path) added as to a set."""
+    new = files.groupBy(F.col("id").alias("file_id")).agg(F.collect_set("path").alias("paths"))
+    none = F.array().cast("array<string>")
+    joined = docs.join(new, F.col("id") == F.col("file_id"), "left")
+    return joined.withColumn("video_urls", F.array_union(F.coalesce("video_urls", none), F.coalesce("paths", none))).drop("file_id", "paths")
+
+
+def published(docs: DataFrame, results: DataFrame, path: str) -> None:
+    """Write documents with the analytics of results(match_id, stats), which complete them, in one job: all or nothing is seen."""
+    r = results.select(F.col("match_id").alias("done_id"), F.col("stats").alias("stats"))
+    done = F.col("done_id").isNotNull()
+    joined = docs.drop("stats").join(r, F.col("id") == F.col("done_id"), "left")
+    joined = joined.withColumn("status", F.when(done, "completed").otherwise(F.col("status"))).withColumn("progress", F.when(done, F.lit(100).cast("long")).otherwise(F.col("progress")))
+    joined.drop("done_id").write.mode("overwrite").parquet(path)
+
+
 def stage_index(progress: Column, stages: int) -> Column:
     return F.least(F.lit(stages - 1), F.floor(progress / 100 * stages)).cast("long")
 

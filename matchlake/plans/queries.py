@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions import formats, geometry, rng
+from matchlake.functions import colour, formats, geometry, rng
 from matchlake.functions.geometry import jround
 from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, synthetic, teams
 from matchlake.plans.profiles import ELEVEN, FIVE, Profile
@@ -294,7 +294,9 @@ def doc_delete(spark, sf_dir):
 
 def reprocess_reset(spark, sf_dir):
     asked = fx.matches(spark, sf_dir).filter("id % 2 = 0").select("id", (F.col("user_id") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("user_id"))
-    return docs.reset(fx.matches(spark, sf_dir), asked).select("id", "status", "progress")
+    k = F.col("id")
+    full = fx.matches(spark, sf_dir).withColumn("stats", F.when(F.col("status") == "completed", F.struct((k % 7).alias("home_goals")))).withColumn("error_message", F.when(k % 4 == 0, F.concat(F.lit("failed "), k.cast("string"))))
+    return docs.reset(full, asked).select("id", "status", "progress", F.col("stats.home_goals").alias("home_goals"), "error_message")
 
 
 def _files(spark, sf_dir):
@@ -321,6 +323,66 @@ def immutable_fields(spark, sf_dir):
     return docs.unchanged(fx.users(spark, sf_dir), after, ["email", "role"])
 
 
+def user_check(spark, sf_dir):
+    users = fx.users(spark, sf_dir).withColumn("teams", F.when(F.col("id") % 6 != 0, F.array(F.col("id")))).withColumn("preferences", F.lit("{}"))
+    return docs.user_checks(users)
+
+
+def write_rules(spark, sf_dir):
+    """Writes made of orders: a third each creates, changes and deletes, some by others or with another status."""
+    k = F.col("o_orderkey")
+    op = F.when(k % 3 == 0, "create").when(k % 3 == 1, "update").otherwise("delete")
+    status = F.when((op == "create") | (k % 5 == 0), "uploading").when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "processing").otherwise("uploading")
+    asker = F.col("o_custkey") + F.when(k % 7 == 0, 1).otherwise(0)
+    writes = fx.table(spark, sf_dir, "orders").select((k + F.when(op == "create", 10_000_000).otherwise(0)).alias("id"), asker.alias("asker"), op.alias("op"), F.col("o_custkey").alias("user_id"), status.alias("status"))
+    return docs.write_checks(fx.matches(spark, sf_dir), writes)
+
+
+def match_by_id(spark, sf_dir):
+    return docs.by_id(fx.matches(spark, sf_dir), 1).select("id", "user_id", "title", "status")
+
+
+def teams_of_user(spark, sf_dir):
+    return docs.of_user(fx.teams(spark, sf_dir), 3).select("id", "user_id", "name", F.size("players").cast("long").alias("n_players"))
+
+
+def matches_of_all(spark, sf_dir):
+    return docs.of_user(fx.matches(spark, sf_dir)).select("id", "user_id", "status")
+
+
+def matches_of_user(spark, sf_dir):
+    return docs.latest(fx.matches(spark, sf_dir), 4).select("id", "title")
+
+
+def publish_stats(spark, sf_dir):
+    """Statistics of matches written with their documents in one job, and read back."""
+    path = triggers.work_dir(spark, "published")
+    docs.published(fx.matches(spark, sf_dir), stats.nested(match_summary(spark, sf_dir)), path)
+    return spark.read.parquet(path).select("id", "status", "progress", F.col("stats.score.home").alias("home_goals"), F.col("stats.shots.away.xg").alias("away_xg"))
+
+
+def audit_append(spark, sf_dir):
+    """Two batches of audit rows appended to one log, and read back."""
+    path = triggers.work_dir(spark, "audit")
+    for to in ("completed", "error"):
+        docs.append(docs.transitions(_status_changes(spark, sf_dir), to).select("id", "at", F.lit(f"match_{to}").alias("action")), path)
+    return spark.read.parquet(path)
+
+
+def team_removal(spark, sf_dir):
+    """Owners without the smallest of their teams."""
+    owners = docs.members_added(fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")), fx.teams(spark, sf_dir))
+    left = docs.member_removed(owners, F.array_min("team_ids"))
+    return left.select("id", F.coalesce(F.array_join(F.transform("team_ids", lambda t: t.cast("string")), ","), F.lit("")).alias("teams"))
+
+
+def url_sets(spark, sf_dir):
+    """Paths of line items' shipments added to the matches' sets of videos."""
+    had = fx.matches(spark, sf_dir).select("id", F.when(F.col("video_url").isNotNull(), F.array(F.lit("videos/TRUCK"))).alias("video_urls"))
+    files = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("videos/"), F.when(F.col("l_linenumber") % 3 == 0, "TRUCK").otherwise(F.col("l_returnflag"))).alias("path"))
+    return docs.urls_added(had, files).select("id", F.array_join(F.array_sort("video_urls"), ",").alias("urls"))
+
+
 def request_check(spark, sf_dir):
     asked = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 6 == 0, "  ").when(F.col("o_orderkey") % 6 == 1, None).otherwise(F.col("o_orderkey").cast("string")).alias("match_id"))
     return docs.valid_requests(asked)
@@ -391,6 +453,26 @@ def live_status(spark, sf_dir):
     return triggers.live_documents(_status_changes(spark, sf_dir))
 
 
+def stream_live_status(spark, sf_dir):
+    """The last state of each document, from a stream of the events' files in update mode."""
+    schema = fx.table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    return triggers.drained_updates(triggers.live_documents(_as_status(arriving)), "id")
+
+
+def stream_steps(spark, sf_dir):
+    """Steps and corners of ball frames that arrive in two parts, with the state before each kept by match."""
+    frames = ev.detected(fr.with_state(owned(spark, sf_dir, ELEVEN), ELEVEN), ELEVEN).filter("ball IS NOT NULL")
+    balls = frames.select("match_id", "frame_seq", "owner", "ball.x", "ball.y", "near")
+    path = triggers.work_dir(spark, "frames")
+    parts = (F.col("frame_seq") < 20, F.col("frame_seq") >= 20)
+    for part in parts:
+        balls.filter(part).coalesce(8).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(balls.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    found = triggers.drained(triggers.frame_states(arriving, ELEVEN.corner_gap))
+    return found.filter("step IS NOT NULL").select("match_id", "frame_seq", "prev_owner", jround(F.col("step"), 3).alias("step"), "corner")
+
+
 def last_n_crops(spark, sf_dir):
     crops = fx.detections(spark, sf_dir).filter(F.col("class_id").isin(*fr.PLAYERS)).select("match_id", "track_id", (F.col("frame_seq") * 100 + F.col("det_ord")).alias("seq"))
     return teams.last_crops(crops)
@@ -407,14 +489,62 @@ def xorshift(spark, sf_dir):
 
 def jersey_kmeans(spark, sf_dir):
     """Sides by clusters of jersey features; each label stands for a track."""
-    crops = fx.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("feature"))
+    crops = fx.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("long").alias("match_id"), F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("feature"))
     return teams.jersey_clusters(crops)
 
 
-def demo_totals(spark, sf_dir):
+def jersey_features(spark, sf_dir):
+    """Mean colours of the upper halves of crops; the crops' bytes are made of embeddings, five pixels across."""
+    pixels = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("int"))
+    crops = fx.table(spark, sf_dir, "embeddings").select("vec_id", pixels.alias("pixels"))
+    found = crops.select("vec_id", colour.mean_hsv(F.col("pixels"), F.lit(5), F.floor(F.size("pixels") / 15)).alias("f"))
+    return found.select("vec_id", *[jround(F.col("f")[i], 4).alias(n) for i, n in enumerate(("hue", "saturation", "value"))])
+
+
+def _demo_files(spark, sf_dir):
     k = F.col("c_custkey")
-    files = fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.concat("c_name", F.lit(".mp4")).alias("name"), (k * 7_919_003 % 500_000_000).alias("size"))
-    return synthetic.demo_totals(files)
+    return fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.concat("c_name", F.lit(".mp4")).alias("name"), (k * 7_919_003 % 500_000_000).alias("size"))
+
+
+def demo_totals(spark, sf_dir):
+    return synthetic.demo_totals(_demo_files(spark, sf_dir))
+
+
+def demo_detected(spark, sf_dir):
+    """Totals of files whose possession is that of the ball detections of the match of the same number."""
+    found = possession_half(spark, sf_dir).select(F.col("match_id").alias("id"), "home_pct")
+    return synthetic.demo_totals(_demo_files(spark, sf_dir).join(found, "id"), detected=True)
+
+
+def _demo(spark, sf_dir):
+    return synthetic.with_places(synthetic.with_events(_demo_files(spark, sf_dir)))
+
+
+def demo_events(spark, sf_dir):
+    return synthetic.demo_events(_demo(spark, sf_dir))
+
+
+def demo_momentum(spark, sf_dir):
+    return synthetic.demo_momentum(_demo(spark, sf_dir))
+
+
+def demo_heat(spark, sf_dir):
+    found = synthetic.demo_heat(_demo(spark, sf_dir))
+    return found.select("id", "side", "at", jround(F.col("x"), 4).alias("x"), jround(F.col("y"), 4).alias("y"), "intensity")
+
+
+def demo_players(spark, sf_dir):
+    found = synthetic.demo_players(_demo(spark, sf_dir))
+    return found.select("id", "player_id", "name", "team_side", "involvement", jround(F.col("x"), 4).alias("x"), jround(F.col("y"), 4).alias("y"))
+
+
+def demo_passes(spark, sf_dir):
+    return synthetic.demo_passes(_demo(spark, sf_dir))
+
+
+def demo_narrative(spark, sf_dir):
+    told = synthetic.demo_told(synthetic.with_events(_demo_files(spark, sf_dir)))
+    return report.narrative_browser(told, F.lit(HOME), F.lit(AWAY), F.col("mins")).withColumnRenamed("match_id", "id")
 
 
 def file_order(spark, sf_dir):
@@ -445,7 +575,7 @@ SINGLE = (
     stats_table, report_table, scoreboard, charts_long, event_feed, report_key_events, narrative_a, narrative_b, narrative_c, narrative_d, match_cards,
     fmt_timestamp, fmt_filesize, fmt_eta, est_duration, percent_parse, report_dates, homography, half_split_teams, box_clip, top_matches, match_counts, team_docs,
     doc_upsert, doc_update, doc_insert_absent, doc_delete, reprocess_reset, upload_gate, prefix_listing, rule_check, immutable_fields, request_check, progress_stages,
-    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, demo_totals, file_order, track_sides, edge_viz, heat_viz,
+    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, jersey_features, demo_totals, demo_detected, demo_events, demo_momentum, demo_heat, demo_players, demo_passes, demo_narrative, user_check, write_rules, match_by_id, teams_of_user, matches_of_all, matches_of_user, publish_stats, audit_append, team_removal, url_sets, stream_live_status, stream_steps, file_order, track_sides, edge_viz, heat_viz,
 )
 PAIRED = (possession, ball_owner_frames, steps, events, events_capped, corners, pass_stats, shot_stats, score_discipline, pressure_index, xg_grid, momentum, pass_nodes, pass_edges, first_last_goal)
 QUERIES = {f.__name__: f for f in SINGLE}

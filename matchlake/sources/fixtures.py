@@ -76,7 +76,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         c.alias("id"), F.lower("c_name").alias("email"), F.col("c_name").alias("display_name"),
-        F.when(c % 10 == 0, "admin").when(c % 10 == 1, "coach").when(c % 10 == 2, "owner").otherwise("user").alias("role"),
+        F.when(c % 10 == 0, "club-owner").when(c % 10 == 1, "coach").when(c % 10 == 2, "owner").otherwise("player").alias("role"),
         F.when(c % 4 != 0, F.concat(F.lit("tok"), c.cast("string"))).alias("fcm_token"),
     )
 

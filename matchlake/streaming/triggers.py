@@ -17,8 +17,12 @@ UPLOADS = "path string, content_type string, size bigint"
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder where all executors can write; a local one only where no shared one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="matchlake-")
+    """A new folder where all executors can write; a temporary one only where none is named and all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="matchlake-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +42,21 @@ def on_upload(spark: SparkSession, folder: str, matches: DataFrame, handle: Call
     return accepted_uploads(files, matches).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_processing(updates: str, audit: str) -> Callable[[DataFrame, int], None]:
+    """A handler of accepted uploads that writes the new state of each match and a row for the audit log.
+
+    Each batch has a folder of its own, so that one that is run again after a failure replaces what it wrote.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
+        batch.select("id", "user_id", F.lit("processing_started").alias("action"), F.col("video_url").alias("detail")).write.mode("overwrite").parquet(f"{audit}/batch={number}")
+        batch.unpersist()
+
+    return handle
+
+
 def live_documents(changes: DataFrame) -> DataFrame:
     """The last state of each document of a stream of changes(id, at, status); for update mode."""
     return changes.groupBy("id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
@@ -51,31 +70,60 @@ def transitions(changes: DataFrame, to: str) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            if row.status == to and last is not None and last != to:
-                out.append((key[0], row.at, last))
-            last = row.status
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["id", "at", "was"])
+        rows = pd.concat(list(frames)).sort_values("at")
+        was = rows["status"].shift()
+        was.iloc[0] = state.get[0] if state.exists else None
+        state.update((rows["status"].iloc[-1],))
+        came = (rows["status"] == to) & was.notna() & (was != to)
+        yield rows.assign(was=was, id=key[0])[came][["id", "at", "was"]]
 
     return changes.groupBy("id").applyInPandasWithState(step, "id long, at long, was string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
-def momentum_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Possession changes of a stream(match_id, ts timestamp, team_side) in windows of two minutes.
+def frame_states(frames: DataFrame, gap: int) -> DataFrame:
+    """A stream of ball frames(match_id, frame_seq, owner, x, y, near) with what came before: prev_owner, step, corner.
 
-    Windows of a stream are open at their end, so that an event on a boundary counts once here and twice in the batch
-    operator.
+    Owner and ball of a match's last frame and the frame of its last corner are the state, so that a match may come in
+    any number of batches, its frames in their order. A corner is an owned near frame more than gap frames after the
+    last corner. The first frame of a match has no step.
     """
-    return events.withWatermark("ts", late).groupBy("match_id", F.window("ts", "2 minutes")).agg(F.count_if(F.col("team_side") == "home").alias("home"), F.count(F.lit(1)).alias("changes"))
 
-
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that has arrived and read its result."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("frame_seq")
+        owner, x, y, corner = state.get if state.exists else (None, None, None, None)
+        before = rows[["owner", "x", "y"]].shift()
+        before.iloc[0] = [owner, x, y]
+        moved = ((rows["x"] - before["x"].astype("float64")) ** 2 + (rows["y"] - before["y"].astype("float64")) ** 2) ** 0.5
+        taken = []
+        for seq in rows["frame_seq"][rows["near"] & rows["owner"].notna()]:
+            if corner is None or seq - corner > gap:
+                corner = int(seq)
+                taken.append(corner)
+        last = rows.iloc[-1]
+        state.update((last["owner"], float(last["x"]), float(last["y"]), corner))
+        yield pd.DataFrame({"match_id": key[0], "frame_seq": rows["frame_seq"], "prev_owner": before["owner"], "step": moved, "corner": rows["frame_seq"].isin(taken)})
+
+    return frames.groupBy("match_id").applyInPandasWithState(
+        step, "match_id long, frame_seq long, prev_owner string, step double, corner boolean", "owner string, x double, y double, corner long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that has arrived and read the rows that it gave."""
     spark = stream.sparkSession
     out, marks = work_dir(spark, "stream-out"), work_dir(spark, "stream-marks")
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def drained_updates(stream: DataFrame, key: str) -> DataFrame:
+    """Run an aggregation over all that has arrived, in update mode, and read the newest row of each key.
+
+    Batches write what changed in them, each into a folder of its own; the newest batch of a key counts.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    out, marks = work_dir(spark, "stream-out"), work_dir(spark, "stream-marks")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("basePath", out).parquet(out)
+    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in columns if c != key])
