@@ -99,6 +99,19 @@ def nested(flat: DataFrame) -> DataFrame:
     )
 
 
+def composed(flat: DataFrame, **parts: tuple[DataFrame, str]) -> DataFrame:
+    """One document for each match: its statistics, and for each part (rows, order) the match's rows as an array in that order.
+
+    Parts are capped or bounded by a match's length before they come here; a match without rows of a part has an empty array.
+    """
+    out = nested(flat)
+    for name, (rows, order) in parts.items():
+        rest = [c for c in rows.columns if c not in ("match_id", order)]
+        own = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+        out = out.join(own, "match_id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out
+
+
 def momentum_minutes(duration: Column, p: Profile) -> Column:
     """Minutes 0, 2, 4 ... of a match."""
     minutes = F.ceil(duration / 60) if p.momentum_ceil else F.floor(duration / 60)

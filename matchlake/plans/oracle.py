@@ -574,3 +574,11 @@ SINGLE |= {
 }
 
 SQL = {**SINGLE, **paired()}
+_joined = lambda name, text, order, where="": f"(SELECT match_id, string_agg({text}, ',' ORDER BY {order}) AS t, count(*) AS n FROM ({SQL[name]}) {where} GROUP BY match_id)"
+EVENT_TEXT = "CAST(event_seq AS VARCHAR) || ':' || CAST(frame_seq AS VARCHAR) || ':' || type || ':' || team_side"
+SQL["match_document"] = f"""SELECT f.match_id, home_goals, away_xg, home_pct, coalesce(h.n, 0) AS n_heat, narrative, coalesce(m.t, '') AS momentum, coalesce(e.t, '') AS events, coalesce(n.t, '') AS nodes, coalesce(g.t, '') AS edges
+FROM ({SQL['match_summary']}) f LEFT JOIN ({SQL['narrative_b']}) w USING (match_id)
+LEFT JOIN {_joined('heatmap_hist', "''", 'x')} h USING (match_id) LEFT JOIN {_joined('momentum_eleven', "CAST(minute AS VARCHAR) || ':' || " + fx('home', 1), 'minute')} m USING (match_id)
+LEFT JOIN {_joined('events_eleven', EVENT_TEXT, 'event_seq', f'WHERE event_seq <= {ELEVEN.event_cap}')} e USING (match_id)
+LEFT JOIN {_joined('pass_nodes_eleven', "CAST(node_seq AS VARCHAR) || ':' || player_id || ':' || CAST(involvement AS VARCHAR)", 'node_seq')} n USING (match_id)
+LEFT JOIN {_joined('pass_edges_eleven', "from_id || ':' || to_id || ':' || CAST(count AS VARCHAR)", 'edge_seq')} g USING (match_id)"""

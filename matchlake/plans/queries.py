@@ -153,6 +153,28 @@ def network_viz(spark, sf_dir):
     return spatial.network_view(_nodes(spark, sf_dir, ELEVEN), ELEVEN, 840.0, 500.0)
 
 
+def whole_match(spark, sf_dir) -> DataFrame:
+    """The document of each match: statistics, momentum, events, heat points, pass network and narrative."""
+    told = _told(spark, sf_dir, ELEVEN)
+    heat = heatmap_hist(spark, sf_dir).withColumn("place", F.concat_ws(" ", "team", F.format_string("%09.3f %09.3f", "x", "y")))
+    words = report.narrative_eleven(told, F.lit(HOME), F.lit(AWAY))
+    found = stats.composed(
+        told, momentum=(momentum(spark, sf_dir, ELEVEN), "minute"), events=(ev.capped(events(spark, sf_dir, ELEVEN), "event_seq", ELEVEN.event_cap), "event_seq"), heat=(heat, "place"),
+        nodes=(pass_nodes(spark, sf_dir, ELEVEN), "node_seq"), edges=(pass_edges(spark, sf_dir, ELEVEN), "edge_seq"),
+    )
+    return found.join(words, "match_id", "left")
+
+
+def match_document(spark, sf_dir):
+    """The documents of all matches, with their arrays as text."""
+    text = lambda name, *cols: F.array_join(F.transform(name, lambda s: F.concat_ws(":", *[s[c].cast("string") for c in cols])), ",").alias(name)
+    return whole_match(spark, sf_dir).select(
+        "match_id", F.col("stats.score.home").alias("home_goals"), F.col("stats.shots.away.xg").alias("away_xg"), F.col("stats.possession.home").alias("home_pct"), F.size("heat").cast("long").alias("n_heat"), "narrative",
+        F.array_join(F.transform("momentum", lambda s: F.concat_ws(":", s["minute"].cast("string"), geometry.fixed(s["home"], 1))), ",").alias("momentum"),
+        text("events", "event_seq", "frame_seq", "type", "team_side"), text("nodes", "node_seq", "player_id", "involvement"), text("edges", "from_id", "to_id", "count"),
+    )
+
+
 def first_last_goal(spark, sf_dir, p):
     return stats.first_last_goal(event_stream(spark, sf_dir, p))
 
@@ -571,7 +593,7 @@ def heat_viz(spark, sf_dir):
 
 
 SINGLE = (
-    match_summary, match_summary_five, possession_half, ball_presence, half_split_owners, heatmap_hist, heatmap_kde, raw_heat_points, voronoi_zones, edge_resolve, network_viz,
+    match_summary, match_summary_five, match_document, possession_half, ball_presence, half_split_owners, heatmap_hist, heatmap_kde, raw_heat_points, voronoi_zones, edge_resolve, network_viz,
     stats_table, report_table, scoreboard, charts_long, event_feed, report_key_events, narrative_a, narrative_b, narrative_c, narrative_d, match_cards,
     fmt_timestamp, fmt_filesize, fmt_eta, est_duration, percent_parse, report_dates, homography, half_split_teams, box_clip, top_matches, match_counts, team_docs,
     doc_upsert, doc_update, doc_insert_absent, doc_delete, reprocess_reset, upload_gate, prefix_listing, rule_check, immutable_fields, request_check, progress_stages,

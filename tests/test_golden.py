@@ -155,3 +155,22 @@ def test_summary_invariants(spark, sf_dir):
         assert math.isclose(r.home_pct + r.away_pct, 100) and r.home_goals <= r.home_shots and r.away_goals <= r.away_shots
     doc = stats.nested(match_summary(spark, sf_dir)).first()
     assert doc.stats.possession.home == pytest.approx(100 - doc.stats.possession.away)
+
+
+def test_event_cap(spark):
+    rows = spark.createDataFrame([(m, i) for m in (1, 2) for i in range(1, 251 if m == 1 else 4)], "match_id long, event_seq long")
+    kept = ev.capped(rows, "event_seq", ELEVEN.event_cap).groupBy("match_id").agg(F.count("*").alias("n"), F.max("event_seq").alias("last")).orderBy("match_id").collect()
+    assert [tuple(r) for r in kept] == [(1, 200, 200), (2, 3, 3)]
+
+
+def test_long_corner_runs(spark):
+    """Against a walk over the frames, with runs that are longer than the gap."""
+    near = [i for i in range(60) if i % 13 in (0, 1, 2, 3, 4, 7, 8, 11) or 20 < i < 34]
+    at = lambda i: (1.0, 1.0) if i in near else (50.0, 34.0)
+    frames = [(at(i), [(*at(i), "home")]) for i in range(60)]
+    want, last = [], -10
+    for i in near:
+        if i - last > ELEVEN.corner_gap:
+            want.append(i)
+            last = i
+    assert [k[0] for k in kinds(spark, ELEVEN, frames) if k[1] == "corner"] == want
