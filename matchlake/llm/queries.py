@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchlake.llm.brown import class_scores
 from matchlake.llm.common import table
 from matchlake.llm.decontaminate import contaminated
+from matchlake.llm.fim import fill_in_middle, restored
 from matchlake.llm.lines import drop_frequent_lines
 from matchlake.llm.media import read_media, to_media
 from matchlake.llm.packing import pack, word_lengths
@@ -66,9 +67,33 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit)}
+def op12_fim_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("restored_text").alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit, op12_fim_sparse_index)}
 
 SQL = {
+    "op12_fim_sparse_index": """
+        WITH own AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+        ), h AS (
+            SELECT doc_id, text, length(text) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+                ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM own
+        ), cut AS (
+            SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                    THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), part AS (
+            SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM part""",
     "op7_warc_salvage": """
         WITH page AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
