@@ -15,6 +15,7 @@ from matchlake.llm.packing import pack, word_lengths
 from matchlake.llm.pii import digest, personal_data
 from matchlake.llm.quality import quality_scores
 from matchlake.llm.simhash import simhash_classes
+from matchlake.llm.substring import drop_repeats
 from matchlake.llm.tokens import token_counts
 from matchlake.llm.warc import archived
 
@@ -73,9 +74,34 @@ def op12_fim_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("restored_text").alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit, op12_fim_sparse_index)}
+def op13_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit, op12_fim_sparse_index, op13_fm_substrings)}
 
 SQL = {
+    "op13_fm_substrings": r"""
+        WITH own AS (
+            SELECT doc_id, row_number() OVER () AS doc_row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            FROM documents
+        ), start AS (
+            SELECT doc_id, doc_row, unnest(range(1, len(w) - 11)) AS at FROM own
+        ), win AS (
+            SELECT s.doc_id, s.doc_row, s.at, array_to_string(o.w[s.at : s.at + 12], ' ') AS words FROM start s JOIN own o USING (doc_row)
+        ), least AS (
+            SELECT *, min(doc_id) OVER (PARTITION BY words) AS first_id FROM win
+        ), gone AS (
+            SELECT DISTINCT doc_row, unnest(range(at, at + 13)) AS at FROM least WHERE first_id < doc_id
+        ), word AS (
+            SELECT doc_row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM own
+        ), kept AS (
+            SELECT w.doc_row, count(*) AS n_kept, string_agg(w.word, ' ' ORDER BY w.at) AS kept
+            FROM word w LEFT JOIN gone g ON w.doc_row = g.doc_row AND w.at = g.at WHERE g.at IS NULL GROUP BY w.doc_row
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n_kept, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM own LEFT JOIN kept USING (doc_row)""",
     "op12_fim_sparse_index": """
         WITH own AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
