@@ -84,21 +84,21 @@ QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_
 SQL = {
     "op13_fm_substrings": r"""
         WITH own AS (
-            SELECT doc_id, row_number() OVER () AS doc_row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            SELECT doc_id, row_number() OVER () AS doc_row, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w
             FROM documents
         ), start AS (
-            SELECT doc_id, doc_row, unnest(range(1, len(w) - 11)) AS at FROM own
+            SELECT doc_id, doc_row, unnest(range(1, len(w) - 11)) AS p FROM own
         ), win AS (
-            SELECT s.doc_id, s.doc_row, s.at, array_to_string(o.w[s.at : s.at + 12], ' ') AS words FROM start s JOIN own o USING (doc_row)
+            SELECT s.doc_id, s.doc_row, s.p, array_to_string(o.w[s.p : s.p + 12], ' ') AS words FROM start s JOIN own o USING (doc_row)
         ), least AS (
             SELECT *, min(doc_id) OVER (PARTITION BY words) AS first_id FROM win
         ), gone AS (
-            SELECT DISTINCT doc_row, unnest(range(at, at + 13)) AS at FROM least WHERE first_id < doc_id
+            SELECT DISTINCT doc_row, unnest(range(p, p + 13)) AS p FROM least WHERE first_id < doc_id
         ), word AS (
-            SELECT doc_row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM own
+            SELECT doc_row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM own
         ), kept AS (
-            SELECT w.doc_row, count(*) AS n_kept, string_agg(w.word, ' ' ORDER BY w.at) AS kept
-            FROM word w LEFT JOIN gone g ON w.doc_row = g.doc_row AND w.at = g.at WHERE g.at IS NULL GROUP BY w.doc_row
+            SELECT w.doc_row, count(*) AS n_kept, string_agg(w.word, ' ' ORDER BY w.p) AS kept
+            FROM word w LEFT JOIN gone g ON w.doc_row = g.doc_row AND w.p = g.p WHERE g.p IS NULL GROUP BY w.doc_row
         )
         SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n_kept, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM own LEFT JOIN kept USING (doc_row)""",
