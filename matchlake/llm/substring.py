@@ -24,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +44,9 @@ SAMPLE, FREQUENT = 20_000, 1 / 2000
 #: Bytes of text a partition, before segments overlap.
 PART_BYTES = 24 << 20
 
-SEGMENT = "key long, file long, at long, doc_id long, starts array<int>, stop int, words binary"
+#: Packed segments of a bucket, or words that are known to go.
+SENT = "bucket long, file long, at long, start long, stop long, numbers binary, texts binary"
+SENT_NAMES = [x.split()[0] for x in SENT.split(", ")]
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -116,21 +119,26 @@ def _frequent(docs: DataFrame, rows: int, window: int) -> np.ndarray:
 
 
 class Merger:
-    """Segments of a task, each sent once for the least id that holds it; rows are those of SEGMENT."""
+    """Segments of a task, each sent once for the least id that holds it."""
 
-    def __init__(self, most: int = MERGE_BYTES, hold: int = HELD_BYTES):
-        self.most, self.hold = most, hold
+    def __init__(self, parts: int, most: int = MERGE_BYTES, hold: int = HELD_BYTES):
+        self.parts, self.most, self.hold = parts, most, hold
         self.held: dict[bytes, list] = {}
         self.size = 0
-        self.rows: list[tuple] = []
+        self.known: list[list] = []
 
     def gone(self, file: int, at: int, starts: list[int], size: int) -> None:
-        """Words that a smaller id is known to hold; they go past the shards, dealt out by their place."""
-        self.rows.append((file ^ at ^ starts[0], file, at, None, starts, size, None))
+        """Words that a smaller id is known to hold; neighbours make one row."""
+        for start in starts:
+            last = self.known[-1] if self.known else None
+            if last and last[0] == file and last[1] == at and last[2] <= start <= last[3]:
+                last[3] = max(last[3], start + size)
+            else:
+                self.known.append([file, at, start, start + size])
 
     def add(self, words: bytes, size: int, key: int, file: int, at: int, doc_id: int, start: int) -> None:
         old = self.held.get(words)
-        if old is None:
+        if old is None:  # least id, key, rows that hold it, sent, repeated
             self.held[words] = [doc_id, key, [(file, at, [start])], False, False]
             self.size += len(words)
             return
@@ -147,34 +155,58 @@ class Merger:
             old[2] = [*([] if old[3] else old[2]), (file, at, [start])]
             old[3] = False
 
-    def send(self) -> None:
-        """What hasn't been sent yet; repeated segments stay held as far as there is room."""
+    def send(self) -> Iterator[pa.RecordBatch]:
+        """SENT rows of what hasn't been sent yet; repeated segments stay held as far as there is room."""
+        rows = [(old[1], file, at, old[0], len(starts), starts[0]) for old in self.held.values() if not old[3] for file, at, starts in old[2]]
+        more = [starts for old in self.held.values() if not old[3] for _, _, starts in old[2]]
+        words = [w for w, old in self.held.items() if not old[3] for _ in old[2]]
+        if rows:
+            number = np.array(rows, np.int64)
+            bucket = number[:, 0] % self.parts
+            by = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+            packed, texts = [], []
+            for pick in np.split(by, edge[1:]):
+                packed.append(_pack(number[pick], [more[i] for i in pick.tolist()]))
+                texts.append(zstandard.compress(b"\n".join([words[i] for i in pick.tolist()]), 3))
+            none = pa.nulls(len(edge), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[by][edge]), none, none, none, none, pa.array(packed, pa.binary()), pa.array(texts, pa.binary())], names=SENT_NAMES)
+        if self.known:
+            columns = np.array(self.known, np.int64).T
+            none = pa.nulls(len(self.known), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((columns[0] ^ columns[1]) % self.parts), *(pa.array(c) for c in columns), none, none], names=SENT_NAMES)
+            self.known = []
         kept, room = {}, self.hold
         for words, old in self.held.items():
-            if not old[3]:
-                self.rows += [(old[1], file, at, old[0], starts, None, words) for file, at, starts in old[2]]
-                old[3] = True
             if old[4] and room > 0:
-                kept[words] = [*old[:4], False]
+                kept[words] = [*old[:3], True, False]
                 room -= len(words)
         self.held, self.size = kept, self.hold - room
 
-    def take(self) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-        names = [x.split()[0] for x in SEGMENT.split(", ")]
-        for a in range(0, len(self.rows), 20_000):
-            columns = zip(*self.rows[a : a + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-        self.rows = []
 
+def _pack(rows: np.ndarray, starts: list[list[int]]) -> bytes:
+    """(key, file, at, doc_id, number of starts, first start) of each segment, and all starts: differences, compressed."""
+    every = [x for own in starts for x in own] if (rows[:, 4] > 1).any() else rows[:, 5]
+    moved = np.diff(rows[:, 1:5], axis=0, prepend=0)
+    head = np.array([len(rows), len(every)], np.int64)
+    return zstandard.compress(b"".join((head.tobytes(), moved.T.tobytes(), np.diff(np.asarray(every, np.int64), prepend=0).astype(np.int32).tobytes(), (rows[:, 0] >> 2).astype(np.uint32).tobytes())), 3)
 
-def segments(docs: DataFrame, frequent: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """SEGMENT rows of docs(file, at, doc_id, text): segments for the shards, and words (stop of them) known to go."""
 
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(file, at, doc_id, number of starts) of each segment, all starts, and 32 bits of the keys."""
+    data = zstandard.decompress(packed)
+    n, m = np.frombuffer(data, np.int64, 2)
+    rows = np.cumsum(np.frombuffer(data, np.int64, 4 * n, 16).reshape(4, n), axis=1)
+    starts = np.cumsum(np.frombuffer(data, np.int32, m, 16 + 32 * n), dtype=np.int64)
+    return rows, starts, np.frombuffer(data, np.uint32, n, 16 + 32 * n + 4 * m)
+
+
+def segments(docs: DataFrame, frequent: np.ndarray, parts: int, window: int = WINDOW) -> DataFrame:
+    """SENT rows of docs(file, at, doc_id, text): packed segments for a bucket of shards, and words known to go."""
     bounds = MERGE_BYTES, HELD_BYTES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(*bounds)
+        merger = Merger(parts, *bounds)
         for batch in batches:
             file, at, doc_id = (batch.column(i).to_pylist() for i in range(3))
             found = Segments(batch.column(3).to_pylist(), frequent, window)
@@ -183,13 +215,10 @@ def segments(docs: DataFrame, frequent: np.ndarray, window: int = WINDOW) -> Dat
             for own, a, b, key, s, n in zip(found.own.tolist(), begin, end, found.key.tolist(), start, size):
                 merger.add(found.joined[a:b], n, key, file[own], at[own], doc_id[own], s)
                 if merger.size > merger.most:
-                    merger.send()
-                    yield from merger.take()
-            yield from merger.take()
-        merger.send()
-        yield from merger.take()
+                    yield from merger.send()
+        yield from merger.send()
 
-    return docs.select("file", "at", "doc_id", "text").mapInArrow(work, SEGMENT)
+    return docs.select("file", "at", "doc_id", "text").mapInArrow(work, SENT)
 
 
 class BitVector:
@@ -311,53 +340,67 @@ def repeats(words: list[bytes], doc_id: np.ndarray, window: int = WINDOW) -> tup
     return own[fresh], at[fresh], at[close] + window
 
 
-def _resolve(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """(file, at, start, stop) of the words to go, from the SEGMENT rows of a shard."""
-    out: list[list] = [[], [], [], []]
-
-    def put(file, at, starts, a, b):
-        for s in starts:
-            for column, value in zip(out, (file, at, s + a, s + b)):
-                column.append(value)
-
-    sent = np.asarray(rows.column("words").is_null())
-    for r in rows.filter(pa.array(sent)).to_pylist():
-        put(r["file"], r["at"], r["starts"], 0, r["stop"])
-    own = rows.filter(pa.array(~sent))
-    if own.num_rows:
-        key, doc_id = (own.column(c).to_numpy() for c in ("key", "doc_id"))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        differs = np.minimum.reduceat(doc_id, first) < np.maximum.reduceat(doc_id, first)
-        keep = np.repeat(differs, np.diff(np.append(first, len(key))))  # a key of a single id has nothing to remove
-        own, doc_id = own.filter(pa.array(keep)), doc_id[keep]
-    if own.num_rows:
-        file, at, starts = (own.column(c).to_pylist() for c in ("file", "at", "starts"))
-        for k, a, b in zip(*(x.tolist() for x in repeats(own.column("words").to_pylist(), doc_id, window))):
-            put(file[k], at[k], starts[k], a, b)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["file", "at", "start", "stop"])
-
-
-def removals(segs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
-    """(file, at, start, stop): words to go, from all SEGMENT rows; a shard is a run of whole keys in a partition."""
+def _resolve(numbers: list[bytes], texts: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
+    """(file, at, start, stop) of the words to go among the packed segments of a bucket."""
+    parts = [_unpack(x) for x in numbers]
+    rows = np.concatenate([p[0] for p in parts], axis=1)
+    starts, key = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    edge = np.cumsum([p[0].shape[1] for p in parts])
+    by = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[by], prepend=-1, append=-1))[:-1] if len(by) else by
+    doc_id = rows[2][by]
+    differs = np.minimum.reduceat(doc_id, first) < np.maximum.reduceat(doc_id, first)
+    by = by[np.repeat(differs, np.diff(np.append(first, len(by))))]  # a key of a single id has nothing to remove
+    if not len(by):
+        return
+    wanted = np.zeros(len(key), bool)
+    wanted[by] = True
+    words: list[bytes | None] = [None] * len(key)
+    for a, b, packed in zip([0, *edge[:-1].tolist()], edge.tolist(), texts):
+        pick = np.flatnonzero(wanted[a:b]).tolist()
+        if pick:
+            own = zstandard.decompress(packed).split(b"\n")
+            for i in pick:
+                words[a + i] = own[i]
+    begin = np.cumsum(rows[3]) - rows[3]
+    size = np.cumsum([len(words[i]) for i in by.tolist()])
+    turn = np.append(key[by][1:] != key[by][:-1], True)
+    ends = np.flatnonzero(turn) + 1
+    low = 0
+    while low < len(by):
+        full = np.searchsorted(size, (size[low - 1] if low else 0) + SHARD_BYTES, "right")
+        at = np.searchsorted(ends, full, "right") - 1
+        high = int(ends[at]) if at >= 0 and ends[at] > low else int(ends[np.searchsorted(ends, low, "right")])
+        shard = by[low:high]
+        low = high
+        own, a, b = repeats([words[i] for i in shard.tolist()], rows[2][shard], window)
+        if len(own):
+            pick = shard[own]
+            n = rows[3][pick]
+            each = np.repeat(np.arange(len(pick)), n)
+            start = starts[np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + begin[pick][each]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0][pick][each]), pa.array(rows[1][pick][each]), pa.array(start + a[each]), pa.array(start + b[each])], names=["file", "at", "start", "stop"])
+
+
+def removals(sent: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
+    """(file, at, start, stop): words to go, from all SENT rows; the shards are runs of the keys of a bucket.
+
+    A bucket's segments are held packed; only those whose key stands under several ids are unpacked.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        numbers, texts = [], []
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > SHARD_BYTES:
-                rows = pa.Table.from_batches(held)
-                key = rows.column("key").to_numpy()
-                edge = np.flatnonzero(key != key[-1])
-                if len(edge):
-                    yield _resolve(rows.slice(0, edge[-1] + 1), window)
-                    rest = rows.slice(edge[-1] + 1).combine_chunks()
-                    held, size = rest.to_batches(), rest.nbytes
-        if held:
-            yield _resolve(pa.Table.from_batches(held), window)
-
-    return segs.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, "file long, at long, start int, stop int")
+            known = batch.filter(batch.column("numbers").is_null())
+            if known.num_rows:
+                yield known.select(["file", "at", "start", "stop"])
+            own = batch.filter(batch.column("numbers").is_valid())
+            numbers += own.column("numbers").to_pylist()
+            texts += own.column("texts").to_pylist()
+        if numbers:
+            yield from _resolve(numbers, texts, window)
+
+    return sent.repartition(parts, "bucket").mapInArrow(work, "file long, at long, start long, stop long")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -377,7 +420,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size["bytes"] // PART_BYTES)
     able = own.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    gone = removals(segments(able, _frequent(able, size["rows"], window), window), parts, window)
+    gone = removals(segments(able, _frequent(able, size["rows"], window), parts, window), parts, window)
     cuts = gone.groupBy("file", "at").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     joined = own.drop("doc_id").join(cuts, ["file", "at"], "left").select("text", "starts", "stops", "given", *[f"carry{i}" for i in range(len(carry))])
     kinds = {f.name: f.dataType for f in own.schema.fields}

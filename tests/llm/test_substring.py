@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from matchlake.llm import substring
 from matchlake.llm.substring import FMIndex, Merger, Segments, drop_repeats, repeats
@@ -75,12 +76,17 @@ def test_segments_hold_every_window_once():
 
 
 def test_merger_sends_the_least_id_once():
-    m = Merger()
+    m = Merger(3)
     for doc_id, start in ((5, 0), (7, 3), (2, 1), (2, 9), (9, 0)):
         m.add(b"a b", 2, 77, 0, doc_id, doc_id, start)
-    m.send()
-    assert [r for r in m.rows if r[6]] == [(77, 0, 2, 2, [1, 9], None, b"a b")]
-    assert sorted((r[2], r[4]) for r in m.rows if not r[6]) == [(5, [0]), (7, [3]), (9, [0])]
+    packed, known = (x.to_pylist() for x in m.send())
+    (row,) = packed
+    rows, starts, key = substring._unpack(row["numbers"])
+    assert rows.T.tolist() == [[0, 2, 2, 2]] and starts.tolist() == [1, 9] and key.tolist() == [77 >> 2]
+    assert zstandard.decompress(row["texts"]) == b"a b" and row["bucket"] == 77 % 3
+    assert sorted((r["at"], r["start"], r["stop"]) for r in known) == [(5, 0, 2), (7, 3, 5), (9, 0, 2)]
+    m.add(b"a b", 2, 77, 0, 8, 8, 4)
+    assert [(r["at"], r["start"], r["stop"]) for x in m.send() for r in x.to_pylist()] == [(8, 4, 6)]
 
 
 def test_corpus_against_all_windows(spark, docs, corpus):
