@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm.brown import class_scores
+from matchlake.llm.collocations import collocations
 from matchlake.llm.common import table
 from matchlake.llm.decontaminate import contaminated
 from matchlake.llm.fim import fill_in_middle, restored
@@ -68,6 +69,10 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(word_lengths(table(spark, sf_dir, "documents")))
 
 
+def op11_era_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, most=2000)
+
+
 def op12_fim_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = restored(fill_in_middle(table(spark, sf_dir, "documents")))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -79,9 +84,45 @@ def op13_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit, op12_fim_sparse_index, op13_fm_substrings)}
+QUERIES = {f.__name__: f for f in (op1_qgram_bands, op2_simhash_pivots, op3_pii_votes, op4_line_runs, op5_brown_classes, op6_token_prefixes, op7_warc_salvage, op8_png_media, op9_pu_quality, op10_variable_best_fit, op11_era_collocations, op12_fim_sparse_index, op13_fm_substrings)}
 
 SQL = {
+    "op11_era_collocations": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), own AS (
+            SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM piece
+        ), total AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM own GROUP BY lang
+        ), place AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM own
+        ), size AS (
+            SELECT lang, w, p, unnest(range(1, least(4, len(w) - p + 1) + 1)) AS d FROM place
+        ), number AS MATERIALIZED (
+            SELECT lang, d AS words, array_to_string(w[p : p + d - 1], ' ') AS phrase, count(*) AS f FROM size GROUP BY ALL HAVING count(*) >= 30
+        ), candidate AS MATERIALIZED (
+            SELECT *, string_split(phrase, ' ') AS w FROM number WHERE words > 1
+        ), cut AS (
+            SELECT lang, phrase, w, f AS a, unnest(range(1, words)) AS k FROM candidate
+        ), half AS (
+            SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS one, array_to_string(w[k + 1 :], ' ') AS two FROM cut
+        ), scored AS (
+            SELECT h.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+            FROM half h JOIN number x ON x.lang = h.lang AND x.phrase = h.one JOIN number y ON y.lang = h.lang AND y.phrase = h.two
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), begin AS (
+            SELECT lang, w, words, f, unnest(range(1, words)) AS i FROM candidate
+        ), stop AS (
+            SELECT *, unnest(range(i + 1, words + 1)) AS j FROM begin
+        ), around AS (
+            SELECT lang, array_to_string(w[i : j], ' ') AS phrase, max(f) AS f FROM stop WHERE j - i + 1 < words GROUP BY ALL
+        ), ranked AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+            FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR 100 * o.f < 80 * b.a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
     "op13_fm_substrings": r"""
         WITH own AS (
             SELECT doc_id, row_number() OVER () AS doc_row, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w
