@@ -189,7 +189,7 @@ def subtree(part: bytes, counts: np.ndarray, least: int, depth: int, seed: int,
     first = np.concatenate([[0], last[:-1] + 1])
     size = last - first + 1
     node = np.unique(words.hash[first], return_inverse=True)[1]
-    keep = np.bincount(node, counts)[node] >= least
+    keep = (np.bincount(node, counts)[node] >= least) | _among(words.hash[first], split.get(1))
     for d in range(2, depth + 1):
         keep &= size >= d
         first, size, counts, node = (x[keep] for x in (first, size, counts, node))
@@ -220,7 +220,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, depth: int = 4, budget: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     budget = max(1, min(budget, every // (SHARE * parts)), every // MOST_PREFIXES)
     heavy = _arrays(vocabulary.filter(F.col("n") > budget).select("lang", "h").collect())
-    split = split_prefixes(docs, heavy, budget, depth, seed)
+    split = {1: heavy} | split_prefixes(docs, heavy, budget, depth, seed)
     groups = {r.lang: -(-r.total // budget) for r in totals.filter(F.col("total") > budget).collect()}
 
     def build(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
