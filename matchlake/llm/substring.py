@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +123,7 @@ class Merger:
 
     def __init__(self, parts: int, most: int = MERGE_BYTES, hold: int = HELD_BYTES):
         self.parts, self.most, self.hold = parts, most, hold
-        self.held: dict[bytes, list] = {}
+        self.held: dict[bytes, tuple | list] = {}
         self.size = 0
         self.known: list[list] = []
 
@@ -138,10 +138,12 @@ class Merger:
 
     def add(self, words: bytes, size: int, key: int, file: int, at: int, doc_id: int, start: int) -> None:
         old = self.held.get(words)
-        if old is None:  # least id, key, rows that hold it, sent, repeated
-            self.held[words] = [doc_id, key, [(file, at, [start])], False, False]
+        if old is None:
+            self.held[words] = (key, file, at, doc_id, 1, start)
             self.size += len(words)
             return
+        if type(old) is tuple:  # repeated: least id, key, rows that hold it, sent, repeated since
+            old = self.held[words] = [old[3], old[0], [(old[1], old[2], [old[5]])], False, True]
         old[4] = True
         if doc_id > old[0]:
             self.gone(file, at, [start], size)
@@ -157,17 +159,25 @@ class Merger:
 
     def send(self) -> Iterator[pa.RecordBatch]:
         """SENT rows of what hasn't been sent yet; repeated segments stay held as far as there is room."""
-        rows = [(old[1], file, at, old[0], len(starts), starts[0]) for old in self.held.values() if not old[3] for file, at, starts in old[2]]
-        more = [starts for old in self.held.values() if not old[3] for _, _, starts in old[2]]
-        words = [w for w, old in self.held.items() if not old[3] for _ in old[2]]
-        if rows:
-            number = np.array(rows, np.int64)
+        words = [w for w, old in self.held.items() if type(old) is tuple]
+        again = [(w, old) for w, old in self.held.items() if type(old) is list]
+        single = np.fromiter(chain.from_iterable(old for old in self.held.values() if type(old) is tuple), np.int64, 6 * len(words)).reshape(-1, 6)
+        more: list = [None] * len(words)  # the only start is in the row
+        rows = []
+        for w, old in again:
+            if not old[3]:
+                for file, at, starts in old[2]:
+                    rows.append((old[1], file, at, old[0], len(starts), starts[0]))
+                    more.append(starts)
+                    words.append(w)
+        if words:
+            number = np.concatenate([single, np.array(rows, np.int64).reshape(-1, 6)])
             bucket = number[:, 0] % self.parts
             by = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.diff(bucket[by], prepend=-1))
             packed, texts = [], []
             for pick in np.split(by, edge[1:]):
-                packed.append(_pack(number[pick], [more[i] for i in pick.tolist()]))
+                packed.append(_pack(number[pick], more, pick))
                 texts.append(zstandard.compress(b"\n".join([words[i] for i in pick.tolist()]), 3))
             none = pa.nulls(len(edge), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[by][edge]), none, none, none, none, pa.array(packed, pa.binary()), pa.array(texts, pa.binary())], names=SENT_NAMES)
@@ -177,16 +187,16 @@ class Merger:
             yield pa.RecordBatch.from_arrays([pa.array((columns[0] ^ columns[1]) % self.parts), *(pa.array(c) for c in columns), none, none], names=SENT_NAMES)
             self.known = []
         kept, room = {}, self.hold
-        for words, old in self.held.items():
+        for w, old in again:
             if old[4] and room > 0:
-                kept[words] = [*old[:3], True, False]
-                room -= len(words)
+                kept[w] = [*old[:3], True, False]
+                room -= len(w)
         self.held, self.size = kept, self.hold - room
 
 
-def _pack(rows: np.ndarray, starts: list[list[int]]) -> bytes:
+def _pack(rows: np.ndarray, starts: list[list[int]], pick: np.ndarray) -> bytes:
     """(key, file, at, doc_id, number of starts, first start) of each segment, and all starts: differences, compressed."""
-    every = [x for own in starts for x in own] if (rows[:, 4] > 1).any() else rows[:, 5]
+    every = [x for i, first in zip(pick.tolist(), rows[:, 5].tolist()) for x in starts[i] or (first,)] if (rows[:, 4] > 1).any() else rows[:, 5]
     moved = np.diff(rows[:, 1:5], axis=0, prepend=0)
     head = np.array([len(rows), len(every)], np.int64)
     return zstandard.compress(b"".join((head.tobytes(), moved.T.tobytes(), np.diff(np.asarray(every, np.int64), prepend=0).astype(np.int32).tobytes(), (rows[:, 0] >> 2).astype(np.uint32).tobytes())), 3)
