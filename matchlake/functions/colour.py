@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def hsv(blue: Column, green: Column, red: Column) -> Column:
-    """Hue in half degrees and saturation and value up to 255, rounded, of a colour in bytes."""
+    """Hue in half degrees and saturation and value up to 255, rounded half up, of a colour in bytes; whole numbers throughout."""
+    blue, green, red = (c.cast("long") for c in (blue, green, red))
     most, least = F.greatest(blue, green, red), F.least(blue, green, red)
-    span = (most - least).cast("double")
-    part = F.when(most == red, F.try_divide(green - blue, span)).when(most == green, 2 + F.try_divide(blue - red, span)).otherwise(4 + F.try_divide(red - green, span))
-    half = F.floor(F.when(span == 0, 0.0).otherwise((part + F.when(part < 0, 6).otherwise(0)) * 30) + F.lit(0.5)) % 180
-    return F.struct(half.cast("double").alias("h"), F.floor(F.coalesce(F.try_divide(span * 255, most), F.lit(0.0)) + F.lit(0.5)).cast("double").alias("s"), most.cast("double").alias("v"))
+    span = most - least
+    along = F.when(most == red, green - blue).when(most == green, blue - red).otherwise(red - green)
+    base = F.when((most == red) & (along >= 0), 0).when(most == red, 360).when(most == green, 120).otherwise(240)
+    whole = lambda above, below: F.when(below == 0, F.lit(0)).otherwise(F.floor((2 * above + below) / F.greatest(F.lit(1), 2 * below)))
+    half = whole(60 * along + base * span, 2 * span) % 180
+    return F.struct(half.cast("double").alias("h"), whole(255 * span, most).cast("double").alias("s"), most.cast("double").alias("v"))
 
 
 def mean_hsv(pixels: Column, width: Column, height: Column) -> Column:

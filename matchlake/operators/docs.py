@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake import scratch
+
 STATUSES = ("uploading", "processing", "completed", "error")
 #: Roles that a new user may have, and what a user document must hold.
 ROLES = ("player", "coach", "club-owner")
@@ -177,3 +181,56 @@ def notified(done: DataFrame, users: DataFrame) -> DataFrame:
     """Finished matches whose owner has a token to send to."""
     who = users.select(F.col("id").alias("owner_id"), "fcm_token")
     return done.join(who, F.col("user_id") == F.col("owner_id"), "left").filter("fcm_token IS NOT NULL")
+
+
+def merged(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """(key, doc) of old and new documents(key, doc VARIANT), the fields of new over those of old.
+
+    A field that new has counts even where it is null, and one that it doesn't have leaves the old one: a VARIANT
+    tells the two apart. Documents on one side only stay as they are; fields inside of fields are not merged.
+    """
+    n = new.select(F.col(key).alias("new_key"), F.expr("CAST(doc AS MAP<STRING, VARIANT>)").alias("fresh"))
+    o = old.select(key, F.expr("CAST(doc AS MAP<STRING, VARIANT>)").alias("had"))
+    none = F.expr("CAST(map() AS MAP<STRING, VARIANT>)")
+    had, fresh = F.coalesce("had", none), F.coalesce("fresh", none)
+    left = F.map_filter(had, lambda k, _: ~F.map_contains_key(fresh, k))
+    joined = o.join(n, F.col(key) == F.col("new_key"), "full_outer")
+    return joined.select(F.coalesce(key, "new_key").alias(key), F.to_variant_object(F.map_concat(left, fresh)).alias("doc"))
+
+
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `place`, counted from 1 over all of them in this order, and no task that sees them all.
+
+    Spark deals rows out by ranges of the order and sorts each range; a row's place is the number of rows in the ranges
+    before its own, which are as many numbers as there are partitions, and its place in its range. Ties are in any order.
+    """
+    spark = rows.sparkSession
+    path = scratch.folder(spark, "placed")
+    at = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(at, 33).alias("range_no"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("range_at"))
+    ranged.write.parquet(path)  # ranges are drawn from a sample: once written they don't change
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    sizes = sorted(tuple(r) for r in stored.groupBy("range_no").agg((F.max("range_at") + 1).alias("n")).collect())
+    before = list(accumulate((n for _, n in sizes), initial=0))
+    starts = spark.createDataFrame([(no, start) for (no, _), start in zip(sizes, before)], "range_no long, range_start long")
+    return stored.join(F.broadcast(starts), "range_no").withColumn("place", F.col("range_start") + F.col("range_at") + 1).drop("range_no", "range_at", "range_start")
+
+
+def cascade(matches: DataFrame, asked: DataFrame, files: DataFrame, audit: DataFrame, teams: DataFrame) -> dict[str, DataFrame]:
+    """What is left of matches, files, audit and teams once the matches asked(id, user_id) by their owners are gone.
+
+    matches(id, user_id, …), files(path, …) under videos/<owner>/<match>/, audit(match_id, …), teams(id, match_ids, …).
+    Requests by others, or for what isn't there, change nothing. All follows from one keyed table of what goes: files
+    are met by the owner and match of their path, audit rows by match, and team sets lose these matches only.
+    """
+    gone = matches.join(asked.select("id", "user_id").distinct(), ["id", "user_id"], "left_semi").select(F.col("id").alias("gone_id"), F.col("user_id").alias("gone_user"))
+    part = lambda i: F.get(F.split("path", "/"), F.lit(i))
+    of_file = F.col("path").startswith("videos/") & (F.size(F.split("path", "/")) > 3) & (part(1) == F.col("gone_user").cast("string")) & (part(2) == F.col("gone_id").cast("string"))
+    member = teams.select("id", F.explode("match_ids").alias("gone_id")).join(gone, "gone_id", "left_semi").groupBy("id").agg(F.collect_list("gone_id").alias("gone_ids"))
+    left = teams.join(member, "id", "left").withColumn("match_ids", F.array_except("match_ids", F.coalesce("gone_ids", F.array().cast(teams.schema["match_ids"].dataType)))).drop("gone_ids")
+    return {
+        "matches": matches.join(gone, F.col("id") == F.col("gone_id"), "left_anti"),
+        "files": files.join(gone, of_file, "left_anti"),
+        "audit": audit.join(gone, F.col("match_id") == F.col("gone_id"), "left_anti"),
+        "teams": left,
+    }

@@ -127,6 +127,11 @@ def momentum(events: DataFrame, durations: DataFrame, p: Profile) -> DataFrame:
     first = (F.ceil(F.col("ts_s") / 120) * 2).cast("long")
     both = F.when(F.col("ts_s") % 120 == 0, F.array(first, first + 2)).otherwise(F.array(first))
     counts = events.filter("type = 'possession_change'").select("match_id", "team_side", F.explode(both).alias("minute")).groupBy("match_id", "minute").agg(F.count_if(F.col("team_side") == "home").alias("n_home"), F.count(F.lit(1)).alias("n"))
+    return momentum_shares(counts, durations, p)
+
+
+def momentum_shares(counts: DataFrame, durations: DataFrame, p: Profile) -> DataFrame:
+    """(match_id, minute, home, away) of all minutes of a match from counts(match_id, minute, n_home, n) of those with changes."""
     grid = durations.select("match_id", F.explode(momentum_minutes(F.col("duration"), p)).alias("minute"))
     share = lambda n, empty: F.when(F.coalesce("n", F.lit(0)) > 0, jround(n / F.greatest(F.col("n"), F.lit(1)) * 100, 1)).otherwise(empty)
     return grid.join(counts, ["match_id", "minute"], "left").select("match_id", "minute", share(F.col("n_home"), 0.0).alias("home"), share(F.col("n") - F.col("n_home"), p.empty_momentum_away).alias("away"))

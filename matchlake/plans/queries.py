@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchlake import scratch
 from matchlake.functions import colour, formats, geometry, rng
 from matchlake.functions.geometry import jround
 from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, synthetic, teams
@@ -378,14 +379,14 @@ def matches_of_user(spark, sf_dir):
 
 def publish_stats(spark, sf_dir):
     """Statistics of matches written with their documents in one job, and read back."""
-    path = triggers.work_dir(spark, "published")
+    path = scratch.folder(spark, "published")
     docs.published(fx.matches(spark, sf_dir), stats.nested(match_summary(spark, sf_dir)), path)
     return spark.read.parquet(path).select("id", "status", "progress", F.col("stats.score.home").alias("home_goals"), F.col("stats.shots.away.xg").alias("away_xg"))
 
 
 def audit_append(spark, sf_dir):
     """Two batches of audit rows appended to one log, and read back."""
-    path = triggers.work_dir(spark, "audit")
+    path = scratch.folder(spark, "audit")
     for to in ("completed", "error"):
         docs.append(docs.transitions(_status_changes(spark, sf_dir), to).select("id", "at", F.lit(f"match_{to}").alias("action")), path)
     return spark.read.parquet(path)
@@ -486,7 +487,7 @@ def stream_steps(spark, sf_dir):
     """Steps and corners of ball frames that arrive in two parts, with the state before each kept by match."""
     frames = ev.detected(fr.with_state(owned(spark, sf_dir, ELEVEN), ELEVEN), ELEVEN).filter("ball IS NOT NULL")
     balls = frames.select("match_id", "frame_seq", "owner", "ball.x", "ball.y", "near")
-    path = triggers.work_dir(spark, "frames")
+    path = scratch.folder(spark, "frames")
     parts = (F.col("frame_seq") < 20, F.col("frame_seq") >= 20)
     for part in parts:
         balls.filter(part).coalesce(8).write.mode("append").parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,21 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchlake import scratch
 from matchlake.operators import docs
 
 UPLOADS = "path string, content_type string, size bigint"
 
 
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder where all executors can write; a temporary one only where none is named and all run on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="matchlake-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def accepted_uploads(files: DataFrame, matches: DataFrame) -> DataFrame:
     """Uploads(path, content_type, size), of a stream or a table, that pass the gate and whose match waits for one.
 
@@ -111,7 +100,7 @@ def frame_states(frames: DataFrame, gap: int) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """Run a stream over all that has arrived and read the rows that it gave."""
     spark = stream.sparkSession
-    out, marks = work_dir(spark, "stream-out"), work_dir(spark, "stream-marks")
+    out, marks = scratch.folder(spark, "stream-out"), scratch.folder(spark, "stream-marks")
     stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -122,7 +111,7 @@ def drained_updates(stream: DataFrame, key: str) -> DataFrame:
     Batches write what changed in them, each into a folder of its own; the newest batch of a key counts.
     """
     spark, columns = stream.sparkSession, stream.columns
-    out, marks = work_dir(spark, "stream-out"), work_dir(spark, "stream-marks")
+    out, marks = scratch.folder(spark, "stream-out"), scratch.folder(spark, "stream-marks")
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.option("basePath", out).parquet(out)

@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from matchlake.plans.oracle import SQL
-from matchlake.plans.queries import QUERIES
+from matchlake.plans import flows, oracle, queries
+
+QUERIES, SQL = queries.QUERIES | flows.QUERIES, oracle.SQL | flows.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

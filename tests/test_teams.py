@@ -2,6 +2,8 @@
 
 import colorsys
 import itertools
+import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -45,3 +47,19 @@ def test_mean_colour(spark):
     row = spark.createDataFrame([(image.ravel().tolist(),)], "p array<int>").select(colour.mean_hsv(F.col("p"), F.lit(4), F.lit(5)).alias("f"), colour.mean_hsv(F.col("p"), F.lit(4), F.lit(1)).alias("none")).first()
     want = np.mean([[h * 180, s * 255, v] for h, s, v in (colorsys.rgb_to_hsv(*map(float, px[::-1])) for px in image[:2].reshape(-1, 3))], axis=0)
     assert row.none is None and row.f == pytest.approx(want.tolist(), abs=0.5)
+
+
+def test_hues_round_by_whole_numbers(spark):
+    """Exact halves round up, whatever the floats on the way: 61.5 half degrees are 62."""
+    rng = np.random.default_rng(6)
+    pixels = [(46, 160, 40), (0, 0, 0), (7, 7, 7), (255, 0, 0), *map(tuple, rng.integers(0, 256, (3000, 3)).tolist())]
+    got = [tuple(r.c) for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pixels)], "i int, b int, g int, r int").select("i", colour.hsv(F.col("b"), F.col("g"), F.col("r")).alias("c")).orderBy("i").select("c").collect()]
+
+    def exact(b, g, r):
+        most, span = max(b, g, r), max(b, g, r) - min(b, g, r)
+        if not span:
+            return 0, 0, most
+        degrees = Fraction(60 * (g - b), span) % 360 if most == r else 120 + Fraction(60 * (b - r), span) if most == g else 240 + Fraction(60 * (r - g), span)
+        return math.floor(degrees / 2 + Fraction(1, 2)) % 180, math.floor(Fraction(255 * span, most) + Fraction(1, 2)), most
+
+    assert got == [exact(*p) for p in pixels] and got[0][0] == 62
