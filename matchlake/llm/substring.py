@@ -35,8 +35,8 @@ from matchlake.llm.shingles import xxh64_spans
 WINDOW, GRAM = 13, 3
 #: Bits of a key that tell the place of a triple among the words of a batch.
 PLACE = 30
-#: Bytes of segments in a shard, unless a single key has more; a shard's arrays take some 25 times as much.
-SHARD_BYTES = 6 << 20
+#: Bytes of segments in a shard, unless a single key has more; a shard's arrays take some 40 times as much.
+SHARD_BYTES = 3 << 20
 #: Bytes of segments that a task holds to merge repeats, and of those among them that it goes on holding.
 MERGE_BYTES, HELD_BYTES = 8 << 20, 4 << 20
 #: Documents in the sample for frequent triples, and the share of segments from which a triple is frequent.
@@ -251,16 +251,15 @@ class FMIndex:
     """Backward search over words numbered from 1, 0 between segments; patterns of up to depth words."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.text = text.astype(np.int64)
-        self.suffixes = _suffixes(self.text, depth)
-        number = int(self.text.max(initial=0)) + 1
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=number))])
-        rest = self.text[self.suffixes - 1]
+        self.suffixes = _suffixes(text, depth)
+        number = int(text.max(initial=0)) + 1
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=number))])
+        rest = text[self.suffixes - 1]
         self.levels = []
         for level in reversed(range(max(1, (number - 1).bit_length()))):
-            bits = (rest >> level) & 1
-            self.levels.append((level, BitVector(bits.astype(bool)), int(len(bits) - bits.sum())))
-            rest = np.concatenate([rest[bits == 0], rest[bits == 1]])
+            bits = ((rest >> level) & 1).astype(bool)
+            self.levels.append((level, BitVector(bits), int(len(bits) - np.count_nonzero(bits))))
+            rest = np.concatenate([rest[~bits], rest[bits]])
         self.zero = self._walk(np.arange(number), np.zeros(number, np.int64))
 
     def _walk(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -279,11 +278,11 @@ class FMIndex:
 def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of text in the order of the next depth symbols; doubling, in which only ties are sorted again."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
-    tied, known = np.arange(n), 1
+    order = np.argsort(text, kind="stable").astype(np.int32)
+    rank = np.empty(n, np.int32)
+    tied, known = np.arange(n, dtype=np.int32), 1
     new = np.concatenate([[True], np.diff(text[order]) != 0])
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(new, tied, 0))
     while known < depth:
         own = order[tied]
         group = rank[own]
@@ -294,7 +293,7 @@ def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
             break
         step = min(known, depth - known)
         after = own + step
-        key = group * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = group.astype(np.int64) * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         by = np.argsort(key, kind="stable")
         own, key = own[by], key[by]
         order[tied] = own
@@ -310,8 +309,9 @@ def repeats(words: list[bytes], doc_id: np.ndarray, window: int = WINDOW) -> tup
     split = [x.split(b" ") for x in words]
     size = np.array([len(x) for x in split], np.int64)
     base = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int(size.sum() + len(size)), np.int64)
-    text[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = np.fromiter((numbers[w] for x in split for w in x), np.int64, int(size.sum()))
+    text = np.zeros(int(size.sum() + len(size)), np.int32)
+    text[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = np.fromiter((numbers[w] for x in split for w in x), np.int32, int(size.sum()))
+    del split, numbers
     index = FMIndex(text, window)
     own, at = np.arange(len(size)), np.zeros(len(size), np.int64)
     read = np.ones(len(size), np.int64)
