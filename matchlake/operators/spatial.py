@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.functions.cells import areas
 from matchlake.functions.geometry import distance, inside, jround, to_pitch
 from matchlake.plans.profiles import Profile
 
 #: Cells of the histogram, and points of the density grid, across and down.
 CELLS, POINTS = (21, 13), (21, 12)
 BANDWIDTH = 0.3
+#: Points whose kernels are worked out at a time, and tracks whose sums a task holds.
+BLOCK, HELD = 2048, 4096
 
 
 def positions(frames: DataFrame) -> DataFrame:
@@ -31,76 +36,83 @@ def heat_histogram(points: DataFrame, p: Profile) -> DataFrame:
 
 
 def player_points(detections: DataFrame, p: Profile, frame_w: float, frame_h: float) -> DataFrame:
-    """(match_id, track_id, x, y) of player detections in pitch coordinates, straight from the scan."""
+    """(match_id, frame_seq, det_ord, track_id, team, x, y) of player detections in pitch coordinates, straight from the scan."""
     sure = F.lit(True) if p.player_confidence is None else F.col("confidence") > p.player_confidence
-    return detections.filter(F.col("class_id").isin(1, 2) & sure).select("match_id", "track_id", to_pitch(F.col("x"), frame_w, p.width).alias("x"), to_pitch(F.col("y"), frame_h, p.height).alias("y"))
+    return detections.filter(F.col("class_id").isin(1, 2) & sure).select("match_id", "frame_seq", "det_ord", "track_id", F.col("team_side").alias("team"), to_pitch(F.col("x"), frame_w, p.width).alias("x"), to_pitch(F.col("y"), frame_h, p.height).alias("y"))
 
 
 def heat_density(points: DataFrame, p: Profile, least: int = 5) -> DataFrame:
     """Gaussian kernel density of each track on the grid, as a share of its largest value, where that is over a tenth.
 
     Tracks of under `least` points, or whose points lie on a line, have none. The kernel has the points' covariance
-    times the squared bandwidth, written out. Each point meets the 252 literals of the grid in its own row and the
-    kernels are summed in part before they are shuffled, so that neither a track nor a match has to fit into a task.
+    times the squared bandwidth, written out. Tasks add up the kernels of a track as one array of all grid values,
+    which are then added by their elements: what is shuffled follows the tracks, not the points or the grid.
     """
-    spread = points.groupBy("match_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy"))
+    place = ["match_id", "track_id"]
+    spread = points.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy"))
     b = BANDWIDTH * BANDWIDTH
     det = F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")
     spread = spread.filter(F.col("n") >= max(3, least)).withColumn("det", det).filter("det > 1e-9 * greatest(vx * vy, 1e-12)").drop("n")
     nx, ny = POINTS
-    gx, gy = (lambda g: (g % nx) * F.lit(p.width) / (nx - 1)), (lambda g: F.floor(g / nx) * F.lit(p.height) / (ny - 1))
-    each = points.join(spread, ["match_id", "track_id"]).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))))
-    dx, dy = gx(F.col("g")) - F.col("x"), gy(F.col("g")) - F.col("y")
-    q = (F.col("vy") * dx * dx - 2 * F.col("cxy") * dx * dy + F.col("vx") * dy * dy) / (F.col("det") * F.lit(b))
-    dense = each.groupBy("match_id", "track_id", "g").agg(F.sum(F.exp(-q / 2)).alias("density"))
-    share = dense.withColumn("share", F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy("match_id", "track_id"))))
-    return share.filter("share > 0.1").select("match_id", "track_id", jround(gx(F.col("g")), 3).alias("x"), jround(gy(F.col("g")), 3).alias("y"), jround(F.col("share"), 3).alias("intensity"))
+    grid_x, grid_y = (np.arange(nx * ny) % nx) * p.width / (nx - 1), (np.arange(nx * ny) // nx) * p.height / (ny - 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def taken() -> pa.RecordBatch:
+            keys, values = list(held), np.concatenate(list(held.values()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, nx * ny), pa.int32()), pa.array(values))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + [lists], names=[*place, "v"])
+
+        for batch in batches:
+            match, track, *numbers = (c.to_numpy() for c in batch.columns)
+            for low in range(0, len(match), BLOCK):
+                by = np.lexsort((track[low : low + BLOCK], match[low : low + BLOCK])) + low
+                x, y, vx, vy, cxy, d = (v[by][:, None] for v in numbers)
+                dx, dy = grid_x - x, grid_y - y
+                kernels = np.exp(-((vy * dx * dx - 2 * cxy * dx * dy + vx * dy * dy) / (d * b)) / 2)
+                m, t = match[by], track[by]
+                first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (t[1:] != t[:-1])]))
+                for key, total in zip(zip(m[first].tolist(), t[first].tolist()), np.add.reduceat(kernels, first, axis=0)):
+                    held[key] = held[key] + total if key in held else total
+                if len(held) > HELD:
+                    yield taken()
+        if held:
+            yield taken()
+
+    parts = points.join(spread, place).select(*place, "x", "y", "vx", "vy", "cxy", "det").mapInArrow(work, "match_id long, track_id long, v array<double>")
+    zero = F.array_repeat(F.lit(0.0), nx * ny)
+    dense = parts.groupBy(*place).agg(F.collect_list("v").alias("vs")).select(*place, F.aggregate("vs", zero, lambda total, v: F.zip_with(total, v, lambda c, w: c + w)).alias("v"))
+    shares = dense.withColumn("most", F.array_max("v")).select(*place, F.posexplode(F.transform("v", lambda x: F.try_divide(x, F.col("most")))).alias("g", "share"))
+    gx, gy = (F.col("g") % nx) * F.lit(p.width) / (nx - 1), F.floor(F.col("g") / nx) * F.lit(p.height) / (ny - 1)
+    return shares.filter("share > 0.1").select(*place, jround(gx, 3).alias("x"), jround(gy, 3).alias("y"), jround(F.col("share"), 3).alias("intensity"))
 
 
 def voronoi(frames: DataFrame, p: Profile) -> DataFrame:
     """(match_id, frame_seq, track_id, team, area): areas of the cells of players on the pitch, of frames with 4 or more.
 
-    Triples of sites whose circle is empty give the cells' corners; around a site they are ordered by angle and the
-    area is that of the polygon. A site that the others don't surround has an unbounded cell, and area 0. Areas are
-    no larger than the pitch. Triples are made from their frame's row, and all later steps find a match in place.
+    A frame's cells follow from its own row, so nothing is shuffled: the cells of an Arrow batch are cut out by the
+    half-planes of their other sites together, n * n cuts a frame. A site that the others don't surround has an
+    unbounded cell, and area 0. Areas are no larger than the pitch.
     """
     sites = frames.withColumn("own", F.filter("players", lambda s: inside(s["x"], s["y"], p))).filter("size(players) >= 4 AND size(own) >= 4")
-    sites = sites.select("match_id", "frame_seq", "own")
-    n = F.size("own")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.transform(F.sequence(i + 1, n - 2), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    two = sites.withColumn("ij", F.explode(pairs))
-    three = two.select("match_id", "frame_seq", "own", F.col("own")[F.col("ij.i")].alias("a"), F.col("own")[F.col("ij.j")].alias("b"), F.explode(F.slice("own", F.col("ij.j") + 2, n - F.col("ij.j") - 1)).alias("c"))
-    c = {v: (F.col(f"{v}.x"), F.col(f"{v}.y")) for v in "abc"}
-    (ax, ay), (bx, by), (cx, cy) = c["a"], c["b"], c["c"]
-    under = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-    sq = lambda x, y: x * x + y * y
-    three = three.withColumn("under", under).filter("abs(under) > 1e-6")
-    ux = (sq(ax, ay) * (by - cy) + sq(bx, by) * (cy - ay) + sq(cx, cy) * (ay - by)) / F.col("under")
-    uy = (sq(ax, ay) * (cx - bx) + sq(bx, by) * (ax - cx) + sq(cx, cy) * (bx - ax)) / F.col("under")
-    r2 = lambda u, v: sq(ax - u, ay - v)
-    # exploding an array of one holds the circle in its row; otherwise it would be worked out again for each site
-    place = ("match_id", "frame_seq", "a", "b", "c")
-    circle = three.select(*place, "own", F.explode(F.array(F.struct(ux.alias("ux"), uy.alias("uy")))).alias("u")).select(*place, F.col("u.ux").alias("ux"), F.col("u.uy").alias("uy"), F.explode("own").alias("o"))
-    inner = sq(F.col("o.x") - F.col("ux"), F.col("o.y") - F.col("uy")) < r2(F.col("ux"), F.col("uy")) * (1 - 1e-9) - 1e-9
-    empty = circle.groupBy(*place, "ux", "uy").agg(F.max(inner).alias("met")).filter("NOT met")
-    corner = empty.select("match_id", "frame_seq", "ux", "uy", F.explode(F.array("a", "b", "c")).alias("s"))
-    around = corner.select("match_id", "frame_seq", "s.det_ord", (F.floor(F.col("ux") * 1e6 + 0.5) / 1e6).alias("ux"), (F.floor(F.col("uy") * 1e6 + 0.5) / 1e6).alias("uy"), F.col("s.x").alias("sx"), F.col("s.y").alias("sy")).distinct()
-    site = Window.partitionBy("match_id", "frame_seq", "det_ord")
-    turn = around.withColumn("angle", F.atan2(F.col("uy") - F.col("sy"), F.col("ux") - F.col("sx")))
-    order = site.orderBy("angle", "ux", "uy")
-    nxt = lambda name: F.coalesce(F.lead(name).over(order), F.first(name).over(order))
-    turn = turn.withColumn("nx", nxt("ux")).withColumn("ny", nxt("uy"))
-    cells = turn.groupBy("match_id", "frame_seq", "det_ord").agg(F.sum(F.col("ux") * F.col("ny") - F.col("nx") * F.col("uy")).alias("twice"))
-    # a cell is bounded if the other sites surround its site: no two of their directions in turn are half a turn apart
-    aim = sites.select("match_id", "frame_seq", "own", F.explode("own").alias("s")).select("match_id", "frame_seq", "s", F.explode("own").alias("o")).filter("o.x <> s.x OR o.y <> s.y")
-    aim = aim.select("match_id", "frame_seq", "s.det_ord", F.atan2(F.col("o.y") - F.col("s.y"), F.col("o.x") - F.col("s.x")).alias("angle"))
-    by = site.orderBy("angle")
-    gap = F.coalesce(F.lead("angle").over(by), F.first("angle").over(by) + F.lit(2 * math.pi)) - F.col("angle")
-    gaps = aim.withColumn("gap", gap).groupBy("match_id", "frame_seq", "det_ord").agg(F.max("gap").alias("gap"))
-    every = sites.select("match_id", "frame_seq", F.explode("own").alias("s")).select("match_id", "frame_seq", "s.det_ord", "s.track_id", "s.team")
-    area = F.when(F.col("gap") < math.pi - 1e-7, F.least(F.abs("twice") / 2, F.lit(p.width * p.height))).otherwise(0.0)
-    place = ["match_id", "frame_seq", "det_ord"]
-    return every.join(cells, place, "left").join(gaps, place, "left").select("match_id", "frame_seq", "track_id", "team", jround(F.coalesce(area, F.lit(0.0)), 2).alias("area"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("own")
+            many, flat = own.value_lengths().to_numpy(), own.flatten()
+            begin = np.cumsum(many) - many
+            at = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+            area = np.zeros(len(at))
+            for n in np.unique(many).tolist():
+                rows = begin[many == n][:, None] + np.arange(n)
+                area[rows] = areas(at[rows], p.width * p.height)
+            frame = np.repeat(np.arange(len(many)), many)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(frame)) for c in ("match_id", "frame_seq")), flat.field("track_id"), flat.field("team"), pa.array(area)], names=["match_id", "frame_seq", "track_id", "team", "area"])
+
+    found = sites.select("match_id", "frame_seq", "own").mapInArrow(work, "match_id long, frame_seq long, track_id long, team string, area double")
+    return found.withColumn("area", jround(F.col("area"), 2))
 
 
 def keyframes(frames: DataFrame, p: Profile, every: int = 5) -> DataFrame:
@@ -114,7 +126,7 @@ def nodes(points: DataFrame, p: Profile) -> DataFrame:
     """(match_id, node_seq, player_id, team, involvement, x, y): players seen 3 times or more, in the order first seen."""
     key = F.col("track_id").cast("string") if p.owner_rule == "first" else F.concat("team", F.lit("_"), (F.col("i") % 11).cast("string"))
     seen = points.withColumn("player_id", key).groupBy("match_id", "player_id", "team").agg(
-        F.min(F.struct("frame_seq", "i")).alias("first"), F.count(F.lit(1)).alias("involvement"), jround(jround(F.avg("x"), 6), 2).alias("x"), jround(jround(F.avg("y"), 6), 2).alias("y")
+        F.min(F.struct("frame_seq", "det_ord")).alias("first"), F.count(F.lit(1)).alias("involvement"), jround(jround(F.avg("x"), 6), 2).alias("x"), jround(jround(F.avg("y"), 6), 2).alias("y")
     ).filter("involvement >= 3")
     seq = F.row_number().over(Window.partitionBy("match_id").orderBy("first")).cast("long")
     out = seen.withColumn("node_seq", seq).drop("first")

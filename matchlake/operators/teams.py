@@ -56,5 +56,5 @@ def jersey_clusters(crops: DataFrame) -> DataFrame:
 
 
 def side_of(players: DataFrame, labels: DataFrame) -> DataFrame:
-    """Players with the label of their track; tracks without one are home."""
-    return players.join(labels, "track_id", "left").withColumn("team_side", F.coalesce("label", F.lit("home"))).drop("label")
+    """Players with the label of their match's track; tracks without one are home. Spark broadcasts labels if they are small."""
+    return players.join(labels, ["match_id", "track_id"], "left").withColumn("team_side", F.coalesce("label", F.lit("home"))).drop("label")

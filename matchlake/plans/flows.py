@@ -10,7 +10,7 @@ from matchlake.functions.geometry import jround
 from matchlake.operators import docs, events as ev, frames as fr, stats, tracking
 from matchlake.plans import oracle as sql, queries as q
 from matchlake.plans.profiles import ELEVEN
-from matchlake.sources import fixtures as fx
+from matchlake.sources import bodies, fixtures as fx
 from matchlake.streaming import stateful
 
 #: Parts in which frames arrive: every seventh frame is a part late.
@@ -152,7 +152,29 @@ def match_cascade(spark, sf_dir):
     return rows("matches", F.col("id")).unionByName(rows("files", F.col("path"))).unionByName(rows("audit", F.col("entry"))).unionByName(members)
 
 
-QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade)}
+def source_bodies(spark, sf_dir):
+    """Detections written as bodies in a folder for each match, and read back by the data source."""
+    bodies.register(spark)
+    path = scratch.folder(spark, "bodies")
+    p = F.struct("x", "y", "width", "height", "class_id", "confidence")
+    frames = fx.detections(spark, sf_dir).groupBy("match_id", "frame_seq").agg(F.array_sort(F.collect_list(F.struct("det_ord", p.alias("p")))).alias("ps"))
+    lines = frames.select("match_id", F.to_json(F.struct("frame_seq", F.transform("ps", lambda x: x["p"]).alias("predictions"))).alias("value"))
+    lines.repartition("match_id").write.partitionBy("match_id").text(path)
+    found = spark.read.format("prediction_bodies").load(path)
+    return found.select("match_id", "frame_seq", "det_ord", "class_id", jround(F.col("x"), 3).alias("x"), jround(F.col("y"), 3).alias("y"), jround(F.col("confidence"), 3).alias("confidence"))
+
+
+def source_audit(spark, sf_dir):
+    """Audit rows of two batches, one of them written twice, appended by the data source and read back."""
+    bodies.register(spark)
+    path = scratch.folder(spark, "audit-log")
+    for to in ("completed", "error", "completed"):
+        rows = docs.transitions(q._status_changes(spark, sf_dir), to).select("id", "at", F.lit(f"match_{to}").alias("action"))
+        rows.write.format("audit_log").option("batch", to).mode("append").save(path)
+    return spark.read.format("audit_log").load(path)
+
+
+QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade, source_bodies, source_audit)}
 
 _LANES = """lane AS (
     SELECT match_id, frame_seq, k, (20 + (e * 7 + k * 11) % 70) / 100.0::DOUBLE >= 0.5::DOUBLE AS sure FROM fr, range(10) t(k) WHERE (e * 31 + k * 17) % 11 <> 0
@@ -202,4 +224,6 @@ SQL = {
         UNION ALL SELECT 'audit', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM gone)
         UNION ALL SELECT 'teams', CAST(user_id % 100 AS VARCHAR) || '-' || CAST(id AS VARCHAR) FROM m WHERE id NOT IN (SELECT id FROM gone)""",
 }
+SQL["source_audit"] = sql.SQL["audit_append"]
+SQL["source_bodies"] = f"""WITH {sql.FRAMES} SELECT match_id, frame_seq, row_number() OVER (PARTITION BY match_id, frame_seq ORDER BY det_ord) - 1 AS det_ord, class_id, {sql.jr("x", 3)} AS x, {sql.jr("y", 3)} AS y, {sql.jr("confidence", 3)} AS confidence FROM det"""
 SQL["stream_tracked"] = SQL["tracked_lanes"]

@@ -113,7 +113,7 @@ def momentum(spark, sf_dir, p):
 
 
 def heatmap_hist(spark, sf_dir):
-    found = spatial.heat_histogram(spatial.positions(fr.frame_table(fx.detections(spark, sf_dir), ELEVEN, fx.FRAME_W, fx.FRAME_H)), ELEVEN)
+    found = spatial.heat_histogram(spatial.player_points(fx.detections(spark, sf_dir), ELEVEN, fx.FRAME_W, fx.FRAME_H), ELEVEN)
     return found.withColumn("x", jround(F.col("x"), 3)).withColumn("y", jround(F.col("y"), 3))
 
 
@@ -134,7 +134,10 @@ def voronoi_zones(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir, p):
-    return spatial.nodes(spatial.positions(fr.frame_table(fx.detections(spark, sf_dir), p, fx.FRAME_W, fx.FRAME_H)), p)
+    seen = fx.detections(spark, sf_dir)
+    if p.owner_rule == "first":  # players go by their tracks: partial sums from the scan, no frames
+        return spatial.nodes(spatial.player_points(seen, p, fx.FRAME_W, fx.FRAME_H), p)
+    return spatial.nodes(spatial.positions(fr.frame_table(seen, p, fx.FRAME_W, fx.FRAME_H)), p)
 
 
 def pass_nodes(spark, sf_dir, p):
@@ -579,7 +582,7 @@ def file_order(spark, sf_dir):
 def track_sides(spark, sf_dir):
     """Players with the side that their track was given; tracks without one are home."""
     players = fx.detections(spark, sf_dir).filter(F.col("class_id").isin(*fr.PLAYERS)).select("match_id", "track_id")
-    labels = players.filter("track_id % 3 <> 0").select("track_id").distinct().withColumn("label", F.when(F.col("track_id") % 2 == 0, "home").otherwise("away"))
+    labels = players.filter("track_id % 3 <> 0").select("match_id", "track_id").distinct().withColumn("label", F.when(F.col("track_id") % 2 == 0, "home").otherwise("away"))
     return teams.side_of(players, labels).groupBy("match_id", "team_side").agg(F.count(F.lit(1)).alias("n"))
 
 
