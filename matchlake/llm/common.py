@@ -124,15 +124,15 @@ def fold(column):
 HOT_SHARE = 0.001
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left joined with right on key, where right has one row a key and left may have very many of one key.
-
-    Keys that hold over HOT_SHARE of the rows of left, of which there cannot be more than 1 / HOT_SHARE, go to the
-    workers with their row of right; the other rows are shuffled by key.
-    """
+def hot_keys(left: DataFrame, key: str) -> list:
+    """The keys of over HOT_SHARE of the rows; none of a table of fewer than 1 / HOT_SHARE rows."""
     number = left.groupBy(key).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col(key).isNotNull())
     total = number.agg(F.coalesce(F.sum("hot_n"), F.lit(0)).alias("n")).first()["n"]
-    hot = [r[0] for r in number.filter(F.col("hot_n") > max(1, int(total * HOT_SHARE))).select(key).collect()] if total >= 1 / HOT_SHARE else []
+    return [r[0] for r in number.filter(F.col("hot_n") > max(1, int(total * HOT_SHARE))).select(key).collect()] if total >= 1 / HOT_SHARE else []
+
+
+def join_apart(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """left joined with right on key; rows of the hot keys go to the workers with their row of right, the others are shuffled by key."""
     if not hot:
         return left.join(right, key, how)
     apart = left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema)
@@ -141,6 +141,15 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return left.join(F.broadcast(apart), key, "left_semi").join(F.broadcast(few), key, how).unionByName(rest)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right on key, where right has one row a key and left may have very many of one key.
+
+    Keys that hold over HOT_SHARE of the rows of left, of which there cannot be more than 1 / HOT_SHARE, go to the
+    workers with their row of right; the other rows are shuffled by key.
+    """
+    return join_apart(left, right, key, hot_keys(left, key), how)
+
+
 def fold_of_doc(column, buckets: int):
     """crc32 of the id as text, modulo buckets."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)

@@ -60,8 +60,11 @@ def gram_codes(points: np.ndarray, q: int) -> np.ndarray:
 
 
 def budget(n: int, rate: float) -> int:
-    """Edits allowed in an item of n characters, lowered to what leaves at least one q-gram untouched (at rates over 1 in 12)."""
-    return max(0, min(int(n * rate), (n - gram_length(n)) // gram_length(n)))
+    """Edits allowed in an item of n characters; an error if so many could leave none of its q-grams untouched."""
+    most, q = int(n * rate), gram_length(n)
+    if most > max(0, (n - q) // q):
+        raise ValueError(f"{most} edits in {n} characters may touch all grams of {q}: the rate must be lower")
+    return most
 
 
 def gram_length(n: int) -> int:

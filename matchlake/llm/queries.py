@@ -58,7 +58,7 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(to_media(table(spark, sf_dir, "documents"))).drop("error")
+    return read_media(to_media(table(spark, sf_dir, "documents")))
 
 
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ threshold, the triangle inequality rules the pair out. Survivors are verified by
 
 Pivot distances alone are no key to shuffle by (they crowd around half the width), so candidates come from buckets
 that cannot miss a link; the pivots prune inside the buckets. Copies share a fingerprint and are one node, large
-buckets are split into blocks that meet pairwise, and each block returns a spanning forest, never all its pairs.
+buckets are dealt out anew by further bits; what is still large is split into blocks that meet pairwise, and each block
+returns a spanning forest, never all its pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WIDTH = 64
 PIVOTS = 16
 #: A bucket of more members is split into blocks of about this many.
 BLOCK = 256
+#: Buckets of more fingerprints are dealt out anew by further blocks of bits.
+LARGE = 1 << 14
 
 
 def pivots(n_words: int) -> np.ndarray:
@@ -128,6 +131,40 @@ def links_in_buckets(keyed: DataFrame, most: int, n_words: int) -> DataFrame:
     return meets.select("members").mapInArrow(work, "u long, v long").distinct()
 
 
+def split_large(keyed: DataFrame, sets: list[tuple[tuple[int, int], ...]], most: int) -> DataFrame:
+    """keyed(bucket, number, node, fp) with the buckets of over LARGE members dealt into smaller ones; no link is missed.
+
+    Members of a bucket agree in the bits of its number in sets. The ranges of the other bits, of which there are
+    `most`, are halved, and at least `most` of these halves agree for every link, so some choice of that many does. A
+    member goes to a bucket for each choice, however many members there are.
+    """
+    large = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("bucket"))
+    if large.isEmpty():
+        return keyed.drop("number")
+    ends = sorted({r for s in sets for r in s})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, number, node = (batch.column(i).to_numpy() for i in range(3))
+            out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for i in np.unique(number).tolist():
+                own = number == i
+                free = [r for r in ends if r not in sets[i]]
+                halves = [half for at, width in free for half in ((at, width // 2), (at + width // 2, width - width // 2))]
+                fp = node[own].view(np.uint64)
+                bits = [(fp >> np.uint64(at)) & np.uint64((1 << width) - 1) for at, width in halves]
+                for k, choice in enumerate(combinations(range(len(halves)), len(halves) - most)):
+                    key = _mixed(bucket[own].view(np.uint64), k + 1)
+                    for c in choice:
+                        key = _mixed(key ^ bits[c], c + 1)
+                    out.append((key, node[own]))
+            key, member = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(member)], names=["bucket", "node"])
+
+    again = keyed.join(large, "bucket", "left_semi").select("bucket", "number", "node").mapInArrow(work, "bucket long, node long").withColumn("fp", F.array("node"))
+    return keyed.join(large, "bucket", "left_anti").drop("number").unionByName(again)
+
+
 def block_keys(n_rows: int, most: int) -> list[tuple[tuple[int, int], ...]]:
     """Bit ranges whose joint values are the bucket keys.
 
@@ -154,8 +191,8 @@ def classes(fps: DataFrame, most: int = 4) -> DataFrame:
             out = F.shiftleft(out, width).bitwiseOR(part(shift, width))
         return out
 
-    keyed = groups.select(F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("bucket"), F.col("fp").alias("node"), F.array("fp").alias("fp"))
-    roots = components(links_in_buckets(keyed, most, 1))
+    keyed = groups.select(F.posexplode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("number", "bucket"), F.col("fp").alias("node"), F.array("fp").alias("fp"))
+    roots = components(links_in_buckets(split_large(keyed, sets, most), most, 1))
     placed = cut(groups.join(roots, groups.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     return join_hot(placed, least, "root").select("fp", "component_id")

@@ -4,13 +4,14 @@ The text is split as the vocabulary's pre-tokenizer does. Inside a piece, last[i
 the piece's first i bytes and count[i] its number of tokens: last[i] is the one token t that ends there and may follow
 last[i - len(t)], and count[i] = count[i - len(t)] + 1. The counts at all prefixes are then known without encoding any
 of them. A text's table holds, for each code point, by how much the count of the prefix that ends with it differs from
-that of the prefix before, in one signed byte: sums over it give the exact token count of every prefix, and so answer
+that of the prefix before, in one signed byte (nine where one doesn't hold it): sums over it give the exact token count of every prefix, and so answer
 any truncation or budget.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,9 +134,7 @@ class Pieces(dict):
         if piece in SHORT:  # cut short it is a sign and a letter
             counts[1:-1] = range(1, len(piece))
         steps = [b - a for a, b in zip(counts, counts[1:])]
-        if max(steps) > 127 or min(steps) < -128:
-            raise ValueError("the count changes by more than a byte holds from one prefix to the next")
-        return bytes([x & 255 for x in steps])
+        return bytes([x & 255 for x in steps]) if max(steps) < 128 > -min(steps) else packed(steps)
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of ordinary text, and the special strings between them (True)."""
@@ -151,7 +150,7 @@ class Pieces(dict):
 
     def total(self, text: str) -> int:
         """Token count of a text that ends there, by its pieces; no special strings."""
-        return int(sum(np.frombuffer(self[p], np.int8).sum(dtype=np.int64) for p in self.split.findall(text)))
+        return int(sum(unpacked(self[p]).sum() for p in self.split.findall(text)))
 
     def steps(self, text: str) -> bytes:
         """The table of a text: sums over its first i bytes give the token count of the text's first i code points."""
@@ -173,25 +172,40 @@ class Pieces(dict):
 
     def with_spaces(self, part: str, own: bytes) -> bytes:
         """Steps where a prefix may end with several blanks: there they stay together, of which the last joins the next word in the whole text."""
-        steps = np.frombuffer(own, np.int8).astype(np.int64)
+        steps = unpacked(own)
         for m in self.space.finditer(part):
             a, b = m.span()
-            more = int(np.frombuffer(self[part[a:b]], np.int8).sum(dtype=np.int64) - steps[a:b].sum())
+            more = int(unpacked(self[part[a:b]]).sum() - steps[a:b].sum())
             steps[b - 1] += more
             steps[b] -= more
         return packed(steps)
 
 
+#: A step that a byte doesn't hold: this byte, and the step in eight more.
+WIDE = b"\x80"
+
+
 def packed(steps: np.ndarray) -> bytes:
-    small = np.asarray(steps).astype(np.int8)
-    if not np.array_equal(small, steps):
-        raise ValueError("the count changes by more than a byte holds from one prefix to the next")
-    return small.tobytes()
+    """A byte for each step, nine for one beyond 127 either way."""
+    steps = np.asarray(steps, np.int64)
+    out, at = [], 0
+    for i in np.flatnonzero(np.abs(steps) > 127).tolist():
+        out += [steps[at:i].astype(np.int8).tobytes(), WIDE, struct.pack("<q", steps[i])]
+        at = i + 1
+    return b"".join([*out, steps[at:].astype(np.int8).tobytes()])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out, at = [], 0
+    while (wide := data.find(WIDE, at)) >= 0:
+        out += [np.frombuffer(data[at:wide], np.int8).astype(np.int64), np.frombuffer(data, "<i8", 1, wide + 1)]
+        at = wide + 9
+    return np.concatenate([*out, np.frombuffer(data[at:], np.int8).astype(np.int64)])
 
 
 def counts_of(steps: bytes) -> np.ndarray:
     """Token counts of all prefixes, from the empty one to the whole text."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(unpacked(steps))])
 
 
 def longest_within(steps: bytes, limit: int) -> int:
@@ -223,7 +237,7 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             steps = [known.steps(t) for t in texts]
-            n = [int(np.frombuffer(x, np.int8).sum(dtype=np.int64)) for x in steps]
+            n = [int(unpacked(x).sum()) for x in steps]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(steps, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "steps"])
 
@@ -236,7 +250,7 @@ def within_limit(table: DataFrame, limit: int = 1024) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [longest_within(steps, limit) if n > limit else len(steps) for n, steps in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            cut = [longest_within(steps, limit) if n > limit else len(unpacked(steps)) for n, steps in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "cut_chars"])
 
     found = table.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, cut_chars long")

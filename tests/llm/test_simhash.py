@@ -163,3 +163,39 @@ def test_similar_at_the_threshold():
 def test_empty(spark, empty):
     assert simhash.simhash_classes(empty).collect() == []
     assert simhash.near_duplicate_groups(empty).collect() == []
+
+
+def test_large_buckets_are_dealt_out_by_further_bits(spark, monkeypatch):
+    """Fingerprints that agree in all but 28 bits: the same classes as by brute force, with rows in proportion."""
+    from matchlake.llm import simhash as sh
+
+    rng = np.random.default_rng(12)
+    values = np.unique(rng.integers(0, 1 << 28, 3000)) << 20
+    values = np.unique(np.concatenate([values, values[:300] ^ (1 << 21), values[:100] ^ (0b111 << 40)]))
+    rows = [(i, int(v)) for i, v in enumerate(values)]
+    monkeypatch.setattr(sh, "LARGE", 200)
+    fps = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in sh.classes(fps).collect()}
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 4
+    label = np.arange(len(values))
+    while True:
+        new = np.where(near, label[None], len(values)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    assert got == {int(v): int(x) for v, x in zip(values, label)}
+
+
+def test_rows_of_a_large_bucket_grow_in_proportion(spark, monkeypatch):
+    from matchlake.llm import simhash as sh
+
+    monkeypatch.setattr(sh, "LARGE", 100)
+    sets = sh.block_keys(1, 4)
+    low, width = [r for r in sorted({r for s in sets for r in s}) if r not in sets[0]][0]
+    made = []
+    for n in (2000, 8000):
+        values = np.random.default_rng(n).integers(0, 1 << 40, n) << low
+        keyed = spark.createDataFrame([(5, 0, int(v), [int(v)]) for v in np.unique(values)], "bucket long, number int, node long, fp array<long>")
+        split = sh.split_large(keyed, sets, 4)
+        made.append((split.count() / keyed.count(), split.groupBy("bucket").count().agg({"count": "max"}).first()[0]))
+    assert made[0][0] == made[1][0] == 70 and made[1][1] < 400
