@@ -76,7 +76,11 @@ def with_corners(state: DataFrame, p: Profile) -> DataFrame:
 
 def events(state: DataFrame, p: Profile) -> DataFrame:
     """(match_id, event_seq, frame_seq, ts_s, type, team_side, xg, x, y, description), in the order of emission from 1 on."""
-    frames = with_corners(state, p)
+    return told(with_corners(state, p))
+
+
+def told(frames: DataFrame) -> DataFrame:
+    """The rows of events() from frames with found and taken."""
     names = ("rank", "type", "team_side", "xg", "x", "y", "description")
     own = F.transform("found", lambda e: F.struct(F.col("frame_seq").alias("frame_seq"), F.col("ts_s").alias("ts_s"), *[e[n].alias(n) for n in names]))
     none = F.lit(None).cast("double")

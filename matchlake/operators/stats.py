@@ -62,7 +62,12 @@ def summary(state: DataFrame, p: Profile, goals: bool = False) -> DataFrame:
 
     goals adds first_ts, first_side, first_xg, last_ts and last_side of the match's goals, null where there are none.
     """
-    frames, owner, sides = with_corners(state, p), F.col("owner"), ("home", "away")
+    return summary_of(with_corners(state, p), p, goals)
+
+
+def summary_of(frames: DataFrame, p: Profile, goals: bool = False) -> DataFrame:
+    """The rows of summary() from frames with found and taken."""
+    owner, sides = F.col("owner"), ("home", "away")
     passed = (owner == F.col("prev_owner")) & (F.col("step") > p.pass_step)
     out = [F.count_if(F.coalesce("owner", F.lit("none")) == side).alias(f"{side}_frames") for side in (*sides, "none")] + [F.count(F.lit(1)).alias("frames")]
     for side in sides:

@@ -462,117 +462,6 @@ SINGLE["edge_viz"] = f"WITH {edges(ELEVEN)} SELECT match_id, edge_seq, greatest(
 SINGLE["track_sides"] = f"WITH {FRAMES} SELECT match_id, CASE WHEN track_id % 3 <> 0 AND track_id % 2 = 1 THEN 'away' ELSE 'home' END AS team_side, count(*) AS n FROM det WHERE class_id IN (1, 2) GROUP BY ALL"
 SINGLE["file_order"] = f"WITH {FILES}, g AS (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, path FROM f) SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY path) AS place FROM g"
 
-
-def demo(side: str, s: int, done: float, target: float, at: int = 0) -> list[str]:
-    """Steps of one side's totals; s: 0 home, 1 away; r: the draws, from 1 on; at: how far they are moved."""
-    return [
-        f"floor(floor(mins * 4.2::DOUBLE + 0.5) * ({side}_pct / 100.0::DOUBLE) * (0.85::DOUBLE + r[{4 + s + at}] * 0.3::DOUBLE) + 0.5) AS {side}_total",
-        f"floor({side}_total * ({done}::DOUBLE + r[{6 + s + at}] * 0.2::DOUBLE) + 0.5) AS {side}_completed",
-        f"greatest(3, floor(mins / 8 + 0.5)) + floor(r[{8 + s + at}] * greatest(3, floor(mins / 8 + 0.5))) AS {side}_shots",
-        f"greatest({side}_goals, floor({side}_shots * ({target}::DOUBLE + r[{10 + s + at}] * 0.3::DOUBLE))) AS {side}_on_target",
-        f"floor(({side}_goals * 0.4::DOUBLE + {side}_on_target * 0.18::DOUBLE + r[{12 + s + at}] * 0.6::DOUBLE) * 100 + 0.5) / 100 AS {side}_xg",
-        f"greatest(3, floor(mins / 7 + 0.5)) + floor(r[{14 + s + at}] * greatest(3, floor(mins / 7 + 0.5))) AS {side}_fouls",
-        f"2 + floor(r[{16 + s + at}] * 7) AS {side}_corners",
-    ]
-
-
-def totals(n: int, detected: bool = False) -> str:
-    """CTEs up to tot: each file's n draws r and its totals; detected: possession is half's, and 12 draws are unused."""
-    burnt, at = (12, 11) if detected else (0, 0)
-    steps = [
-        f"greatest(5.0::DOUBLE, floor(greatest(60.0::DOUBLE, least(5400.0::DOUBLE, {jr('size / 1048576.0::DOUBLE * 60', 0)})) / 60 + 0.5)) AS mins",
-        f"floor(r[{burnt + 1}] * (greatest(1, floor(mins / 18)) + 1)) AS home_goals", f"floor(r[{burnt + 2}] * (greatest(1, floor(mins / 18)) + 1)) AS away_goals",
-        *([] if detected else ["floor(38 + r[3] * 24 + 0.5) AS home_pct"]), "100 - home_pct AS away_pct",
-        *demo("home", 0, 0.72, 0.35, at), *demo("away", 1, 0.68, 0.3, at),
-    ]
-    inner = "SELECT id, any_value(size) AS size, list(value ORDER BY n) AS r FROM drawn WHERE n >= 0 GROUP BY id"
-    if detected:
-        inner = f"SELECT q.*, half.home_pct FROM ({inner}) q JOIN ({SINGLE['possession_half']}) half ON half.match_id = q.id"
-    for step in steps:
-        inner = f"SELECT *, {step} FROM ({inner})"
-    return f"""h AS (
-    SELECT c_custkey AS id, c_custkey * 7919003 % 500000000 AS size, c_name || '.mp4' || CAST(c_custkey * 7919003 % 500000000 AS VARCHAR) AS s, 0 AS i, 5381::BIGINT AS v FROM customer
-    UNION ALL SELECT id, size, s, i + 1, xor((v * 33) & 4294967295, ascii(s[i + 1])::BIGINT) FROM h WHERE i < length(s)
-), d AS (
-    SELECT id, size, -1::BIGINT AS n, xor(v, 3735928559) & 4294967295 AS c FROM h WHERE i = length(s)
-    UNION ALL SELECT id, size, n + 1, xor(b, (b << 5) & 4294967295) AS c FROM (
-        SELECT id, size, n, xor(a, ((CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END) >> 17) & 4294967295) AS b FROM (
-            SELECT id, size, n, xor(c, (c << 13) & 4294967295) AS a FROM d WHERE n < {n - 1}))
-), drawn AS (
-    SELECT id, size, n, c / 4294967295.0::DOUBLE AS value FROM d
-), tot AS MATERIALIZED ({inner})"""
-
-
-_WHOLE = ["mins", *[f"{side}_{n}" for side in ("home", "away") for n in ("goals", "pct", "total", "completed", "shots", "on_target", "fouls", "corners")]]
-SINGLE["demo_totals"] = f"WITH RECURSIVE {totals(17)} SELECT id, {', '.join(f'{big(c)} AS {c}' for c in _WHOLE)}, home_xg, away_xg FROM tot"
-SINGLE["demo_detected"] = f"WITH RECURSIVE {totals(28, True)} SELECT id, {', '.join(f'{big(c)} AS {c}' for c in _WHOLE)}, home_xg, away_xg FROM tot"
-
-
-def _some(side: str, kind: str, n: str, first: float, last: str, base: str = "NULL", span: str = "NULL") -> str:
-    return f"list_transform(range(greatest(0, {big(n)})), lambda i: {{'side': '{side}', 'kind': '{kind}', 'lo': {first}::DOUBLE, 'hi': ({last})::DOUBLE, 'base': {base}::DOUBLE, 'span': {span}::DOUBLE}})"
-
-
-_XG = {"goal": {"home": ("0.25", "0.55"), "away": ("0.25", "0.55")}, "shot_on_target": {"home": ("0.08", "0.3"), "away": ("0.06", "0.28")}, "shot": {"home": ("0.03", "0.12"), "away": ("0.02", "0.12")}}
-_ITEMS = [_some(s, "goal", f"{s}_goals", 4, "mins - 1", *_XG["goal"][s]) for s in ("home", "away")]
-_ITEMS += [_some(s, "shot_on_target", f"{s}_on_target - {s}_goals", 2, "mins", *_XG["shot_on_target"][s]) for s in ("home", "away")]
-_ITEMS += [_some(s, "shot", f"{s}_shots - {s}_on_target", 2, "mins", *_XG["shot"][s]) for s in ("home", "away")]
-_ITEMS += [_some(s, k, f"{s}_{k}s", 1, "mins") for k in ("foul", "corner") for s in ("home", "away")]
-WALKED = f"""{totals(1280)}, plan AS MATERIALIZED (
-    SELECT id, flatten([{', '.join(_ITEMS)}]) AS items, r[18:529] AS ev_r FROM tot
-), walk AS (
-    SELECT id, 0 AS n, 1 AS at, NULL::BIGINT AS held, []::BIGINT[] AS used, NULL::BIGINT AS told, NULL::BIGINT AS second, NULL::DOUBLE AS xg FROM plan
-    UNION ALL SELECT id, n + 1,
-        CASE WHEN held IS NOT NULL OR (NOT list_contains(used, cand) AND item.base IS NULL) THEN "at" + 1 ELSE "at" END,
-        CASE WHEN held IS NULL AND NOT list_contains(used, cand) AND item.base IS NOT NULL THEN cand END,
-        CASE WHEN held IS NULL AND NOT list_contains(used, cand) THEN list_append(used, cand) ELSE used END,
-        CASE WHEN held IS NOT NULL OR (NOT list_contains(used, cand) AND item.base IS NULL) THEN "at" END,
-        CASE WHEN held IS NOT NULL THEN held WHEN NOT list_contains(used, cand) AND item.base IS NULL THEN cand END,
-        CASE WHEN held IS NOT NULL THEN floor((item.base + draw * item.span) * 100 + 0.5) / 100 END
-    FROM (SELECT *, {big('floor((item.lo + draw * (item.hi - item.lo)) * 60 + 0.5)')} AS cand FROM (SELECT w.*, p.items[w."at"] AS item, p.ev_r[w.n + 1] AS draw FROM walk w JOIN plan p ON w.id = p.id WHERE w."at" <= len(p.items) AND w.n < 512))
-), fin AS (
-    SELECT w.id, 17 + max(n) AS nxt FROM walk w JOIN plan p ON w.id = p.id GROUP BY w.id HAVING max(w."at") > any_value(len(p.items))
-), t AS MATERIALIZED (
-    SELECT tot.*, nxt, nxt + {big('ceil(mins / 2)')} + 1 AS players_at FROM tot JOIN fin USING (id)
-), ev0 AS (
-    SELECT w.id, told, w.second, w.xg, p.items[told].side AS side, p.items[told].kind AS kind FROM walk w JOIN plan p ON w.id = p.id JOIN fin ON fin.id = w.id WHERE told IS NOT NULL
-)"""
-_HEAT = """, h1 AS (SELECT *, players_at + 66 AS home_at, 45 + CAST(floor(r[players_at + 67] * 25) AS BIGINT) AS home_n FROM t
-), h2 AS (SELECT *, home_at + 1 + 5 * home_n AS away_at, 45 + CAST(floor(r[home_at + 2 + 5 * home_n] * 25) AS BIGINT) AS away_n FROM h1
-)"""
-_FORM = [(8, 34), (24, 11), (24, 28), (24, 50), (24, 63), (44, 17), (44, 34), (44, 51), (60, 22), (60, 46), (76, 34)]
-_PLAYERS = ", spot(i, x0, y0) AS (VALUES " + ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(_FORM)) + """), pl AS (
-    SELECT id, side, i, 18 + CAST(floor(r[players_at + o + 3*i + 1] * 55) AS BIGINT) AS involvement, (CASE side WHEN 'home' THEN x0 ELSE 105 - x0 END) + (r[players_at + o + 3*i + 2] - 0.5::DOUBLE) * 4 AS x, y0 + (r[players_at + o + 3*i + 3] - 0.5::DOUBLE) * 4 AS y
-    FROM t, spot, (VALUES ('home', 0), ('away', 33)) v(side, o)
-)"""
-_heat = lambda side, cols: f"SELECT id, '{side}' AS side, k AS \"at\", {cols}[CAST(floor(d0 * 5) AS BIGINT) + 1] + (d1 - 0.5::DOUBLE) * 22 AS x, 14 + d2 * 40 + (d3 - 0.5::DOUBLE) * 14 AS y, 0.2::DOUBLE + d4 * 0.8::DOUBLE AS v FROM (SELECT id, k, " + ", ".join(f"r[{side}_at + 2 + 5*k + {j}] AS d{j}" for j in range(5)) + f" FROM (SELECT *, unnest(range({side}_n)) AS k FROM h2))"
-_PASSES = """, near AS (
-    SELECT a.id, a.side, a.i, list(b.i ORDER BY b.i) AS js FROM pl a JOIN pl b ON a.id = b.id AND a.side = b.side AND a.i < b.i WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 22 GROUP BY ALL
-), turn AS MATERIALIZED (
-    SELECT id, row_number() OVER (PARTITION BY id ORDER BY side DESC, i) AS k, side, i, js FROM near
-), tape AS (SELECT id, r, away_at + 1 + 5 * away_n AS passes_at FROM h2
-), hop AS (
-    SELECT id, 0::BIGINT AS k, passes_at AS pos, NULL::VARCHAR AS side, NULL::INTEGER AS i, []::INTEGER[] AS picked, NULL::BIGINT AS from_pos FROM tape
-    UNION ALL SELECT id, k, pos + len(js) + 2 * len(picked), side, i, picked, pos + len(js) FROM (
-        SELECT h.id, t.k, h.pos, t.side, t.i, t.js, list_filter(t.js, lambda j: tape.r[h.pos + list_position(t.js, j)] > 0.28) AS picked FROM hop h JOIN turn t ON t.id = h.id AND t.k = h.k + 1 JOIN tape ON tape.id = h.id)
-)"""
-SINGLE |= {
-    "demo_events": f"""WITH RECURSIVE {WALKED}, every AS (
-        SELECT id, second, told * 2 AS o, kind AS type, side, xg, CASE WHEN kind = 'goal' THEN 'Goal! xG: ' || regexp_replace(CAST(xg AS VARCHAR), '\\.0$', '') END AS description FROM ev0
-        UNION ALL SELECT id, second - 1, told * 2 + 1, 'shot_on_target', side, xg, NULL FROM ev0 WHERE kind = 'goal'
-    ) SELECT id, row_number() OVER (PARTITION BY id ORDER BY second, o) AS event_seq, second, type, side AS team_side, xg, description FROM every""",
-    "demo_momentum": f"WITH RECURSIVE {WALKED} SELECT id, 2 * k AS minute, home, 100 - home AS away FROM (SELECT id, k, least(85, greatest(15, {big('floor(home_pct + (r[nxt + k + 1] - 0.5::DOUBLE) * 22 + 0.5)')})) AS home FROM (SELECT *, unnest(range({big('ceil(mins / 2)')} + 1)) AS k FROM t))",
-    "demo_heat": f"WITH RECURSIVE {WALKED}{_HEAT} SELECT id, side, \"at\", {jr('greatest(0.0::DOUBLE, least(105.0::DOUBLE, x))', 4)} AS x, {jr('greatest(0.0::DOUBLE, least(68.0::DOUBLE, y))', 4)} AS y, floor(v * 100 + 0.5) / 100 AS intensity FROM ({_heat('home', '[20, 38, 55, 70, 85]')} UNION ALL {_heat('away', '[20, 35, 50, 65, 85]')})",
-    "demo_players": f"WITH RECURSIVE {WALKED}{_PLAYERS} SELECT id, side || '_' || CAST(i AS VARCHAR) AS player_id, 'P' || CAST(i + 1 AS VARCHAR) AS name, side AS team_side, involvement, {jr('x', 4)} AS x, {jr('y', 4)} AS y FROM pl",
-    "demo_passes": f"""WITH RECURSIVE {WALKED}{_HEAT}{_PLAYERS}{_PASSES}, pass AS (
-        SELECT hop.id, k, q, side || '_' || CAST(i AS VARCHAR) AS from_id, side || '_' || CAST(picked[q] AS VARCHAR) AS to_id, 2 + {big('floor(r[from_pos + 2*q - 1] * 14)')} AS count, floor((0.6::DOUBLE + r[from_pos + 2*q] * 0.35::DOUBLE) * 100 + 0.5) / 100 AS accuracy
-        FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS q FROM hop WHERE k > 0) hop JOIN tape ON tape.id = hop.id
-    ) SELECT id, edge_seq, from_id, to_id, count, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, q) AS edge_seq FROM pass) WHERE edge_seq <= 50""",
-    "demo_narrative": f"""WITH RECURSIVE {WALKED}, g AS (SELECT id, min_by(second, second * 1000 + told) AS first_ts, min_by(side, second * 1000 + told) AS first_side FROM ev0 WHERE kind = 'goal' GROUP BY id)
-        SELECT t.id, (CASE WHEN home_pct >= away_pct THEN 'Reds' ELSE 'Blues' END) || ' controlled possession with ' || CAST({big('greatest(home_pct, away_pct)')} AS VARCHAR) || '% of the ball across the ' || CAST({big('mins')} AS VARCHAR) || '-minute match. ' || (CASE WHEN home_xg >= away_xg THEN 'Reds' ELSE 'Blues' END)
-        || ' generated the better chances with ' || {fx('greatest(home_xg, away_xg)', 2)} || ' xG. ' || coalesce((CASE WHEN first_side IS NULL THEN NULL WHEN first_side = 'home' THEN 'Reds' ELSE 'Blues' END) || ' broke the deadlock in the ' || CAST(first_ts // 60 AS VARCHAR) || 'th minute. ', '')
-        || 'Final score: ' || CAST({big('home_goals')} AS VARCHAR) || '–' || CAST({big('away_goals')} AS VARCHAR) || '.' AS narrative FROM t LEFT JOIN g USING (id)""",
-}
-
 SQL = {**SINGLE, **paired()}
 _joined = lambda name, text, order, where="": f"(SELECT match_id, string_agg({text}, ',' ORDER BY {order}) AS t, count(*) AS n FROM ({SQL[name]}) {where} GROUP BY match_id)"
 EVENT_TEXT = "CAST(event_seq AS VARCHAR) || ':' || CAST(frame_seq AS VARCHAR) || ':' || type || ':' || team_side"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchlake import scratch
 from matchlake.functions import colour, formats, geometry, rng
 from matchlake.functions.geometry import jround
-from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, synthetic, teams
+from matchlake.operators import docs, events as ev, frames as fr, report, spatial, stats, teams
 from matchlake.plans.profiles import ELEVEN, FIVE, Profile
 from matchlake.sources import fixtures as fx, predictions as pr
 from matchlake.streaming import triggers
@@ -159,12 +159,17 @@ def network_viz(spark, sf_dir):
 
 def whole_match(spark, sf_dir) -> DataFrame:
     """The document of each match: statistics, momentum, events, heat points, pass network and narrative."""
-    told = _told(spark, sf_dir, ELEVEN)
-    heat = heatmap_hist(spark, sf_dir).withColumn("place", F.concat_ws(" ", "team", F.format_string("%09.3f %09.3f", "x", "y")))
+    path = scratch.folder(spark, "frames")
+    ev.with_corners(fr.with_state(owned(spark, sf_dir, ELEVEN), ELEVEN), ELEVEN).write.parquet(path)
+    frames = spark.read.parquet(path)  # detections are gone through once; all parts come from these frames
+    told, found, seen = stats.summary_of(frames, ELEVEN, goals=True), ev.told(frames), spatial.positions(frames)
+    heat = spatial.heat_histogram(seen, ELEVEN)
+    heat = heat.withColumns({c: jround(F.col(c), 3) for c in ("x", "y")}).withColumn("place", F.concat_ws(" ", "team", F.format_string("%09.3f %09.3f", "x", "y")))
+    nodes = spatial.nodes(seen, ELEVEN)
     words = report.narrative_eleven(told, F.lit(HOME), F.lit(AWAY))
     found = stats.composed(
-        told, momentum=(momentum(spark, sf_dir, ELEVEN), "minute"), events=(ev.capped(events(spark, sf_dir, ELEVEN), "event_seq", ELEVEN.event_cap), "event_seq"), heat=(heat, "place"),
-        nodes=(pass_nodes(spark, sf_dir, ELEVEN), "node_seq"), edges=(pass_edges(spark, sf_dir, ELEVEN), "edge_seq"),
+        told, momentum=(stats.momentum(found, durations(spark, sf_dir), ELEVEN), "minute"), events=(ev.capped(found, "event_seq", ELEVEN.event_cap), "event_seq"), heat=(heat, "place"),
+        nodes=(nodes.filter(F.col("node_seq") <= ELEVEN.node_cap), "node_seq"), edges=(spatial.edges(nodes, ELEVEN), "edge_seq"),
     )
     return found.join(words, "match_id", "left")
 
@@ -527,52 +532,6 @@ def jersey_features(spark, sf_dir):
     return found.select("vec_id", *[jround(F.col("f")[i], 4).alias(n) for i, n in enumerate(("hue", "saturation", "value"))])
 
 
-def _demo_files(spark, sf_dir):
-    k = F.col("c_custkey")
-    return fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.concat("c_name", F.lit(".mp4")).alias("name"), (k * 7_919_003 % 500_000_000).alias("size"))
-
-
-def demo_totals(spark, sf_dir):
-    return synthetic.demo_totals(_demo_files(spark, sf_dir))
-
-
-def demo_detected(spark, sf_dir):
-    """Totals of files whose possession is that of the ball detections of the match of the same number."""
-    found = possession_half(spark, sf_dir).select(F.col("match_id").alias("id"), "home_pct")
-    return synthetic.demo_totals(_demo_files(spark, sf_dir).join(found, "id"), detected=True)
-
-
-def _demo(spark, sf_dir):
-    return synthetic.with_places(synthetic.with_events(_demo_files(spark, sf_dir)))
-
-
-def demo_events(spark, sf_dir):
-    return synthetic.demo_events(_demo(spark, sf_dir))
-
-
-def demo_momentum(spark, sf_dir):
-    return synthetic.demo_momentum(_demo(spark, sf_dir))
-
-
-def demo_heat(spark, sf_dir):
-    found = synthetic.demo_heat(_demo(spark, sf_dir))
-    return found.select("id", "side", "at", jround(F.col("x"), 4).alias("x"), jround(F.col("y"), 4).alias("y"), "intensity")
-
-
-def demo_players(spark, sf_dir):
-    found = synthetic.demo_players(_demo(spark, sf_dir))
-    return found.select("id", "player_id", "name", "team_side", "involvement", jround(F.col("x"), 4).alias("x"), jround(F.col("y"), 4).alias("y"))
-
-
-def demo_passes(spark, sf_dir):
-    return synthetic.demo_passes(_demo(spark, sf_dir))
-
-
-def demo_narrative(spark, sf_dir):
-    told = synthetic.demo_told(synthetic.with_events(_demo_files(spark, sf_dir)))
-    return report.narrative_browser(told, F.lit(HOME), F.lit(AWAY), F.col("mins")).withColumnRenamed("match_id", "id")
-
-
 def file_order(spark, sf_dir):
     """Files of each folder in the order of their names."""
     files = _files(spark, sf_dir).withColumn("folder", F.regexp_extract("path", "^(.*)/", 1))
@@ -601,7 +560,7 @@ SINGLE = (
     stats_table, report_table, scoreboard, charts_long, event_feed, report_key_events, narrative_a, narrative_b, narrative_c, narrative_d, match_cards,
     fmt_timestamp, fmt_filesize, fmt_eta, est_duration, percent_parse, report_dates, homography, half_split_teams, box_clip, top_matches, match_counts, team_docs,
     doc_upsert, doc_update, doc_insert_absent, doc_delete, reprocess_reset, upload_gate, prefix_listing, rule_check, immutable_fields, request_check, progress_stages,
-    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, jersey_features, demo_totals, demo_detected, demo_events, demo_momentum, demo_heat, demo_players, demo_passes, demo_narrative, user_check, write_rules, match_by_id, teams_of_user, matches_of_all, matches_of_user, publish_stats, audit_append, team_removal, url_sets, stream_live_status, stream_steps, file_order, track_sides, edge_viz, heat_viz,
+    probe_parse, pred_explode, sampled_frames, even_seeks, status_transitions, stream_transitions, upload_starts, live_status, notifications, last_n_crops, str_hash, xorshift, jersey_kmeans, jersey_features, user_check, write_rules, match_by_id, teams_of_user, matches_of_all, matches_of_user, publish_stats, audit_append, team_removal, url_sets, stream_live_status, stream_steps, file_order, track_sides, edge_viz, heat_viz,
 )
 PAIRED = (possession, ball_owner_frames, steps, events, events_capped, corners, pass_stats, shot_stats, score_discipline, pressure_index, xg_grid, momentum, pass_nodes, pass_edges, first_last_goal)
 QUERIES = {f.__name__: f for f in SINGLE}
