@@ -10,8 +10,8 @@ from matchlake.functions.geometry import jround
 from matchlake.operators import docs, events as ev, frames as fr, stats, tracking
 from matchlake.plans import oracle as sql, queries as q
 from matchlake.plans.profiles import ELEVEN
-from matchlake.sources import bodies, fixtures as fx
-from matchlake.streaming import stateful
+from matchlake.sources import bodies, fixtures as fx, predictions as pr
+from matchlake.streaming import stateful, triggers
 
 #: Parts in which frames arrive: every seventh frame is a part late.
 FRAME_PARTS = ("frame_seq < 20 AND frame_seq % 7 <> 0", "frame_seq BETWEEN 20 AND 39 AND frame_seq % 7 <> 0 OR frame_seq < 20 AND frame_seq % 7 = 0", "frame_seq >= 40 OR frame_seq BETWEEN 20 AND 39 AND frame_seq % 7 = 0")
@@ -174,7 +174,20 @@ def source_audit(spark, sf_dir):
     return spark.read.format("audit_log").load(path)
 
 
-QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade, source_bodies, source_audit)}
+def timed_seeks(spark, sf_dir):
+    """Frames got by eight seeks a match, some of which take too long; some durations are not known."""
+    m = F.col("match_id")
+    known = q.durations(spark, sf_dir).withColumn("duration", F.when(m % 9 == 0, 0.0).when(m % 9 == 1, float("inf")).when(m % 9 == 2, None).otherwise(F.col("duration")))
+    seeks = pr.even_seeks(pr.likely_durations(known), 8).withColumn("took_s", F.when((m + F.col("i")) % 11 != 0, (m * 7 + F.col("i") * 13) % 31 / 8))
+    return pr.seeks_within(seeks).select("match_id", "i", jround(F.col("ts_s"), 6).alias("ts_s"), "passed_s")
+
+
+def upload_errors(spark, sf_dir):
+    """Matches whose upload is too large."""
+    return triggers.refused_uploads(q._files(spark, sf_dir), fx.matches(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade, source_bodies, source_audit, timed_seeks, upload_errors)}
 
 _LANES = """lane AS (
     SELECT match_id, frame_seq, k, (20 + (e * 7 + k * 11) % 70) / 100.0::DOUBLE >= 0.5::DOUBLE AS sure FROM fr, range(10) t(k) WHERE (e * 31 + k * 17) % 11 <> 0
@@ -224,6 +237,15 @@ SQL = {
         UNION ALL SELECT 'audit', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM gone)
         UNION ALL SELECT 'teams', CAST(user_id % 100 AS VARCHAR) || '-' || CAST(id AS VARCHAR) FROM m WHERE id NOT IN (SELECT id FROM gone)""",
 }
+SQL["timed_seeks"] = f"""WITH d AS (
+        SELECT user_id AS match_id, CASE WHEN user_id % 9 IN (0, 1, 2) THEN 300.0::DOUBLE ELSE count(*) * 5.0::DOUBLE END AS duration FROM events GROUP BY user_id
+    ), s AS (
+        SELECT match_id, i, duration / 9 * i AS ts_s, CASE WHEN (match_id + i) % 11 <> 0 THEN (match_id * 7 + i * 13) % 31 / 8.0::DOUBLE END AS took FROM d, range(1, 9) t(i)
+    ), p AS (
+        SELECT *, sum(least(coalesce(took, 3.0::DOUBLE), 3.0::DOUBLE)) OVER (PARTITION BY match_id ORDER BY i) AS passed_s FROM s
+    ) SELECT match_id, i, {sql.jr("ts_s", 6)} AS ts_s, passed_s FROM p WHERE took < 3 AND passed_s < 20"""
+SQL["upload_errors"] = f"""WITH {sql.FILES}, {sql.MATCHES} SELECT CAST(id AS VARCHAR) AS id, 'error' AS status, 'Video file exceeds the 500MB limit.' AS error_message FROM m
+    WHERE CAST(id AS VARCHAR) IN (SELECT string_split(path, '/')[3] FROM f WHERE starts_with(path, 'videos/') AND len(string_split(path, '/')) >= 4 AND (content_type = 'video/mp4' OR ends_with(path, '.mp4')) AND size > 524288000)"""
 SQL["source_audit"] = sql.SQL["audit_append"]
 SQL["source_bodies"] = f"""WITH {sql.FRAMES} SELECT match_id, frame_seq, row_number() OVER (PARTITION BY match_id, frame_seq ORDER BY det_ord) - 1 AS det_ord, class_id, {sql.jr("x", 3)} AS x, {sql.jr("y", 3)} AS y, {sql.jr("confidence", 3)} AS confidence FROM det"""
 SQL["stream_tracked"] = SQL["tracked_lanes"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREDICTIONS = "predictions array<struct<x: double, y: double, width: double, height: double, `class`: string, class_id: bigint, confidence: double>>"
@@ -43,3 +43,19 @@ def first_by_time(frames: DataFrame, step_s: float = 5.0, most: int = 60) -> Dat
 def even_seeks(durations: DataFrame, n: int = 6) -> DataFrame:
     """n times spread evenly inside each match(…, duration)."""
     return durations.select("match_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"), "duration").select("match_id", F.col("i").cast("long").alias("i"), (F.col("duration") / (n + 1) * F.col("i")).alias("ts_s"))
+
+
+def likely_durations(durations: DataFrame, otherwise: float = 300.0) -> DataFrame:
+    """durations(match_id, duration) with a fixed one where it is missing, not positive or not finite."""
+    d = F.col("duration")
+    return durations.withColumn("duration", F.when((d > 0) & ~F.isnan(d) & (d < float("inf")), d).otherwise(otherwise))
+
+
+def seeks_within(seeks: DataFrame, each_s: float = 3.0, total_s: float = 20.0) -> DataFrame:
+    """The seeks(match_id, i, ts_s, took_s) that give a frame: found in under each_s, and before total_s have passed in all.
+
+    A seek that takes longer is given up after each_s, which count as passed. A null time is one that never ends.
+    """
+    waited = F.least(F.coalesce("took_s", F.lit(each_s)), F.lit(each_s))
+    passed = F.sum(waited).over(Window.partitionBy("match_id").orderBy("i"))
+    return seeks.withColumn("passed_s", passed).filter((F.col("took_s") < each_s) & (F.col("passed_s") < total_s))

@@ -25,6 +25,13 @@ def accepted_uploads(files: DataFrame, matches: DataFrame) -> DataFrame:
     return gated.join(waiting, ["match_part", "user_part"]).select(F.col("match_part").alias("id"), F.col("user_part").alias("user_id"), F.col("path").alias("video_url"), F.lit("processing").alias("status"))
 
 
+def refused_uploads(files: DataFrame, matches: DataFrame) -> DataFrame:
+    """(id, status, error_message) of matches, whatever their status, whose video is larger than an upload may be."""
+    large = docs.upload_gate(files).filter("in_place AND is_video AND NOT trigger_size").select(F.col("match_part").alias("large_id")).distinct()
+    told = F.lit("Video file exceeds the 500MB limit.")
+    return matches.join(large, F.col("id").cast("string") == F.col("large_id"), "left_semi").select(F.col("id").cast("string").alias("id"), F.lit("error").alias("status"), told.alias("error_message"))
+
+
 def on_upload(spark: SparkSession, folder: str, matches: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that hands each batch of accepted uploads from the manifests (JSON) in a folder to handle."""
     files = spark.readStream.schema(UPLOADS).json(folder)

@@ -63,3 +63,16 @@ def test_hues_round_by_whole_numbers(spark):
         return math.floor(degrees / 2 + Fraction(1, 2)) % 180, math.floor(Fraction(255 * span, most) + Fraction(1, 2)), most
 
     assert got == [exact(*p) for p in pixels] and got[0][0] == 62
+
+
+def test_clusters_are_no_worse_than_the_librarys(spark, sf_dir):
+    """Cost of each match's two clusters against those of pyspark.ml's KMeans on the same crops."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    crops = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("CAST(floor(vec_id / 100) AS LONG) AS match_id", "embedding AS feature")
+    for (match,) in crops.select("match_id").distinct().collect():
+        own = crops.filter(F.col("match_id") == match)
+        data = np.array([r.feature for r in own.collect()], float)
+        other = KMeans(k=2, seed=42).fit(own.select(array_to_vector(F.col("feature").cast("array<double>")).alias("features"))).summary.trainingCost
+        assert cost(data, teams.two_means(data)) <= other * 1.0001
