@@ -24,6 +24,7 @@ FANOUT = 2
 #: Settled lines up to this number (16 bytes each) are given to each worker; more are joined by shuffle.
 FEW_SETTLED = 200_000
 KEY = ["h", "g"]
+SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Fixed value: the characters stripped at both ends of a line.
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -67,8 +68,9 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.settled: list[str] = []
         self.made = 0
-        # a bucket of a run is one sorted file; Spark takes files as sorted only if it is told to
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        # a bucket of a run is one sorted file; Spark takes files as sorted only if it is told to, until the store is closed
+        self.sorted = spark.conf.get(SORTED, None)
+        spark.conf.set(SORTED, "true")
 
     def _write(self, run: DataFrame, kind: str) -> str:
         """Write a run that is dealt out as the buckets are; its name."""
@@ -142,6 +144,7 @@ class LineRuns:
         """Forget the settled run as well, once it isn't read any more."""
         self._drop(self.settled)
         self.settled = []
+        self.spark.conf.set(SORTED, self.sorted) if self.sorted else self.spark.conf.unset(SORTED)
 
 
 def _long_enough(key: bytes, min_chars: int) -> bool:
@@ -179,7 +182,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     else:  # rows get a number of their own, as ids may be null or repeat
         read = stored(read.withColumn("line_row", F.monotonically_increasing_id()), "line-docs")
         own = line_hashes(read, min_chars, 1, "line_row", "text").withColumnRenamed("doc_id", "of")
-        hits = own.join(settled, KEY, "left_semi").groupBy("of").agg(F.collect_list(F.struct(*KEY)).alias("drop"))
+        hits = stored(own.join(settled, KEY, "left_semi").groupBy("of").agg(F.collect_list(F.struct(*KEY)).alias("drop")), "line-hits")
+        runs.close()
         read = read.join(hits, F.col("line_row") == F.col("of"), "left").drop("of", "line_row")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import small_batches, stored
+from matchlake.llm.common import keyed, small_batches, stored
 
 #: Permitted sequence lengths, in words and ends.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -100,7 +100,8 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: i
 
     Longer documents than the largest capacity are cut into pieces of that size and a rest; nothing is dropped. Bins
     are opened at the size of least cost, filled by best fit and at last made as small as a permitted length allows.
-    Lengths under 1, or null, take no room and give no rows. Repeated rows are packed each on its own. An empty table
+    Lengths under 1, or null, take no room and give no rows. Repeated rows, and rows with null ids, are packed each on
+    its own; further columns are not read. An empty table
     gives no rows.
     """
     spark = lengths.sparkSession
@@ -108,10 +109,10 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: i
     most = max(capacities)
     whole = lengths.filter("length >= 1").select("doc_id", "length")
     pieces = whole.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0L, (length - 1) div {most}), i -> least(length - i * {most}, {most}L))")).alias("piece", "piece_length"))
-    pieces = stored(pieces, "pieces")
+    pieces = keyed(stored(pieces, "pieces"))  # pieces are told apart by their place in what was written: ids may be null or repeat
     total = pieces.count()
     salts = max(8, -(-total // RANKED))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts)))
     parts = salted.groupBy("piece_length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("piece_length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -120,7 +121,7 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: i
     steps = np.array(sorted(plan.steps), np.int64).reshape(-1, 5)
     bins = np.array(plan.bins, np.int64).reshape(-1, 4)
     made = spark.sparkContext.broadcast((steps, bins))
-    rank = F.row_number().over(Window.partitionBy("piece_length", "salt").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("piece_length", "salt").orderBy("doc_id", "piece", "row_key")) - 1
     ranked = salted.withColumn("within", rank).join(offsets, ["piece_length", "salt"]).select("doc_id", "piece", "piece_length", (F.col("offset") + F.col("within")).alias("rank"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,13 @@ def test_runs_are_merged_where_they_lie(spark):
     assert settled.keys() == {k for k, n in total.items() if n >= 4}
     runs.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "settled_", "merged_")) and t.name.endswith(runs.dir.rpartition("-")[2])]
+
+
+def test_stores_are_closed_in_both_branches(spark, docs):
+    """No table stays in the catalog, and the session's settings are as they were."""
+    from matchlake.llm.lines import SORTED
+
+    before, tables = spark.conf.get(SORTED), {t.name for t in spark.catalog.listTables()}
+    for few in (0, 1000):
+        drop_frequent_lines(docs, 10, few_settled=few).collect()
+        assert {t.name for t in spark.catalog.listTables()} == tables and spark.conf.get(SORTED) == before

@@ -66,3 +66,24 @@ def test_texts(docs, empty, corpus):
     assert sorted(r.length for r in got) == sorted(len((t or "").encode().split()) + 1 for _, t in corpus)
     assert sum(r.piece_length for r in pack(word_lengths(docs)).collect()) == sum(r.length for r in got)
     assert pack(word_lengths(empty)).collect() == []
+
+
+def test_null_and_repeated_ids_share_no_task(spark, monkeypatch):
+    """A third of the rows without an id, a third with the same: every piece has a place of its own, in many salts."""
+    from matchlake.llm import packing
+
+    monkeypatch.setattr(packing, "RANKED", 50)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, 5 + i % 2, "clash") for i in range(1500)]
+    found = pack(spark.createDataFrame(rows, "doc_id long, length long, salt string"), SIZES, 2)
+    got = found.collect()
+    assert len(got) == 1500 and sum(r.doc_id is None for r in got) == 500 and sum(r.doc_id == 7 for r in got) == 500
+    spots = {(r.bin_id, r.bin_start) for r in got}
+    assert len(spots) == 1500
+    by_bin = defaultdict(list)
+    for r in got:
+        by_bin[r.bin_id].append((r.bin_start, r.piece_length))
+    for own in by_bin.values():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
