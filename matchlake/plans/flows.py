@@ -183,8 +183,11 @@ def timed_seeks(spark, sf_dir):
 
 
 def upload_errors(spark, sf_dir):
-    """Matches whose upload is too large."""
-    return triggers.refused_uploads(q._files(spark, sf_dir), fx.matches(spark, sf_dir))
+    """Matches whose upload is too large; a third of the files are no videos."""
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("videos/"), F.col("o_custkey").cast("string"), F.lit("/"), k.cast("string"), F.when(k % 3 == 0, "/clip.mov").otherwise("/clip.mp4"))
+    files = fx.table(spark, sf_dir, "orders").select(path.alias("path"), F.lit("application/octet-stream").alias("content_type"), (k * 350_003 % 700_000_000).cast("long").alias("size"))
+    return triggers.refused_uploads(files, fx.matches(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade, source_bodies, source_audit, timed_seeks, upload_errors)}
@@ -244,8 +247,7 @@ SQL["timed_seeks"] = f"""WITH d AS (
     ), p AS (
         SELECT *, sum(least(coalesce(took, 3.0::DOUBLE), 3.0::DOUBLE)) OVER (PARTITION BY match_id ORDER BY i) AS passed_s FROM s
     ) SELECT match_id, i, {sql.jr("ts_s", 6)} AS ts_s, passed_s FROM p WHERE took < 3 AND passed_s < 20"""
-SQL["upload_errors"] = f"""WITH {sql.FILES}, {sql.MATCHES} SELECT CAST(id AS VARCHAR) AS id, 'error' AS status, 'Video file exceeds the 500MB limit.' AS error_message FROM m
-    WHERE CAST(id AS VARCHAR) IN (SELECT string_split(path, '/')[3] FROM f WHERE starts_with(path, 'videos/') AND len(string_split(path, '/')) >= 4 AND (content_type = 'video/mp4' OR ends_with(path, '.mp4')) AND size > 524288000)"""
+SQL["upload_errors"] = "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'error' AS status, 'Video file exceeds the 500MB limit.' AS error_message FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey * 350003 % 700000000 > 524288000"
 SQL["source_audit"] = sql.SQL["audit_append"]
 SQL["source_bodies"] = f"""WITH {sql.FRAMES} SELECT match_id, frame_seq, row_number() OVER (PARTITION BY match_id, frame_seq ORDER BY det_ord) - 1 AS det_ord, class_id, {sql.jr("x", 3)} AS x, {sql.jr("y", 3)} AS y, {sql.jr("confidence", 3)} AS confidence FROM det"""
 SQL["stream_tracked"] = SQL["tracked_lanes"]
