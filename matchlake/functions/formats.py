@@ -56,3 +56,8 @@ def long_date(ts: Column) -> Column:
 
 def short_date(ts: Column) -> Column:
     return F.date_format(ts, "dd MMM yyyy")
+
+
+def link_until(at: Column, hours: int = 1) -> Column:
+    """When a link that is signed at a time ends, in milliseconds of the epoch; null if there is no time."""
+    return F.unix_millis(at) + F.lit(hours * 3_600_000)

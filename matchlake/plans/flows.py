@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake import scratch
+from matchlake.functions import formats
 from matchlake.functions.geometry import jround
 from matchlake.operators import docs, events as ev, frames as fr, stats, tracking
 from matchlake.plans import oracle as sql, queries as q
@@ -190,7 +191,12 @@ def upload_errors(spark, sf_dir):
     return triggers.refused_uploads(files, fx.matches(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade, source_bodies, source_audit, timed_seeks, upload_errors)}
+def upload_links(spark, sf_dir):
+    """The files that arrive, and until when the link to each is good."""
+    return _arrivals(spark, sf_dir).select("path", "part", formats.link_until(F.col("ts")).alias("until_ms"))
+
+
+QUERIES = {f.__name__: f for f in (tracked_lanes, stream_tracked, tracked_players, stream_watch, watch, stream_steps_late, stream_momentum, stream_uploads, stream_progress, doc_merge, doc_created, file_places, match_cascade, source_bodies, source_audit, timed_seeks, upload_errors, upload_links)}
 
 _LANES = """lane AS (
     SELECT match_id, frame_seq, k, (20 + (e * 7 + k * 11) % 70) / 100.0::DOUBLE >= 0.5::DOUBLE AS sure FROM fr, range(10) t(k) WHERE (e * 31 + k * 17) % 11 <> 0
@@ -248,6 +254,12 @@ SQL["timed_seeks"] = f"""WITH d AS (
         SELECT *, sum(least(coalesce(took, 3.0::DOUBLE), 3.0::DOUBLE)) OVER (PARTITION BY match_id ORDER BY i) AS passed_s FROM s
     ) SELECT match_id, i, {sql.jr("ts_s", 6)} AS ts_s, passed_s FROM p WHERE took < 3 AND passed_s < 20"""
 SQL["upload_errors"] = "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'error' AS status, 'Video file exceeds the 500MB limit.' AS error_message FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey * 350003 % 700000000 > 524288000"
+SQL["upload_links"] = """WITH own AS (
+        SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'images/' ELSE 'videos/' END AS top, CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS place FROM orders
+    ), a AS (
+        SELECT k, top || place || '/clip.mp4' AS path, k % 3 AS part FROM own UNION ALL SELECT k, top || place || '/clip.mp4', k % 3 + 1 FROM own WHERE k % 6 < 2
+        UNION ALL SELECT k, 'videos/' || place || '/second.mp4', 2 FROM own WHERE k % 4 = 0
+    ) SELECT path, part, (1700000000 + k) * 1000 + 3600000 AS until_ms FROM a"""
 SQL["source_audit"] = sql.SQL["audit_append"]
 SQL["source_bodies"] = f"""WITH {sql.FRAMES} SELECT match_id, frame_seq, row_number() OVER (PARTITION BY match_id, frame_seq ORDER BY det_ord) - 1 AS det_ord, class_id, {sql.jr("x", 3)} AS x, {sql.jr("y", 3)} AS y, {sql.jr("confidence", 3)} AS confidence FROM det"""
 SQL["stream_tracked"] = SQL["tracked_lanes"]
