@@ -83,7 +83,9 @@ class Tracker:
         sure = np.flatnonzero(confidence >= r.sure)
         unsure = np.flatnonzero((confidence >= r.least) & (confidence < r.sure))
         pairs = [(i, int(sure[j])) for i, j in matched(at, boxes[sure], r.overlap)]
-        rest = np.setdiff1d(np.flatnonzero(away == 1), [i for i, _ in pairs])  # lost tracks come back by sure detections only
+        free = away == 1  # lost tracks come back by sure detections only
+        free[[i for i, _ in pairs]] = False
+        rest = np.flatnonzero(free)
         pairs += [(int(rest[i]), int(unsure[j])) for i, j in matched(at[rest], boxes[unsure], r.overlap_unsure)]
         for i, j in pairs:
             moved = (boxes[j, :2] - live[i, 1:3]) / away[i]
@@ -91,12 +93,12 @@ class Tracker:
             live[i, 5:7] = moved if first else (1 - r.momentum) * live[i, 5:7] + r.momentum * moved
             live[i, 1:5], live[i, 7] = boxes[j], frame
             out[j] = int(live[i, 0])
-        born = [int(j) for j in sure if out[j] is None]
-        for j in born:
-            out[j] = self.following
-            live = np.vstack([live, [self.following, *boxes[j], 0.0, 0.0, frame]])
+        born = [j for j in sure.tolist() if out[j] is None]
+        fresh = np.zeros((len(born), 8))
+        for row, j in zip(fresh, born):
+            out[j], row[0], row[1:5], row[7] = self.following, self.following, boxes[j], frame
             self.following += 1
-        self.tracks = live
+        self.tracks = np.concatenate([live, fresh])
         return out
 
 
