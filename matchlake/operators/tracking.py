@@ -133,7 +133,8 @@ def tracked(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["match_id", "frame_seq", "det_ord", "track_no"])
 
-    return frames.select("match_id", "frame_seq", "dets").repartition("match_id").sortWithinPartitions("match_id", "frame_seq").mapInArrow(work, TRACKED)
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: small frames take long, and would be merged into few tasks
+    return frames.select("match_id", "frame_seq", "dets").repartition(parts, "match_id").sortWithinPartitions("match_id", "frame_seq").mapInArrow(work, TRACKED)
 
 
 class TrackProcessor(StatefulProcessor):
