@@ -98,7 +98,7 @@ def stream_uploads(spark, sf_dir):
     """Matches started by uploads that come in three batches, with repeats, second files, and a batch that is run again."""
     arriving, folder = _arrivals(spark, sf_dir), scratch.folder(spark, "uploads")
     handle = stateful.starting(fx.matches(spark, sf_dir), folder)
-    stream = stateful.new_uploads(stateful.in_parts(arriving, [F.col("part") == i for i in range(3)]), "30 days")
+    stream = stateful.new_uploads(stateful.in_parts(arriving, [F.col("part") == i for i in range(3)]))
     with stateful.rocksdb(spark):
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", scratch.folder(spark, "stream-marks")).trigger(availableNow=True).start().awaitTermination()
     handle(arriving.filter("part = 1"), 1)

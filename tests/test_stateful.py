@@ -76,6 +76,12 @@ def test_uploads_start_once_over_repeats_and_replays(spark):
     assert read("started") == read("audit") == [("1", "videos/5/1/a.mp4", 0), ("2", "videos/5/2/a.mp4", 1)]
 
 
+def test_uploads_of_any_age_come_through_once(spark):
+    rows = spark.createDataFrame([("a", at(90 * 86400), 0), ("b", at(0), 1), ("a", at(0), 1), ("b", at(1), 2), ("c", at(2), 2)], "path string, ts timestamp, part int")
+    stream = stateful.new_uploads(stateful.in_parts(rows, [F.col("part") == i for i in range(3)]))
+    assert sorted((r.path, r.part) for r in stateful.run_to_end(stream).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
 def test_a_failing_listener_does_not_stop_the_stream(spark):
     class Failing(StreamingQueryListener):
         def onQueryStarted(self, event):
