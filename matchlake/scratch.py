@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
 #: Folders of this driver, in the order in which they were made.
 _made: list[str] = []
@@ -29,6 +30,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
+def fill(spark: SparkSession, path: str, files: int, schema: StructType) -> None:
+    """Add Parquet files without rows to a folder until it holds so many."""
+    conf, own = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = own.getFileSystem(conf)
+    parquet = lambda at: [f.getPath() for f in store.listStatus(at) if f.getPath().getName().endswith(".parquet")]
+    missing = files - len(parquet(own))
+    if missing <= 0:
+        return
+    none = folder(spark, "none")
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(none)
+    (empty,) = parquet(spark._jvm.org.apache.hadoop.fs.Path(none))
+    for _ in range(missing):
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, empty, store, spark._jvm.org.apache.hadoop.fs.Path(own, f"none-{uuid.uuid4().hex}.parquet"), False, conf)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)

@@ -82,6 +82,15 @@ def test_uploads_of_any_age_come_through_once(spark):
     assert sorted((r.path, r.part) for r in stateful.run_to_end(stream).collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_parts_are_written_and_read_by_all_cores(spark):
+    rows = spark.range(1000, numPartitions=7).select(F.col("id").alias("v"))
+    stream = stateful.in_parts(rows, ["v < 700", F.col("v") == 700, "v > 5000"])
+    seen = stateful.progress_of(stream.observe("p", F.count(F.lit(1)).alias("n")), "p", "batch long, n long")
+    assert sorted(map(tuple, seen.collect())) == [(0, 700), (1, 1), (2, 0)]
+    own = [r["count"] for r in stateful.run_to_end(stream.withColumn("file", F.input_file_name())).groupBy("file").count().collect()]
+    assert len(own) == spark.sparkContext.defaultParallelism + 1 and max(own) < 700
+
+
 def test_a_failing_listener_does_not_stop_the_stream(spark):
     class Failing(StreamingQueryListener):
         def onQueryStarted(self, event):
