@@ -38,10 +38,11 @@ class Rules:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of boxes (centre x, centre y, width, height)."""
-    low = np.maximum((a[:, :2] - a[:, 2:4] / 2)[:, None], (b[:, :2] - b[:, 2:4] / 2)[None])
-    high = np.minimum((a[:, :2] + a[:, 2:4] / 2)[:, None], (b[:, :2] + b[:, 2:4] / 2)[None])
-    both = np.clip(high - low, 0, None).prod(axis=2)
-    union = a[:, 2:4].prod(axis=1)[:, None] + b[:, 2:4].prod(axis=1)[None] - both
+    (ax, ay, aw, ah), (bx, by, bw, bh) = a.T[:, :, None], b.T[:, None]
+    w = np.minimum(ax + aw / 2, bx + bw / 2) - np.maximum(ax - aw / 2, bx - bw / 2)
+    h = np.minimum(ay + ah / 2, by + bh / 2) - np.maximum(ay - ah / 2, by - bh / 2)
+    both = np.maximum(w, 0) * np.maximum(h, 0)
+    union = aw * ah + bw * bh - both
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
@@ -52,8 +53,7 @@ def matched(boxes: np.ndarray, found: np.ndarray, least: float) -> list[tuple[in
     share = overlaps(boxes, found)
     rows, columns = np.nonzero(share >= least)
     pairs, taken, used = [], set(), set()
-    for k in np.lexsort((columns, rows, -share[rows, columns])).tolist():
-        i, j = int(rows[k]), int(columns[k])
+    for _, i, j in sorted(zip((-share[rows, columns]).tolist(), rows.tolist(), columns.tolist())):
         if i not in taken and j not in used:
             taken.add(i)
             used.add(j)
@@ -125,13 +125,19 @@ def tracked(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match, tracker = None, Tracker(rules)
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                if r["match_id"] != match:
-                    match, tracker = r["match_id"], Tracker(rules)
-                out += _rows(tracker, match, r["frame_seq"], r["dets"])
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["match_id", "frame_seq", "det_ord", "track_no"])
+            dets = batch.column("dets")
+            each, sizes = dets.flatten(), dets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            value = lambda c: each.field(c).to_numpy(zero_copy_only=False)
+            boxes, sure = np.column_stack([value(c).astype(float) for c in ("x", "y", "width", "height")]), value("confidence").astype(float)
+            matches, seqs = batch.column("match_id").to_pylist(), batch.column("frame_seq").to_pylist()
+            out: list[int | None] = []
+            for m, seq, end, n in zip(matches, seqs, np.cumsum(sizes).tolist(), sizes.tolist()):
+                if m != match:
+                    match, tracker = m, Tracker(rules)
+                out += tracker.step(seq, boxes[end - n : end], sure[end - n : end])
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            columns = [batch.column("match_id").take(at), batch.column("frame_seq").take(at), each.field("det_ord"), pa.array(out, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["match_id", "frame_seq", "det_ord", "track_no"])
 
     parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: small frames take long, and would be merged into few tasks
     return frames.select("match_id", "frame_seq", "dets").repartition(parts, "match_id").sortWithinPartitions("match_id", "frame_seq").mapInArrow(work, TRACKED)

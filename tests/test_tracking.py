@@ -83,6 +83,18 @@ def test_any_boxes_against_the_plain_rules(spark):
     assert got == plain(rows) and None in got.values() and len(set(got.values())) > 20
 
 
+def test_matches_over_many_small_batches(spark):
+    rows = blobs() + crossing()[0]
+    frames = tracking.framed(spark.createDataFrame(rows, SCHEMA)).unionByName(spark.createDataFrame([(7, 1, None), (7, 2, [])], f"match_id long, frame_seq long, dets {tracking.DETS}"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        assert found(tracking.tracked(frames)) == plain(rows)
+    finally:
+        spark.conf.set(size, own)
+
+
 def test_lost_tracks_end(spark):
     rows = [(1, f, 0, 2, 50.0, 50.0, 20.0, 20.0, 0.9) for f in (0, 1, 31, 62)]
     got = found(tracking.tracked(tracking.framed(spark.createDataFrame(rows, SCHEMA))))
