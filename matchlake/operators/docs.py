@@ -221,13 +221,17 @@ def cascade(matches: DataFrame, asked: DataFrame, files: DataFrame, audit: DataF
 
     matches(id, user_id, …), files(path, …) under videos/<owner>/<match>/, audit(match_id, …), teams(id, match_ids, …).
     Requests by others, or for what isn't there, change nothing. All follows from one keyed table of what goes: files
-    are met by the owner and match of their path, audit rows by match, and team sets lose these matches only.
+    are met by the owner and match of their path, audit rows by match, and team sets lose these matches only. Teams may
+    be given as rows(id, match_id) instead, and stay such: a team of very many matches then is in no task as a whole.
     """
     gone = matches.join(asked.select("id", "user_id").distinct(), ["id", "user_id"], "left_semi").select(F.col("id").alias("gone_id"), F.col("user_id").alias("gone_user"))
     part = lambda i: F.get(F.split("path", "/"), F.lit(i))
     of_file = F.col("path").startswith("videos/") & (F.size(F.split("path", "/")) > 3) & (part(1) == F.col("gone_user").cast("string")) & (part(2) == F.col("gone_id").cast("string"))
-    member = teams.select("id", F.explode("match_ids").alias("gone_id")).join(gone, "gone_id", "left_semi").groupBy("id").agg(F.collect_list("gone_id").alias("gone_ids"))
-    left = teams.join(member, "id", "left").withColumn("match_ids", F.array_except("match_ids", F.coalesce("gone_ids", F.array().cast(teams.schema["match_ids"].dataType)))).drop("gone_ids")
+    if "match_id" in teams.columns:
+        left = teams.join(gone, F.col("match_id") == F.col("gone_id"), "left_anti")
+    else:
+        member = teams.select("id", F.explode("match_ids").alias("gone_id")).join(gone, "gone_id", "left_semi").groupBy("id").agg(F.collect_list("gone_id").alias("gone_ids"))
+        left = teams.join(member, "id", "left").withColumn("match_ids", F.array_except("match_ids", F.coalesce("gone_ids", F.array().cast(teams.schema["match_ids"].dataType)))).drop("gone_ids")
     return {
         "matches": matches.join(gone, F.col("id") == F.col("gone_id"), "left_anti"),
         "files": files.join(gone, of_file, "left_anti"),

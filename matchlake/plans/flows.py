@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,11 +148,11 @@ def match_cascade(spark, sf_dir):
     orders = fx.table(spark, sf_dir, "orders")
     asked = orders.filter("o_orderkey % 5 = 0").select(k.alias("id"), (F.col("o_custkey") + F.when(k % 15 == 0, 1).otherwise(0)).alias("user_id"))
     audit = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("entry"))
-    teams = orders.groupBy((F.col("o_custkey") % 100).alias("id")).agg(F.collect_set("o_orderkey").alias("match_ids"))
+    teams = orders.select((F.col("o_custkey") % 100).alias("id"), k.alias("match_id")).distinct()
     left = docs.cascade(fx.matches(spark, sf_dir), asked, q._files(spark, sf_dir), audit, teams)
     rows = lambda kind, key: left[kind].select(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
-    members = left["teams"].select("id", F.explode("match_ids").alias("m")).select(F.lit("teams").alias("kind"), F.concat_ws("-", "id", "m").alias("key"))
-    return rows("matches", F.col("id")).unionByName(rows("files", F.col("path"))).unionByName(rows("audit", F.col("entry"))).unionByName(members)
+    parts = {"matches": F.col("id"), "files": F.col("path"), "audit": F.col("entry"), "teams": F.concat_ws("-", "id", "match_id")}
+    return reduce(DataFrame.unionByName, (rows(kind, key) for kind, key in parts.items()))
 
 
 def source_bodies(spark, sf_dir):

@@ -151,3 +151,11 @@ def test_only_owners_delete(spark):
     assert sorted(r.id for r in left["matches"].collect()) == [2, 3] and [r.match_id for r in left["audit"].collect()] == [3]
     assert sorted(r.path for r in left["files"].collect()) == ["images/5/1/a", "videos/5/12/a.mp4", "videos/6/1/a.mp4", "videos/6/3/a.mp4", "x"]
     assert {r.id: r.match_ids for r in left["teams"].collect()} == {1: [2, 3], 2: [], 3: None}
+
+
+def test_members_given_as_rows_stay_rows(spark):
+    matches = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "id long, user_id long")
+    asked = spark.createDataFrame([(1, 5), (3, 5)], "id long, user_id long")
+    files, audit = spark.createDataFrame([], "path string"), spark.createDataFrame([], "match_id long, entry string")
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "id long, match_id long")
+    assert sorted(map(tuple, docs.cascade(matches, asked, files, audit, rows)["teams"].collect())) == [(1, 2), (1, 3)]
