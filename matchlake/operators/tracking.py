@@ -1,7 +1,7 @@
 """Tracks of players from boxes: association by overlap in two passes, with constant-velocity prediction.
 
-A match's frames come in order, and all that is kept between two of them are the live tracks, a handful of numbers
-each. So a match is never gathered: in a batch its frames stream through one task in sorted order, and as a stream they
+A match's frames come in order, and all that is kept between two of them are the live tracks (and the lost ones, if
+they may return), a handful of numbers each. So a match is never gathered: in a batch its frames stream through one task in sorted order, and as a stream they
 arrive in any number of batches, with the tracks as state by match. Both run the same step and give the same rows.
 """
 
@@ -34,6 +34,9 @@ class Rules:
     buffer: int = 30
     #: Weight of the newest step in a track's velocity.
     momentum: float = 0.5
+    #: Whether a track that is lost, unseen for over `buffer` frames, goes on when a sure detection that no live track
+    #: takes overlaps its predicted box. All tracks of a match are kept then, where else only the live ones are.
+    returns: bool = False
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,16 +80,20 @@ class Tracker:
         if frame <= self.last:
             return out
         r, self.last = self.rules, frame
-        live = self.tracks[frame - self.tracks[:, 7] <= r.buffer]
+        live = self.tracks if r.returns else self.tracks[frame - self.tracks[:, 7] <= r.buffer]
         away = frame - live[:, 7]
+        near = np.flatnonzero(away <= r.buffer)
         at = np.column_stack([live[:, 1:3] + live[:, 5:7] * away[:, None], live[:, 3:5]])
         sure = np.flatnonzero(confidence >= r.sure)
         unsure = np.flatnonzero((confidence >= r.least) & (confidence < r.sure))
-        pairs = [(i, int(sure[j])) for i, j in matched(at, boxes[sure], r.overlap)]
+        pairs = [(int(near[i]), int(sure[j])) for i, j in matched(at[near], boxes[sure], r.overlap)]
         free = away == 1  # lost tracks come back by sure detections only
         free[[i for i, _ in pairs]] = False
         rest = np.flatnonzero(free)
         pairs += [(int(rest[i]), int(unsure[j])) for i, j in matched(at[rest], boxes[unsure], r.overlap_unsure)]
+        if len(near) < len(live):
+            lost, left = np.flatnonzero(away > r.buffer), np.setdiff1d(sure, [j for _, j in pairs])
+            pairs += [(int(lost[i]), int(left[j])) for i, j in matched(at[lost], boxes[left], r.overlap)]
         for i, j in pairs:
             moved = (boxes[j, :2] - live[i, 1:3]) / away[i]
             first = not live[i, 5:7].any()

@@ -20,6 +20,8 @@ from matchlake.streaming import stateful, triggers
 FRAME_PARTS = ("frame_seq < 20 AND frame_seq % 7 <> 0", "frame_seq BETWEEN 20 AND 39 AND frame_seq % 7 <> 0 OR frame_seq < 20 AND frame_seq % 7 = 0", "frame_seq >= 40 OR frame_seq BETWEEN 20 AND 39 AND frame_seq % 7 = 0")
 #: Seconds of the epoch at which matches begin; a watermark can't be before the epoch.
 KICK_OFF = 1_700_000_000
+#: A player of a lane keeps one track, as in the SQL, however long they aren't seen.
+LANE_RULES = tracking.Rules(returns=True)
 IN_ORDER = ("frame_seq < 20", "frame_seq BETWEEN 20 AND 39", "frame_seq >= 40")
 
 
@@ -35,7 +37,7 @@ def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracked_lanes(spark, sf_dir):
     """The track of each detection, in a batch."""
-    return tracking.tracked(tracking.framed(lanes(spark, sf_dir)))
+    return tracking.tracked(tracking.framed(lanes(spark, sf_dir)), LANE_RULES)
 
 
 def stream_tracked(spark, sf_dir):

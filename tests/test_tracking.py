@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from matchlake.operators import tracking
+from matchlake.plans import flows
 from matchlake.streaming import stateful
 
 SCHEMA = "match_id long, frame_seq long, det_ord long, class_id int, x double, y double, width double, height double, confidence double"
@@ -102,6 +104,41 @@ def test_lost_tracks_end(spark):
     assert tracking.tracked(tracking.framed(spark.createDataFrame([], SCHEMA))).collect() == []
 
 
+def away():
+    """Players on straight ways: one isn't seen for 50 frames, one comes back elsewhere, one only faintly, one first in frame 60."""
+    rows = [(1, f, k, 2, x, y, 20.0, 20.0, sure) for f in (0, 1, 2, 53, 54, 60, 61) for k, x, y, sure in ((0, 50.0 + f, 50.0, 0.9), (1, 50.0 if f < 9 else 300.0, 150.0, 0.9), (2, 50.0, 250.0, 0.9 if f < 9 else 0.3), (3, 100.0, 350.0, 0.9)) if k != 3 or f > 54]
+    return rows, {(m, f, k): {0: 0, 1: 1 if f < 9 else 3, 2: 2 if f < 9 else None, 3: 4}[k] for m, f, k, *_ in rows}
+
+
+def test_lost_tracks_return_by_rule(spark):
+    rows, expected = away()
+    frames = tracking.framed(spark.createDataFrame(rows, SCHEMA))
+    assert found(tracking.tracked(frames, tracking.Rules(returns=True))) == expected
+    assert found(tracking.tracked(frames)) == plain(rows) != expected
+
+
+REPEATED = 13  # every event so often, with the same keys: players are unseen or faint for more than Rules.buffer frames
+
+
+def repeated(spark, sf_dir, tmp_path):
+    one = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 6")
+    one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(REPEATED)))).drop("i").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def by_sql(name, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    rows = con.sql(f"SELECT match_id, frame_seq, det_ord, track_no FROM ({flows.SQL[name]})").fetchall()
+    return {r[:3]: r[3] for r in rows}
+
+
+@pytest.mark.parametrize("name", ["tracked_lanes"])
+def test_lanes_of_repeated_events_against_sql(spark, sf_dir, tmp_path, name):
+    folder = repeated(spark, sf_dir, tmp_path)
+    assert found(flows.QUERIES[name](spark, folder)) == by_sql(name, folder)
+
+
 @pytest.mark.parametrize("cuts", [(7, 50), (1, 2)])
 def test_stream_over_any_split(spark, cuts):
     rows = blobs() + crossing()[0]
