@@ -42,7 +42,7 @@ def tracked_lanes(spark, sf_dir):
 
 def stream_tracked(spark, sf_dir):
     """The same from a stream of frames in three batches, the live tracks kept by match."""
-    return stateful.run_to_end(tracking.tracked_stream(stateful.in_parts(tracking.framed(lanes(spark, sf_dir)), list(IN_ORDER))))
+    return stateful.run_to_end(tracking.tracked_stream(stateful.in_parts(tracking.framed(lanes(spark, sf_dir)), list(IN_ORDER)), LANE_RULES))
 
 
 def tracked_players(spark, sf_dir):

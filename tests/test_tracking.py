@@ -133,7 +133,7 @@ def by_sql(name, folder):
     return {r[:3]: r[3] for r in rows}
 
 
-@pytest.mark.parametrize("name", ["tracked_lanes"])
+@pytest.mark.parametrize("name", ["tracked_lanes", "stream_tracked"])
 def test_lanes_of_repeated_events_against_sql(spark, sf_dir, tmp_path, name):
     folder = repeated(spark, sf_dir, tmp_path)
     assert found(flows.QUERIES[name](spark, folder)) == by_sql(name, folder)
