@@ -158,13 +158,12 @@ def match_cascade(spark, sf_dir):
 
 
 def source_bodies(spark, sf_dir):
-    """Detections written as bodies in a folder for each match, and read back by the data source."""
+    """Detections written as bodies in folders of some matches each, and read back by the data source."""
     bodies.register(spark)
     path = scratch.folder(spark, "bodies")
     p = F.struct("x", "y", "width", "height", "class_id", "confidence")
     frames = fx.detections(spark, sf_dir).groupBy("match_id", "frame_seq").agg(F.array_sort(F.collect_list(F.struct("det_ord", p.alias("p")))).alias("ps"))
-    lines = frames.select("match_id", F.to_json(F.struct("frame_seq", F.transform("ps", lambda x: x["p"]).alias("predictions"))).alias("value"))
-    lines.repartition("match_id").write.partitionBy("match_id").text(path)
+    bodies.written(frames.select("match_id", "frame_seq", F.transform("ps", lambda x: x["p"]).alias("predictions")), path)
     found = spark.read.format("prediction_bodies").load(path)
     return found.select("match_id", "frame_seq", "det_ord", "class_id", jround(F.col("x"), 3).alias("x"), jround(F.col("y"), 3).alias("y"), jround(F.col("confidence"), 3).alias("confidence"))
 

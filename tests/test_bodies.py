@@ -40,6 +40,35 @@ def test_filters_choose_folders(spark, folder, monkeypatch):
     assert [(r.match_id, r.frame_seq) for r in chosen.collect()] == [(2, 1)] and chosen.rdd.getNumPartitions() == 1
 
 
+def test_files_grow_with_bodies_and_not_with_matches(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    bodies.register(spark)
+    m = F.when(F.col("id") < 2000, F.col("id") - 500)
+    p = F.struct(F.lit(1.5).alias("x"), m.alias("class_id"))
+    ours = spark.range(2001).select(m.alias("match_id"), F.lit(7).alias("frame_seq"), F.when(F.col("id") % 5 > 0, F.array(p, p)).alias("predictions"))
+    bodies.written(ours, str(tmp_path / "out"))
+    assert sum(1 for f in (tmp_path / "out").rglob("*.txt")) <= bodies.GROUPS + 8
+    rows = spark.read.format("prediction_bodies").load(str(tmp_path / "out"))
+    expected = ours.select("match_id", F.col("frame_seq").cast("long"), F.posexplode_outer("predictions").alias("det_ord", "p")).select("match_id", "frame_seq", "det_ord", "p.class_id", "p.x")
+    got = rows.select("match_id", "frame_seq", "det_ord", "class_id", "x")
+    assert got.count() == expected.count() == 3601 and got.exceptAll(expected).count() == 0
+    assert sorted((r.match_id, r.det_ord) for r in rows.filter("match_id IN (-3, 12, 268) AND match_id > -9 AND class_id <> 99").collect()) == [(-3, 0), (-3, 1), (12, 0), (12, 1), (268, 0), (268, 1)]
+    assert rows.filter("match_id < 0").count() == expected.filter("match_id < 0").count()
+    reader = bodies.BodyReader(str(tmp_path / "out"))
+    assert list(reader.pushFilters([In(("match_id",), (-3, 12, 268)), GreaterThan(("match_id",), 0), EqualTo(("match_id",), 268)])) == []
+    assert {f.split("match_group=")[1].split("/")[0] for p in reader.partitions() for _, f in p.files} == {"12-of-256"}
+    assert [r for p in reader.partitions() for b in reader.read(p) for r in b.column("match_id").to_pylist()] == [268, 268]
+
+
+def test_lines_over_chunks():
+    import io
+
+    text = b"ab\r\ncdefg\n\nhi"
+    for size in range(1, 20):
+        assert [x.strip() for x in bodies._lines(io.BytesIO(text), size) if x.strip()] == [b"ab", b"cdefg", b"hi"]
+
+
 def test_batches_are_appended_once(spark, tmp_path):
     bodies.register(spark)
     path = str(tmp_path / "log")
