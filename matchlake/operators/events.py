@@ -18,17 +18,21 @@ def _event(rank: int, kind: Column | str, side: Column, when: Column, xg_: Colum
     return F.when(when, made)
 
 
+def changed() -> Column:
+    """Whether possession changes in a frame with its state: both frames are owned, by different sides."""
+    return F.col("owner") != F.col("prev_owner")
+
+
 def detected(state: DataFrame, p: Profile) -> DataFrame:
     """Adds found, the events of each frame but for corners, and near, whether the ball is near a corner."""
     x, y, owner = F.col("ball.x"), F.col("ball.y"), F.col("owner")
-    changed = owner != F.col("prev_owner")
     other = F.when(owner == "home", "away").otherwise("home")
     state = state.withColumn("goal_gap", distance(x, y, goal_x(owner, p), F.lit(p.height / 2))).withColumn("chance", xg(x, y, goal_x(owner, p), p))
     gap, chance = F.col("goal_gap"), F.col("chance")
     shot = owner.isNotNull() & (F.col("step") > p.shot_step) & (gap < p.shot_distance)
-    found = [_event(1, "possession_change", owner, changed)]
+    found = [_event(1, "possession_change", owner, changed())]
     if p.fouls:
-        found.append(_event(2, "foul", other, changed & (x > 30) & (x < 75) & (F.col("step") < 2)))
+        found.append(_event(2, "foul", other, changed() & (x > 30) & (x < 75) & (F.col("step") < 2)))
     kind = F.when((gap < p.target_distance) & (chance > p.target_xg), "shot_on_target").otherwise("shot")
     worth = jround(chance, p.xg_digits)
     found.append(_event(3, kind, owner, shot, worth))

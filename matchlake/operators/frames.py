@@ -41,6 +41,30 @@ def with_owner(frames: DataFrame, p: Profile) -> DataFrame:
     return frames.withColumn("owner", F.when(F.col("ball").isNotNull(), best["team"]))
 
 
+BEST = {"nearest": "array<struct<gap: double, det_ord: bigint, team: string>>", "first": "array<struct<det_ord: bigint, gap: double, team: string>>"}
+
+
+def owned_frames(detections: DataFrame, p: Profile, frame_w: float, frame_h: float, team: Column | None = None) -> DataFrame:
+    """The rows of with_owner(frame_table()) without their players, from detections that have their frame's ball beside them.
+
+    detections(…, frame_ball, leads): frame_ball(det_ord, x, y, confidence) is the frame's one ball or null, leads is true in one
+    row of each frame. Players out of reach can't own the ball and go no further, so that a frame is put together from the row
+    that leads it and the few near ones; no list of players is made, sorted or spilled.
+    """
+    sure = lambda least, c: F.lit(True) if least is None else c > least
+    x, y = to_pitch(F.col("x"), frame_w, p.width), to_pitch(F.col("y"), frame_h, p.height)
+    at = F.struct(F.col("frame_ball.det_ord").alias("det_ord"), to_pitch(F.col("frame_ball.x"), frame_w, p.width).alias("x"), to_pitch(F.col("frame_ball.y"), frame_h, p.height).alias("y"))
+    seen = detections.withColumn("ball", F.when(F.col("frame_ball").isNotNull() & sure(p.ball_confidence, F.col("frame_ball.confidence")), at))
+    seen = seen.withColumn("gap", distance(F.col("ball.x"), F.col("ball.y"), x, y))
+    near = F.coalesce(F.col("class_id").isin(*PLAYERS) & sure(p.player_confidence, F.col("confidence")) & (F.col("gap") < p.reach), F.lit(False))
+    first = ("gap", "det_ord") if p.owner_rule == "nearest" else ("det_ord", "gap")
+    mine = F.when(near, F.struct(*first, (F.col("team_side") if team is None else team).alias("team")))
+    # explode and no filter: Spark would push that down and put the whole expressions of x and y into it, many times over
+    kept = seen.repartition(F.col("match_id")).select("match_id", "frame_seq", "frame_idx", "ts_s", "ball", F.explode(F.when(F.col("leads") | near, F.array(mine)).otherwise(F.array().cast(BEST[p.owner_rule]))).alias("best"))
+    found = kept.groupBy("match_id", "frame_seq").agg(F.min("frame_idx").alias("frame_idx"), F.min("ts_s").alias("ts_s"), F.min("ball").alias("ball"), F.min("best").alias("best"))
+    return found.withColumn("owner", F.col("best.team")).drop("best")
+
+
 def with_state(owned: DataFrame, p: Profile) -> DataFrame:
     """Adds the owner and the ball of the frame before, and the ball's step since then, under the profile's rule.
 

@@ -82,7 +82,8 @@ def stream_steps_late(spark, sf_dir):
 
 def stream_momentum(spark, sf_dir):
     """Momentum of all matches, from a stream of possession changes in windows of event time."""
-    changes = q.event_stream(spark, sf_dir, ELEVEN).filter("type = 'possession_change'").select("match_id", "frame_seq", "team_side", F.timestamp_seconds(F.col("ts_s")).alias("ts"))
+    state = fr.with_state(q.owned(spark, sf_dir, ELEVEN), ELEVEN)  # changes follow from it alone; no other events are looked for
+    changes = state.filter(ev.changed()).select("match_id", "frame_seq", F.col("owner").alias("team_side"), F.timestamp_seconds(F.col("ts_s")).alias("ts"))
     counts = stateful.run_to_end(stateful.minute_counts(stateful.in_parts(changes, list(FRAME_PARTS), key="match_id"), "150 seconds"))
     return stats.momentum_shares(counts.filter("match_id >= 0"), q.durations(spark, sf_dir), ELEVEN)
 

@@ -19,7 +19,7 @@ HOME, AWAY = "Reds", "Blues"
 
 
 def owned(spark: SparkSession, sf_dir: str, p: Profile, team=None) -> DataFrame:
-    return fr.with_owner(fr.frame_table(fx.detections(spark, sf_dir), p, fx.FRAME_W, fx.FRAME_H, team), p)
+    return fr.owned_frames(fx.beside_ball(spark, sf_dir), p, fx.FRAME_W, fx.FRAME_H, team)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, p: Profile) -> DataFrame:
@@ -160,7 +160,8 @@ def network_viz(spark, sf_dir):
 def whole_match(spark, sf_dir) -> DataFrame:
     """The document of each match: statistics, momentum, events, heat points, pass network and narrative."""
     path = scratch.folder(spark, "frames")
-    ev.with_corners(fr.with_state(owned(spark, sf_dir, ELEVEN), ELEVEN), ELEVEN).write.parquet(path)
+    all_players = fr.with_owner(fr.frame_table(fx.detections(spark, sf_dir), ELEVEN, fx.FRAME_W, fx.FRAME_H), ELEVEN)
+    ev.with_corners(fr.with_state(all_players, ELEVEN), ELEVEN).write.parquet(path)
     frames = spark.read.parquet(path)  # detections are gone through once; all parts come from these frames
     told, found, seen = stats.summary_of(frames, ELEVEN, goals=True), ev.told(frames), spatial.positions(frames)
     heat = spatial.heat_histogram(seen, ELEVEN)
