@@ -41,6 +41,14 @@ def player_points(detections: DataFrame, p: Profile, frame_w: float, frame_h: fl
     return detections.filter(F.col("class_id").isin(1, 2) & sure).select("match_id", "frame_seq", "det_ord", "track_id", F.col("team_side").alias("team"), to_pitch(F.col("x"), frame_w, p.width).alias("x"), to_pitch(F.col("y"), frame_h, p.height).alias("y"))
 
 
+def numbered(points: DataFrame) -> DataFrame:
+    """Adds i, the place of each point among those of its frame in order of detection.
+
+    As positions(frame_table()) has it, but rows stay rows: no list of a frame's players is made.
+    """
+    return points.withColumn("i", F.row_number().over(Window.partitionBy("match_id", "frame_seq").orderBy("det_ord")).cast("long") - 1)
+
+
 def heat_density(points: DataFrame, p: Profile, least: int = 5) -> DataFrame:
     """Gaussian kernel density of each track on the grid, as a share of its largest value, where that is over a tenth.
 
@@ -123,11 +131,17 @@ def keyframes(frames: DataFrame, p: Profile, every: int = 5) -> DataFrame:
 
 
 def nodes(points: DataFrame, p: Profile) -> DataFrame:
-    """(match_id, node_seq, player_id, team, involvement, x, y): players seen 3 times or more, in the order first seen."""
-    key = F.col("track_id").cast("string") if p.owner_rule == "first" else F.concat("team", F.lit("_"), (F.col("i") % 11).cast("string"))
-    seen = points.withColumn("player_id", key).groupBy("match_id", "player_id", "team").agg(
-        F.min(F.struct("frame_seq", "det_ord")).alias("first"), F.count(F.lit(1)).alias("involvement"), jround(jround(F.avg("x"), 6), 2).alias("x"), jround(jround(F.avg("y"), 6), 2).alias("y")
-    ).filter("involvement >= 3")
+    """(match_id, node_seq, player_id, team, involvement, x, y): players seen 3 times or more, in the order first seen.
+
+    Points are first added up by player and place in the frame: a least frame number can be held in a hash table, a pair of
+    frame and place would have all points sorted.
+    """
+    by_track = p.owner_rule == "first"
+    place = F.col("det_ord" if by_track else "i").alias("place")  # both have the same order in a frame
+    parts = points.groupBy("match_id", "team", F.col("track_id" if by_track else "i").alias("who"), place).agg(F.min("frame_seq").alias("frame_seq"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    key = F.col("who").cast("string") if by_track else F.concat("team", F.lit("_"), (F.col("who") % 11).cast("string"))
+    mean = lambda c: jround(jround(F.sum(c) / F.sum("n"), 6), 2).alias(c)
+    seen = parts.withColumn("player_id", key).groupBy("match_id", "player_id", "team").agg(F.min(F.struct("frame_seq", "place")).alias("first"), F.sum("n").alias("involvement"), mean("x"), mean("y")).filter("involvement >= 3")
     seq = F.row_number().over(Window.partitionBy("match_id").orderBy("first")).cast("long")
     out = seen.withColumn("node_seq", seq).drop("first")
     return out.filter(F.col("node_seq") <= p.node_cap) if p.cap_before_edges else out

@@ -112,7 +112,7 @@ def composed(flat: DataFrame, **parts: tuple[DataFrame, str]) -> DataFrame:
     out = nested(flat)
     for name, (rows, order) in parts.items():
         rest = [c for c in rows.columns if c not in ("match_id", order)]
-        own = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+        own = rows.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name))
         out = out.join(own, "match_id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
     return out
 

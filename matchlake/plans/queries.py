@@ -137,7 +137,7 @@ def _nodes(spark, sf_dir, p):
     seen = fx.detections(spark, sf_dir)
     if p.owner_rule == "first":  # players go by their tracks: partial sums from the scan, no frames
         return spatial.nodes(spatial.player_points(seen, p, fx.FRAME_W, fx.FRAME_H), p)
-    return spatial.nodes(spatial.positions(fr.frame_table(seen, p, fx.FRAME_W, fx.FRAME_H)), p)
+    return spatial.nodes(spatial.numbered(spatial.player_points(seen, p, fx.FRAME_W, fx.FRAME_H)), p)
 
 
 def pass_nodes(spark, sf_dir, p):
@@ -159,17 +159,17 @@ def network_viz(spark, sf_dir):
 
 def whole_match(spark, sf_dir) -> DataFrame:
     """The document of each match: statistics, momentum, events, heat points, pass network and narrative."""
-    path = scratch.folder(spark, "frames")
-    all_players = fr.with_owner(fr.frame_table(fx.detections(spark, sf_dir), ELEVEN, fx.FRAME_W, fx.FRAME_H), ELEVEN)
-    ev.with_corners(fr.with_state(all_players, ELEVEN), ELEVEN).write.parquet(path)
-    frames = spark.read.parquet(path)  # detections are gone through once; all parts come from these frames
-    told, found, seen = stats.summary_of(frames, ELEVEN, goals=True), ev.told(frames), spatial.positions(frames)
-    heat = spatial.heat_histogram(seen, ELEVEN)
-    heat = heat.withColumns({c: jround(F.col(c), 3) for c in ("x", "y")}).withColumn("place", F.concat_ws(" ", "team", F.format_string("%09.3f %09.3f", "x", "y")))
-    nodes = spatial.nodes(seen, ELEVEN)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = fx.beside_ball(spark, sf_dir, tasks)  # hashed by match: whatever is grouped by match finds its rows in place
+    frames = ev.with_corners(fr.with_state(fr.owned_frames(seen, ELEVEN, fx.FRAME_W, fx.FRAME_H), ELEVEN), ELEVEN)
+    frames = scratch.kept(spark, frames.select("match_id", "frame_seq", "ts_s", "owner", "prev_owner", "step", "found", "taken"), "frames")
+    told, found = scratch.kept(spark, stats.summary_of(frames, ELEVEN, goals=True), "summary"), ev.told(frames)
+    players = spatial.player_points(seen, ELEVEN, fx.FRAME_W, fx.FRAME_H)
+    heat = spatial.heat_histogram(players, ELEVEN).withColumns({c: jround(F.col(c), 3) for c in ("x", "y")})
+    nodes = scratch.kept(spark, spatial.nodes(spatial.numbered(players), ELEVEN), "nodes")
     words = report.narrative_eleven(told, F.lit(HOME), F.lit(AWAY))
     found = stats.composed(
-        told, momentum=(stats.momentum(found, durations(spark, sf_dir), ELEVEN), "minute"), events=(ev.capped(found, "event_seq", ELEVEN.event_cap), "event_seq"), heat=(heat, "place"),
+        told, momentum=(stats.momentum(found, durations(spark, sf_dir), ELEVEN), "minute"), events=(ev.capped(found, "event_seq", ELEVEN.event_cap), "event_seq"), heat=(heat, "team"),
         nodes=(nodes.filter(F.col("node_seq") <= ELEVEN.node_cap), "node_seq"), edges=(spatial.edges(nodes, ELEVEN), "edge_seq"),
     )
     return found.join(words, "match_id", "left")

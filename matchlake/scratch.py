@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Folders of this driver, in the order in which they were made.
@@ -25,6 +25,13 @@ def folder(spark: SparkSession, what: str) -> str:
     return path
 
 
+def kept(spark: SparkSession, rows: DataFrame, what: str) -> DataFrame:
+    """The rows as they are read back from a new folder, so that they are worked out once for all that comes from them."""
+    path = folder(spark, what)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
